@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from docketry.llm import line_rules, mixing
+from docketry.llm import langid, line_rules, mixing, pieces, quality_mil
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": langid.op2_language_id,
+        "op3_quality": quality_mil.op3_quality,
+        "op4_sentencepiece": pieces.op4_sentencepiece,
         "op6_line_quality": line_rules.op6_line_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
