@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import langid, line_rules, mixing, pieces, quality_mil
+from docketry.llm import langid, line_rules, minhash, mixing, pieces, quality_mil
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op6_line_quality": line_rules.op6_line_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_quality": line_rules.OP6_SQL}
+    return {"op6_line_quality": line_rules.OP6_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
