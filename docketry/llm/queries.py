@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from docketry.llm import langid, line_rules, minhash, mixing, pieces, quality_mil
+from docketry.llm import langid, line_rules, minhash, mixing, pieces, quality_mil, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_language_id": langid.op2_language_id,
         "op3_quality": quality_mil.op3_quality,
         "op4_sentencepiece": pieces.op4_sentencepiece,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_quality": line_rules.OP6_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_line_quality": line_rules.OP6_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
