@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import langid, line_rules, minhash, mixing, pieces, quality_mil, warc
+from docketry.llm import langid, line_rules, minhash, mixing, mtree, pieces, quality_mil, warc
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op3_quality": quality_mil.op3_quality,
         "op4_sentencepiece": pieces.op4_sentencepiece,
         "op6_line_quality": line_rules.op6_line_quality,
+        "op8_exact_top_k": mtree.op8_exact_top_k,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op6_line_quality": line_rules.OP6_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
