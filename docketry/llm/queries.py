@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import langid, line_rules, minhash, mixing, mtree, pieces, quality_mil, warc
+from docketry.llm import chat, html_blocks, langid, line_rules, minhash, mixing, mtree, pieces, quality_mil, warc
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_language_id": langid.op2_language_id,
         "op3_quality": quality_mil.op3_quality,
         "op4_sentencepiece": pieces.op4_sentencepiece,
+        "op5_chat_format": chat.op5_chat_format,
         "op6_line_quality": line_rules.op6_line_quality,
+        "op7_html_extract": html_blocks.op7_html_extract,
         "op8_exact_top_k": mtree.op8_exact_top_k,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_chat_format": chat.OP5_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
