@@ -322,7 +322,7 @@ over_v("a22_top_matched_names", lambda df: company.search_company(df, NAME, thre
 over_v("a23_matches_by_agency", lambda df: n_rows(search.matching(df, company=NAME), "agency"), sql(f"SELECT agency, count(*) AS row_count FROM v WHERE {_named} GROUP BY agency"))
 over_v("a24_repeat_standards", A.repeat_standards, sql(f"SELECT {KEY}, count(*) FILTER (n > 1) AS repeat_standards FROM (SELECT {KEY}, standard, count(*) AS n FROM v WHERE {KEY} <> '' AND standard IS NOT NULL GROUP BY 1, 2) GROUP BY 1"))
 over_v("a25_shared_dates", A.shared_dates, sql(f"SELECT {KEY}, violation_date, count(DISTINCT agency) AS agencies FROM v WHERE {KEY} <> '' GROUP BY 1, 2 HAVING count(DISTINCT agency) > 1"))
-over_v("a26_penalty_quantiles", A.penalty_quantiles, sql(f"SELECT {KEY}, round(quantile_cont(current_penalty, 0.5), 3) AS median_penalty, round(quantile_cont(current_penalty, 0.75), 3) AS q75_penalty FROM v WHERE {KEY} <> '' AND current_penalty IS NOT NULL GROUP BY 1"))
+over_v("a26_penalty_quantiles", A.penalty_quantiles, sql(f"SELECT {KEY}, round(quantile_cont(current_penalty, 0.5), 4) AS median_penalty, round(quantile_cont(current_penalty, 0.75), 4) AS q75_penalty FROM v WHERE {KEY} <> '' AND current_penalty IS NOT NULL GROUP BY 1"))
 over_v("a28_available_agencies", A.available_agencies, sql("SELECT DISTINCT agency FROM v"))
 over_v("a29_page_metadata", lambda df: search.page_metadata(search.matching(df, **_filters), 100, 20), sql(f"SELECT count(*) AS total, 100 AS page_limit, 20 AS page_offset, count(*) > 120 AS has_next, true AS has_previous FROM v WHERE {_where}"))
 over_v("a30_citation_pairs", A.citation_pairs, sql("SELECT x.standard AS standard_a, y.standard AS standard_b, count(*) AS inspections FROM s x JOIN s y ON x.activity_nr = y.activity_nr AND x.standard < y.standard GROUP BY 1, 2 HAVING count(*) >= 2", s="SELECT DISTINCT activity_nr, standard FROM v"))
@@ -370,7 +370,7 @@ _RISK = {
       round(least(0.5 * least(t / n / 50000 * 100, 100) + 0.3 * (high / n::DOUBLE) * 100 + 0.2 * least(rep / n::DOUBLE * 200, 100), 100), 2) AS ss,
       CASE WHEN k <= 1 THEN 0 WHEN k = 2 THEN 50 WHEN k = 3 THEN 75 ELSE 100 END::DOUBLE AS as_
       FROM (SELECT *, ((SELECT max(violation_date) FROM v) - last) AS dd FROM o) o JOIN ag USING ({KEY})""",
-    "r": f"SELECT *, round(least(round(0 + vs * 0.3::DOUBLE + ps * 0.25::DOUBLE + rs * 0.2::DOUBLE + ss * 0.15::DOUBLE + as_ * 0.1::DOUBLE, 6), 100), 2) AS composite_score FROM q",
+    "r": f"SELECT *, least(((CAST(round(vs * 100) AS BIGINT) * 3000 + CAST(round(ps * 100) AS BIGINT) * 2500 + CAST(round(rs * 100) AS BIGINT) * 2000 + CAST(round(ss * 100) AS BIGINT) * 1500 + CAST(round(as_ * 100) AS BIGINT) * 1000 + 5000) // 10000)::DOUBLE / 100, 100) AS composite_score FROM q",
 }
 _SCORES = f"SELECT {KEY}, composite_score, CASE WHEN composite_score >= 75 THEN 'Critical' WHEN composite_score >= 50 THEN 'High' WHEN composite_score >= 25 THEN 'Medium' ELSE 'Low' END AS risk_level, vs AS violation_score, ps AS penalty_score, rs AS recency_score, ss AS severity_score, as_ AS agency_score, n AS violation_count, t AS total_penalties, agencies, strftime(last, '%Y-%m-%d') AS most_recent_violation, substr(code, 1, 2) AS naics_sector FROM r"
 over_v("r06_risk_scores", risk.risk_scores, sql(_SCORES, **_RISK))
@@ -435,7 +435,7 @@ over_v("v07_reject_split", lambda df: (lambda good, bad: n_rows(good.select(F.li
 def _event_files(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     """Events as several Parquet files by time."""
     path = store.scratch(s, "events")
-    e = s.read.parquet(f"{d}/events.parquet")
+    e = s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
     return path, e
 

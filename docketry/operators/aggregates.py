@@ -176,7 +176,7 @@ def shared_dates(df: DataFrame) -> DataFrame:
 def penalty_quantiles(df: DataFrame) -> DataFrame:
     """Exact median and upper quartile of each company's penalties, interpolated."""
     rows = df.filter(S.filled("company_name_normalized") & F.col("current_penalty").isNotNull())
-    return rows.groupBy("company_name_normalized").agg(F.round(F.median("current_penalty"), 3).alias("median_penalty"), F.round(F.percentile("current_penalty", 0.75), 3).alias("q75_penalty"))
+    return rows.groupBy("company_name_normalized").agg(F.round(F.median("current_penalty"), 4).alias("median_penalty"), F.round(F.percentile("current_penalty", 0.75), 4).alias("q75_penalty"))
 
 
 def available_agencies(df: DataFrame) -> DataFrame:

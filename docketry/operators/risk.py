@@ -69,8 +69,9 @@ def risk_scores(df: DataFrame, key: str = "company_name_normalized", as_of: date
         "agency_score": S.agency_count_score(F.size("agencies")),
     })
     parts = (("violation", w.violations), ("penalty", w.penalties), ("recency", w.recency), ("severity", w.severity), ("agency", w.agencies))
-    total = sum((F.col(f"{name}_score") * x for name, x in parts), F.lit(0.0))
-    scored = scored.withColumn("composite_score", F.round(F.least(F.round(total, 6), F.lit(100.0)), 2))
+    # whole hundredths times whole weights, so that halves round the same way everywhere
+    total = sum((F.round(F.col(f"{name}_score") * 100).cast("long") * round(x * 10_000) for name, x in parts), F.lit(0).cast("long"))
+    scored = scored.withColumn("composite_score", F.least(F.floor((total + 5000) / 10_000) / 100, F.lit(100.0)))
     return scored.select(
         key, "composite_score", S.risk_level(F.col("composite_score")).alias("risk_level"), "violation_score", "penalty_score", "recency_score", "severity_score", "agency_score",
         "violation_count", "total_penalties", F.array_join("agencies", ",").alias("agencies"), S.iso_date("last").alias("most_recent_violation"), S.sector("code").alias("naics_sector"),
