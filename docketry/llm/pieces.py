@@ -40,7 +40,7 @@ LONG = 48
 KNOWN = 300_000
 _GONE = -1
 _NEVER = np.int32(1 << 30)
-_WORD = re.compile(" +[^ ]*")
+_WORD = re.compile(f"[ {MARK}]+[^ {MARK}]*")
 
 
 def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
