@@ -93,7 +93,7 @@ class _Archive:
         self.uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         store, path = fs.FileSystem.from_uri(self.uri)
         store.create_dir(path.rpartition("/")[0], recursive=True)
-        self.out = store.open_output_stream(path)
+        self.out = store.open_output_stream(path, compression=None)
         data = dictionary.as_bytes()
         self.out.write(struct.pack("<II", MAGIC, len(data)) + data)
         self.at = 8 + len(data)
@@ -161,7 +161,7 @@ def _frames(uri: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as src:
+    with store.open_input_stream(path, compression=None) as src:
         magic, n = struct.unpack("<II", src.read(8))
         if magic != MAGIC:
             raise ValueError(f"{uri} doesn't begin with a dictionary")
