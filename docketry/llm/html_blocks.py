@@ -201,10 +201,10 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     told = [i for i, x in enumerate(labels) if x is not None and not found[i].bad] or [i for i, x in enumerate(labels) if x is not None]
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
-    for i, nxt in zip(told, [*told[1:], n], strict=True):
+    for i, nxt in zip(told, [*told[1:], n]):  # noqa: B905
         before[i + 1 : nxt + 1] = [i] * (min(nxt + 1, n) - i - 1)
-    for prev, i in zip([-1, *told[:-1]], told, strict=True):
-        after[max(prev, 0) : i] = [i] * (i - max(prev, 0))
+    for prev, i in zip([0, *told], told):  # noqa: B905
+        after[prev:i] = [i] * (i - prev)
     out = []
     for i, x in enumerate(labels):
         if x is not None:
