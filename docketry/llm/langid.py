@@ -141,7 +141,8 @@ def learn(docs: DataFrame, encoder: Encoder | None = None) -> tuple[list[str], n
                 for lang in set(langs[lo:hi]):
                     got = signs[langs[lo:hi] == lang].sum(axis=0)
                     sums[lang] = sums.get(lang, 0) + got
-        yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     parts = rows.mapInPandas(bundle, T.StructType([T.StructField("lang", T.StringType()), T.StructField("sums", T.ArrayType(T.LongType()))]))
