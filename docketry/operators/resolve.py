@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,56 +86,39 @@ def similar_pairs(names: DataFrame, threshold: float = 85) -> DataFrame:
     return pairs.withColumn("similarity", measure("weighted", "a", "b")).filter(F.col("similarity") >= threshold)
 
 
-def _labels(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """``norm, comp``: connected components of the pairs, by passing on the least name.
+def _kept(df: DataFrame) -> DataFrame:
+    """The same rows, computed once: checkpointed where the session has a folder for it."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
 
-    Runs on distinct names only; each round is checkpointed when the session has a
-    checkpoint folder.
+
+def _leaders(pairs: DataFrame) -> DataFrame:
+    """``a``: the names that lead, taken in order, so that no leader is like an earlier one.
+
+    A name leads as soon as no undecided smaller name is like it; what is like a
+    leader is decided.  A round does that for all names at once, with joins; the
+    number of rounds follows the longest chain of decisions, not the rows.
     """
-    both = pairs.select("a", "b").union(pairs.select("b", "a")).persist()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    keep = pairs.sparkSession.sparkContext.getCheckpointDir() is not None
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        step = labels.join(near, "a").select("a", F.least("comp", "m").alias("comp"))
-        jump = step.select(F.col("a").alias("comp"), F.col("comp").alias("up"))
-        new = step.join(jump, "comp", "left").select("a", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        new = new.checkpoint() if keep else new.persist()
-        changed = new.join(labels.withColumnRenamed("comp", "was"), "a").filter("comp <> was").isEmpty()
-        labels = new
-        if changed:
-            break
-    return labels.withColumnRenamed("a", "norm")
+    left, found = pairs.select("a", "b"), None
+    while not left.isEmpty():
+        heads = _kept(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        taken = left.join(heads, "a").select("b").distinct()
+        left = left.join(heads, "a", "left_anti").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").join(taken, "b", "left_anti")
+        left = _kept(left.select("a", "b"))
+        found = heads if found is None else found.union(heads)
+    return pairs.select("a").filter("false") if found is None else found
 
 
 def group_similar(names: DataFrame, threshold: float = 85) -> DataFrame:
     """``norm, leader, similarity``: groups of two names or more.
 
     Names in order, each unused one leads a group of later unused names that are
-    like it.  The pass runs inside each connected component of the similar pairs,
-    on the component's pairs.
+    like it: a member belongs to the first leader that it is like.
     """
-    pairs = similar_pairs(names, threshold).persist()
-    comp = _labels(pairs)
-    tied = pairs.join(comp, F.col("a") == F.col("norm")).select("comp", "a", "b", "similarity")
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[tuple[str, float]]] = {}
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["similarity"], strict=True):
-            near.setdefault(a, []).append((b, s))
-        used: set[str] = set()
-        out = []
-        for name in sorted(set(pdf["a"]) | set(pdf["b"])):
-            if name in used:
-                continue
-            group = [(b, s) for b, s in near.get(name, []) if b not in used]
-            used.add(name)
-            if group:
-                used.update(b for b, _ in group)
-                out += [(name, name, 100.0), *((b, name, s) for b, s in group)]
-        return pd.DataFrame(out, columns=["norm", "leader", "similarity"])
-
-    return tied.groupBy("comp").applyInPandas(lead, "norm string, leader string, similarity double")
+    pairs = _kept(similar_pairs(names, threshold))
+    led = pairs.join(_leaders(pairs), "a")
+    members = led.groupBy(F.col("b").alias("norm")).agg(F.min("a").alias("leader"), F.min_by("similarity", "a").alias("similarity"))
+    heads = members.select(F.col("leader").alias("norm"), "leader").distinct().withColumn("similarity", F.lit(100.0))
+    return members.union(heads)
 
 
 def resolved(df: DataFrame, groups: DataFrame) -> DataFrame:
