@@ -479,6 +479,54 @@ def _(s, d):
     return ST.ingest(s, path, e.schema, lambda st: ST.alerts(st, "value", 200)).select("event_id", "value")
 
 
+# --- single rows of the inventory that the queries above use inside -----------------
+add("j02_lookup_join", sql("SELECT v.agency, inspection_type, count(*) AS row_count, count(estab_name) AS found FROM v LEFT JOIN i USING (activity_nr) GROUP BY 1, 2"))(
+    lambda s, d: A.joined_inspections(v(s, d), i(s, d)).groupBy("agency", "inspection_type").agg(F.count(F.lit(1)).alias("row_count"), F.count("estab_name").alias("found"))
+)
+over_v("j07_name_pairs", lambda df: R.similar_pairs(R.distinct_names(df), 90))
+over_v("j08_interval_membership", lambda df: I.windows(df, I.anchors(_with(df)), 180).select(KEY, "analysis_type", "anchor", "before_count", "after_count"), sql(f"SELECT {KEY}, analysis_type, anchor, count(*) FILTER (violation_date < anchor AND violation_date >= anchor - 180) AS before_count, count(*) FILTER (violation_date > anchor AND violation_date <= anchor + 180) AS after_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL) GROUP BY 1, 2, 3", **_IMP))
+over_v("j09_industry_and_nation", lambda df: A.industry_benchmark(df, "62").select("industry_violations", "national_violations"), sql("SELECT count(*) FILTER (substr(naics_code, 1, 2) = '62') AS industry_violations, count(*) AS national_violations FROM v"))
+_PEERS = f"SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below, count(*) OVER (PARTITION BY substr(code, 1, 2)) AS n FROM r WHERE code IS NOT NULL"
+over_v("j10_company_and_peers", lambda df: risk.against_peers(risk.risk_scores(df)).select(KEY, "naics_sector", "peer_count"), sql(f"SELECT {KEY}, naics_sector, n AS peer_count FROM ({_PEERS})", **_RISK))
+over_v("w04_peer_percentile", lambda df: risk.against_peers(risk.risk_scores(df)).select(KEY, "percentile"), sql(f"SELECT {KEY}, round(100 * (below / n::DOUBLE), 4) AS percentile FROM ({_PEERS})", **_RISK))
+over_v("a27_impact_counts", lambda df: I.summary(I.analyses(df)).select(KEY, "total_analyses", "increased", "reduced", "no_change"))
+over_v("w01_first_high_penalty", lambda df: I.anchors(df).filter("analysis_type = 'first_high_penalty'").select(KEY, "anchor"), sql(f"SELECT {KEY}, h AS anchor FROM pk WHERE h IS NOT NULL", **_IMP))
+over_v("w05_mean_ranks", lambda df: I.rank_sums(df, I.anchors(_with(df)), 180).agg(F.sum("u1").alias("u1"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")), sql("SELECT sum(u1) AS u1, sum(n1)::BIGINT AS n1, sum(n2)::BIGINT AS n2 FROM (SELECT coalesce(sum(r) FILTER (side = 'b'), 0) - count(*) FILTER (side = 'b') * (count(*) FILTER (side = 'b') + 1) / 2::DOUBLE AS u1, count(*) FILTER (side = 'b') AS n1, count(*) FILTER (side = 'a') AS n2 FROM rk GROUP BY company_name_normalized, analysis_type, anchor)", **{k: q.replace("anchor - 365", "anchor - 180").replace("anchor + 365", "anchor + 180") for k, q in _GAP.items()}))
+_bare = lambda df: df.withColumn("current_penalty", F.lit(None).cast("double"))
+_NEAR = f"SELECT {KEY}, min(violation_date) AS f, max(violation_date) AS l, count(*) AS n FROM v WHERE {_DATED} GROUP BY 1"
+over_v("w06_nearest_date", lambda df: I.anchors(_bare(df)).filter("analysis_type = 'significant_violation'").select(KEY, "anchor"), sql(f"SELECT {KEY}, CASE WHEN any_value(l - f) > 730 THEN arg_min(violation_date, (abs(violation_date - (f + ((l - f) // 3)::INTEGER)) * 1000000 + (violation_date - f))) ELSE min(violation_date) FILTER (r = n // 2) END AS anchor FROM (SELECT {KEY}, violation_date, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date) - 1 AS r FROM v WHERE {_DATED}) JOIN nr USING ({KEY}) GROUP BY 1", nr=_NEAR))
+_early = lambda df: _bare(df).filter("year = 1998")
+over_v("w07_middle_row", lambda df: I.anchors(_early(df)).filter("analysis_type = 'significant_violation'").select(KEY, "anchor"), sql(f"SELECT {KEY}, min(violation_date) FILTER (r = n // 2) AS anchor FROM (SELECT {KEY}, violation_date, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date) - 1 AS r, count(*) OVER (PARTITION BY {KEY}) AS n FROM v WHERE {_DATED} AND year = 1998) GROUP BY 1"))
+over_v("w09_row_numbers", lambda df: A.ranked(df, ROWKEY).filter("row_number <= 20").select("agency", "row_number", *ROWKEY[:4]), sql(f"SELECT agency, r::INTEGER AS row_number, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST) AS r FROM v) WHERE r <= 20"))
+over_v("t01_order_by_aggregate", lambda df: A.top_violations(df, 5, 1999), sql(f"SELECT standard, count(*) AS citation_count, coalesce({MEAN}, 0) AS avg_penalty FROM v WHERE year = 1999 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
+over_v("t02_page", lambda df: _show(search.page(df, ROWKEY, 50, 1000)), sql(f"SELECT {SEARCHED} FROM v ORDER BY {ORDER} NULLS FIRST LIMIT 50 OFFSET 1000"))
+over_v("t03_by_similarity", lambda df: R.find_matches(R.distinct_names(df), "plate", 30, 50))
+over_i("t05_head", lambda df: search.page(df, ["activity_nr"], 25), sql(f"SELECT {I_COLS} FROM i ORDER BY activity_nr LIMIT 25"))
+over_v("u02_merge_sectors", lambda df: A.by_industry_classified(df, n=100).select("naics_sector", "violation_count"), sql("SELECT sector AS naics_sector, sum(c)::BIGINT AS violation_count FROM (SELECT sector, c FROM kn2 UNION ALL SELECT sector, c FROM cs) GROUP BY 1", **_CLS))
+over_v("u05_missing_columns", lambda df: V.structure(df.select("agency", "year"), ["year", "company_name", "penalty"]).filter("check = 'missing_column'").select("check", "column", "total_rows"), sql("SELECT 'missing_column' AS \"check\", c AS \"column\", (SELECT count(*) FROM v) AS total_rows FROM (VALUES ('company_name'), ('penalty')) t(c)"))
+over_v("x02_punctuation", lambda df: df.select("company_name", F.trim(F.regexp_replace(F.regexp_replace("company_name", r"(?U)[^\w\s]", " "), r"(?U)\s+", " ")).alias("plain")).distinct(), sql(r"SELECT DISTINCT company_name, trim(regexp_replace(regexp_replace(company_name, '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM v"))
+over_v("x03_token_filter", lambda df: df.select("company_name", F.array_join(F.filter(F.split(F.upper("company_name"), " "), lambda w: ~w.isin("THE", "A", "AN")), "+").alias("tokens")).distinct(), sql("SELECT DISTINCT company_name, array_to_string(list_filter(string_split(upper(company_name), ' '), lambda w: w NOT IN ('THE', 'A', 'AN')), '+') AS tokens FROM v"))
+over_v("x04_concat_nonblank", lambda df: n_rows(df.select(F.concat_ws(" | ", S.cleaned(F.when(F.col("l_linenumber") < 4, "  ").otherwise(F.col("viol_type"))), "standard").alias("joined")), "joined"), sql("SELECT concat_ws(' | ', CASE WHEN l_linenumber >= 4 THEN viol_type END, standard) AS joined, count(*) AS row_count FROM v GROUP BY 1"))
+over_v("x08_iso_dates", lambda df: n_rows(df.select(S.iso_date("violation_date").alias("day")), "day"), sql("SELECT strftime(violation_date, '%Y-%m-%d') AS day, count(*) AS row_count FROM v GROUP BY 1"))
+over_v("x09_arithmetic", lambda df: df.select(F.col("l_orderkey"), F.col("l_linenumber"), F.round(F.log1p(F.coalesce("current_penalty", F.lit(0.0))), 6).alias("log"), F.greatest(F.lit(0.0), F.least("current_penalty", F.lit(50000.0))).alias("clamped")).distinct(), sql("SELECT DISTINCT l_orderkey, l_linenumber, round(ln(1 + coalesce(current_penalty, 0)), 6) AS log, CASE WHEN current_penalty IS NULL THEN 50000 ELSE greatest(0, least(current_penalty, 50000)) END::DOUBLE AS clamped FROM v"))
+over_v("x10_coercion", lambda df: df.select("naics_code", F.coalesce(S.number("naics_code", "double"), F.lit(0.0)).alias("x"), S.number(F.concat("naics_code", F.lit("?")), "int").alias("y")).distinct(), sql("SELECT DISTINCT naics_code, coalesce(TRY_CAST(naics_code AS DOUBLE), 0) AS x, NULL::INTEGER AS y FROM v"))
+over_v("x11_labels", lambda df: n_rows(df.select(S.risk_level(F.col("current_penalty") / 1000).alias("level"), I.strength(F.col("current_penalty") / 500).alias("strength")), "level", "strength"), sql("SELECT CASE WHEN x / 1000 >= 75 THEN 'Critical' WHEN x / 1000 >= 50 THEN 'High' WHEN x / 1000 >= 25 THEN 'Medium' ELSE 'Low' END AS level, CASE WHEN x / 500 >= 100 THEN 'Very Strong' WHEN x / 500 >= 50 THEN 'Strong' WHEN x / 500 >= 25 THEN 'Moderate' WHEN x / 500 >= 10 THEN 'Weak' ELSE 'Minimal' END AS strength, count(*) AS row_count FROM (SELECT current_penalty AS x FROM v) GROUP BY 1, 2"))
+over_v("x12_agency_count_score", lambda df: df.groupBy("activity_nr").agg(F.count_distinct("agency").alias("k")).select("activity_nr", S.agency_count_score(F.col("k")).alias("score")), sql("SELECT activity_nr, CASE k WHEN 1 THEN 0 WHEN 2 THEN 50 WHEN 3 THEN 75 ELSE 100 END::DOUBLE AS score FROM (SELECT activity_nr, count(DISTINCT agency) AS k FROM v GROUP BY 1)"))
+over_v("x14_json_rows", lambda df: n_rows(df, "agency", "year").select(F.to_json(F.struct("agency", "year", "row_count")).alias("json")), sql("SELECT '{\"agency\":\"' || agency || '\",\"year\":' || year || ',\"row_count\":' || count(*) || '}' AS json FROM v GROUP BY agency, year"))
+over_v("x15_maps", lambda df: A.type_histogram(df).select(KEY, "agency", F.try_element_at("violation_types", F.lit("R")).alias("returned")), sql(f"SELECT {KEY}, agency, nullif(count(*) FILTER (viol_type = 'R'), 0) AS returned FROM v WHERE {KEY} <> '' AND viol_type IS NOT NULL GROUP BY 1, 2"))
+for _id, _label, _col in (("r01", "violation", "vs"), ("r02", "penalty", "ps"), ("r03", "recency", "rs"), ("r04", "severity", "ss"), ("r05", "agency", "as_")):
+    over_v(f"{_id}_{_label}_score", lambda df, x=_label: risk.risk_scores(df).select(KEY, f"{x}_score"), sql(f"SELECT {KEY}, {_col} AS {_label}_score FROM q", **_RISK))
+over_v("i03_rate_change", lambda df: I.windows(df, I.anchors(_with(df))).select(KEY, "analysis_type", "rate_change_pct"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn WHERE {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL)", **_IMP))
+over_v("i05_impact_labels", lambda df: n_rows(I.analyses(df), "analysis_type", "impact", "impact_strength"))
+
+
+@add("st7_progress", "SELECT count(*) AS input_rows FROM events")
+def _(s, d):
+    path, e = _event_files(s, d)
+    query = ST.run_to_parquet(ST.files(s, path, e.schema, per_batch=1), store.scratch(s, "progress"), store.scratch(s, "progress-state"))
+    return s.createDataFrame([(sum(p["rows"] for p in ST.progress(query)),)], "input_rows long")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
