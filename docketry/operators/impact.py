@@ -61,23 +61,27 @@ def _gaps(events: DataFrame, by: list[str], side: str) -> DataFrame:
     return events.select(*by, F.lit(side).alias("side"), F.datediff("violation_date", F.lag("violation_date").over(w)).alias("gap"))
 
 
-@lru_cache(maxsize=100_000)
-def _ways(u: int, m: int, n: int) -> int:
-    """Arrangements of m and n untied values with the rank-sum statistic u."""
-    if u < 0 or u > m * n:
-        return 0
-    if m == 0 or n == 0:
-        return int(u == 0)
-    return _ways(u - n, m - 1, n) + _ways(u, m, n - 1)
+@lru_cache(maxsize=256)
+def _counts(m: int, n: int) -> tuple[int, ...]:
+    """Arrangements of m and n untied values by their rank-sum statistic, 0 to m n.
+
+    They are the coefficients of the product of (1 - q^(n + i)) / (1 - q^i) for i = 1 to m.
+    """
+    c = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            c[u] -= c[u - n - i]
+        for u in range(i, m * n + 1):
+            c[u] += c[u - i]
+    return tuple(c)
 
 
 def tail(u1: float, n1: int, n2: int, ties: float) -> float:
     """Two-sided p-value of U: exact if it is untied and one side has eight values at most, else normal with ties."""
     n = n1 + n2
     u = max(u1, n1 * n2 - u1)
-    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= 4000:
-        whole = math.comb(n, n1)
-        return min(1.0, 2 * sum(_ways(k, n1, n2) for k in range(math.ceil(u), n1 * n2 + 1)) / whole)
+    if ties == 0 and min(n1, n2) <= 8:
+        return min(1.0, 2 * sum(_counts(min(n1, n2), max(n1, n2))[math.ceil(u) :]) / math.comb(n, n1))
     var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
     if var <= 0:
         return 1.0

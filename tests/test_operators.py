@@ -76,6 +76,16 @@ def test_recency(spark, days, want):
     assert df.select(risk.recency_score(F.col("d"))).first()[0] == want
 
 
+def test_exact_distribution_by_enumeration():
+    from itertools import combinations
+
+    for m, n in ((1, 4), (3, 3), (2, 5), (4, 6)):
+        counts = [0] * (m * n + 1)
+        for places in combinations(range(m + n), m):
+            counts[sum(places) - m * (m - 1) // 2] += 1
+        assert list(I._counts(m, n)) == counts
+
+
 def test_tail_probabilities():
     # three against three, completely apart: 2 of 20 arrangements
     assert I.tail(0, 3, 3, 0) == pytest.approx(0.1)
