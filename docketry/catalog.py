@@ -377,7 +377,8 @@ over_v("r06_risk_scores", risk.risk_scores, sql(_SCORES, **_RISK))
 over_v("r07_against_peers", lambda df: risk.against_peers(risk.risk_scores(df)), sql(f"""SELECT {KEY}, naics_sector, composite_score, peer_count, round(s::DOUBLE / peer_count / 100, 4) AS peer_mean, round(med, 3) AS peer_median, round(100 * (below / peer_count::DOUBLE), 4) AS percentile,
   CASE WHEN composite_score > 1.5::DOUBLE * pm THEN 'Much Higher Risk' WHEN composite_score > pm THEN 'Higher Risk' WHEN composite_score < 0.5::DOUBLE * pm THEN 'Much Lower Risk' WHEN composite_score < pm THEN 'Lower Risk' ELSE 'Average' END AS comparison
   FROM (SELECT *, round(s::DOUBLE / peer_count / 100, 4) AS pm FROM (SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, count(*) OVER w AS peer_count, sum(round(composite_score * 100)::BIGINT) OVER w AS s, quantile_cont(composite_score, 0.5) OVER w AS med, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below FROM r WHERE code IS NOT NULL WINDOW w AS (PARTITION BY substr(code, 1, 2))))""", **_RISK))
-over_v("r08_company_risk", lambda df: company.company_risk(df, NAME).withColumnRenamed(KEY, "company").select("company", "violation_count", "total_penalties", "agencies", "composite_score", "risk_level"))
+_ONE = {"vv": f"SELECT * REPLACE ('{NAME}' AS {KEY}) FROM v WHERE {_named}"} | {k: q.replace("FROM v WHERE", "FROM vv WHERE") for k, q in _RISK.items()}
+over_v("r08_company_risk", lambda df: company.company_risk(df, NAME).withColumnRenamed(KEY, "company").select("company", "violation_count", "total_penalties", "agencies", "composite_score", "risk_level"), sql(f"SELECT {KEY} AS company, violation_count, total_penalties, agencies, composite_score, risk_level FROM ({_SCORES})", **_ONE))
 over_v("r09_company_report", lambda df: company.company_report(df, NAME).withColumn("agencies_json", F.to_json("types")).select("company", "agencies_json", "violation_count", "composite_score"))
 
 # --- impact ------------------------------------------------------------------
