@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from docketry.llm.common import stored, table
 
 SCALE = 1024
-PAGE = 64
-TREE_ROWS = 512
+PAGE = 256
+TREE_ROWS = 1024
 MAX_TREES = 16_384
 QUERY_BLOCK = 4096
 FOUND = "query_id long, vec_id long, score long"
