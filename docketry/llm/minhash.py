@@ -8,11 +8,15 @@ whose estimate is ``MARGIN`` under the threshold at least are confirmed on the
 full sets.
 
 Equal sets are one class, represented by its least id, so copies cost nothing
-after that.  In each band bucket every class is paired with one member chosen by
-hash (another in each bucket), so pairs grow with the rows, not with the square
-of a bucket.  After the links so found are joined to components, the pairs of a
-bucket whose ends lie in different components are tested as well (the estimate
-being part of the join's condition), so no link of a bucket is lost.  A pair at the
+after that.  In each band bucket every class is paired with two members: that with the
+fullest buckets, and one drawn by hash (another in each bucket); so pairs grow with the
+rows, not with the square of a bucket.  The links so found are joined to components.  At last all
+pairs in a cluster of connected buckets whose ends still lie in different components
+are compared, by estimate and then on the full sets, in cells of two chunks of a
+cluster, so no link of a bucket is lost; a cell returns the links
+that join its components.  Clusters of more
+than ``CLUSTER`` classes are compared bucket by bucket instead, which is as exact.
+A pair at the
 threshold itself shares no bucket with probability (1 - 0.75^5)^40 = 2e-5.
 
 Nulls and texts without words have empty sets, linked with nothing; a null id has
@@ -25,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +40,14 @@ from docketry.llm.components import components
 SHINGLE = 5
 BANDS, ROWS, BITS = 40, 5, 4
 THRESHOLD = 75
-MARGIN = 0.15
+MARGIN = 0.13
+ENOUGH = THRESHOLD / 100 - MARGIN
+#: Clusters of buckets with more classes are compared bucket by bucket.
+CLUSTER = 20_000
+#: Classes of a group that are compared in one task, with as many others.
+CHUNK = 512
+#: Ids of classes that share a bucket are sent to every task up to this number, else joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 64 // BITS
 _BLOCK = 1 << 19
@@ -113,19 +125,63 @@ def estimate(a: Column, b: Column) -> Column:
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, s))
         return F.bit_count(folded.bitwiseAND(F.lit(ones)))
 
-    lanes = F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y)))
-    equal = 1 - F.aggregate(lanes, F.lit(0), lambda s, x: s + x) / float(BANDS * ROWS)
+    unequal = [differ(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(-(-BANDS * ROWS // _LANES))]
+    equal = 1 - sum(unequal[1:], unequal[0]) / float(BANDS * ROWS)
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
 
+def alike(a: Column, b: Column) -> Column:
+    """Whether two full sets are linked."""
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= THRESHOLD * (F.size(a) + F.size(b) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("sh").alias("sh_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("sh").alias("sh_b"))
-    both = F.size(F.array_intersect("sh_a", "sh_b"))
-    alike = 100 * both >= THRESHOLD * (F.size("sh_a") + F.size("sh_b") - both)
-    return pairs.join(left, "a").join(right, "b").filter(alike).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(alike(F.col("sh_a"), F.col("sh_b"))).select("a", "b")
+
+
+def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links that join the components of one cell's rows, as many as needed."""
+    part, lo, hi = pdf["part"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    left = np.flatnonzero(part == lo)
+    right = np.flatnonzero(part == hi)
+    rep, comp, sets = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["sh"].to_numpy()
+    sig = np.stack(pdf["sig"].to_numpy()).view(np.uint64)
+    ones = np.uint64(int("1" * _LANES, 16))
+    least = BANDS * ROWS * (ENOUGH * (1 - 2.0**-BITS) + 2.0**-BITS)
+    seen: dict[int, set[int]] = {}
+    up = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    found = []
+    for i in left:
+        unequal = np.zeros(len(right), np.int64)
+        for k in range(sig.shape[1]):
+            x = sig[i, k] ^ sig[right, k]
+            for s in range(1, BITS):
+                x = x | (x >> np.uint64(s)) if s & (s - 1) == 0 else x
+            unequal += np.bitwise_count(x & ones)
+        near = (BANDS * ROWS - unequal >= least) & (comp[right] != comp[i])
+        if lo == hi:
+            near &= right > i
+        for j in right[near]:
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p == q:
+                continue  # linked by way of others
+            a, b = (seen.setdefault(k, set(sets[k].tolist())) for k in (i, j))
+            both = len(a & b)
+            if 100 * both >= THRESHOLD * (len(a) + len(b) - both):
+                up[p] = q
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -135,40 +191,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     sets = stored(hashed, "sets")
     key = ["n_shingles", "p1", "p2"]
-    classes = sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = stored(
-        sets.join(classes, key, "left").select(
-            "doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("sig", "bands")]
-        ),
-        "members",
-    )
-    reps = member.filter(F.col("bands").isNotNull())
+    # equal sets have equal signatures, so any row's will do
+    classes = sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stored(classes, "classes")
+    reps = classes.filter(F.col("rep").isNotNull()).select("rep", "sig", "bands")
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    lead = F.xxhash64("band", "rep")
-    buckets = banded.groupBy("band").agg(F.min(F.struct(lead.alias("h"), "rep")).alias("lead"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    shared = cut(banded.join(buckets.filter("lo < hi").select("band", F.col("lead.rep").alias("lead")), "band"))
-    used = shared.select("rep").distinct()
-    signed = cut(reps.select("rep", "sig").dropDuplicates(["rep"]).join(used, "rep", "left_semi"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(used, "rep", "left_semi")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(banded.join(buckets, "band"))
+    used = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
+    signed = cut(reps.join(used, "rep"))
+    few = F.broadcast(used.select("rep")) if signed.count() <= BROADCAST_ROWS else used
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few, "rep", "left_semi")
     full = stored(texts.select("rep", shingles("text").alias("sh")).dropDuplicates(["rep"]), "full")
-    first = shared.filter("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    enough = THRESHOLD / 100 - MARGIN
     sig_a, sig_b = (signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    first = cut(first.join(sig_a, "a").join(sig_b, "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= enough).select("a", "b"))
-    links = cut(_confirmed(first, full))
-    found = cut(components(links))
-    # buckets that still hold several components
-    at = shared.join(found, shared["rep"] == found["id"], "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = at.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    rest = cut(at.join(mixed, "band", "left_semi").join(signed, "rep"))
-    x, y = rest.alias("x"), rest.alias("y")
-    alike = estimate(F.col("x.sig"), F.col("y.sig")) >= enough
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") < F.col("y.comp")) & alike)
-    pairs = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = cut(_confirmed(pairs, full))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    # the member with the fullest buckets is most like the original of a group of copies
+    # ... and another is drawn by hash for those that aren't like it
+    weighed = shared.join(signed.select("rep", "weight"), "rep")
+    lead = F.max(F.struct("weight", (-F.col("rep")).alias("o")))
+    leads = weighed.groupBy("band").agg(lead.alias("lead"), F.min_by("rep", F.xxhash64("band", "rep")).alias("drawn"))
+    met = cut(shared.join(leads.select("band", (-F.col("lead.o")).alias("lead"), "drawn"), "band").select("rep", "lead", "drawn").distinct())
+    first = met.filter("rep <> lead").select(*pair("rep", "lead"))
+    tested = first.union(met.filter("rep <> drawn").select(*pair("rep", "drawn"))).distinct()
+    likely = tested.join(sig_a, "a").join(sig_b, "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= ENOUGH).select("a", "b")
+    found = cut(components(_confirmed(likely, full)))
+    # all pairs in one cluster of buckets that are still in different components; in large clusters, in one bucket
+    cluster = components(first).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
+    every = cut(signed.select("rep").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+    mixed = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "n")
+    every = every.join(mixed, "cluster")
+    cols = ("rep", "comp", "by_band", "key", "n")
+    small = every.filter(F.col("n") <= CLUSTER).select("rep", "comp", F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "n")
+    large = every.filter(F.col("n") > CLUSTER).drop("n").join(shared.select("rep", F.col("band").alias("key"), "n"), "rep").withColumn("by_band", F.lit(True)).select(*cols)
+    # a group is dealt over a grid of cells, each holding two chunks of it at most
+    parts = F.ceil(F.col("n") / CHUNK).cast("int")
+    rest = small.union(large).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = ("by_band", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    rest = rest.select("rep", "comp", "part", *cells).join(signed.select("rep", "sig"), "rep").join(full, "rep")
+    more = cut(rest.groupBy("by_band", "key", "lo", "hi").applyInPandas(_cell_links, "a long, b long").distinct())
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    classed = classes.select(*key, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = sets.select("doc_id", *key).join(classed, key, "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 

@@ -95,7 +95,9 @@ def changed(rng, text, k):
     return " ".join(w)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("cluster", [20_000, 2])
+def test_near_duplicates(spark, monkeypatch, cluster):
+    monkeypatch.setattr(minhash, "CLUSTER", cluster)
     rng = random.Random(3)
     texts = [None, "", " \n", "Hi", "hi", "a b c d", "A B\tC\nD", "x y z a b", "x y z a b c"]
     for _ in range(12):
