@@ -1,4 +1,4 @@
-"""Connected components of an edge table by least labels and jumps."""
+"""Connected components of an edge table by pointers that jump and edges that shrink."""
 
 from __future__ import annotations
 
@@ -11,21 +11,31 @@ from docketry.llm.common import cut
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``id, component`` (the least id reachable) for every id in ``edges`` (columns a, b).
 
-    In each round every id takes the least label among its own and its
-    neighbours', then the label that this label has.  Labels so jump to twice the
-    distance each round.  Loops and repeated edges are harmless; null ends are dropped.
+    Every id points to its least neighbour at first.  In each round pointers jump
+    to where they point to, edges move to where their ends point to (those within
+    one place go), and what is left of them lowers pointers.  Edges shrink and
+    jumps double, so rounds grow with the logarithm of the number of ids.  Loops
+    and repeated edges are harmless; null ends are dropped.
     """
-    e = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = cut(e.union(e.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")))
+    e = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    e = cut(e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    least = lambda df: df.union(df.select("v", "u")).groupBy("u").agg(F.min("v").alias("m"))
+    to = cut(least(e).select(F.col("u").alias("id"), F.least("u", "m").alias("l")))
+
+    def jumped(t: DataFrame) -> DataFrame:
+        return cut(t.join(t.select(F.col("id").alias("l"), F.col("l").alias("n")), "l").select("id", F.col("n").alias("l")))
+
+    for _ in range(max_rounds):
+        to = jumped(to)
+        moved = e.join(to.select(F.col("id").alias("u"), F.col("l").alias("x")), "u").join(to.select(F.col("id").alias("v"), F.col("l").alias("y")), "v")
+        e = cut(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        if e.isEmpty():
+            break
+        to = to.join(least(e).withColumnRenamed("u", "id"), "id", "left").select("id", F.least("l", F.coalesce("m", "l")).alias("l"))
     last = None
     for _ in range(max_rounds):
-        state = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
+        state = to.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if state == last:
             break
-        last = state
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "l")
-        step = near.union(labels).groupBy("a").agg(F.min("l").alias("l"))
-        jump = step.select(F.col("a").alias("l"), F.col("l").alias("up"))
-        labels = cut(step.join(jump, "l", "left").select("a", F.least("l", F.coalesce("up", "l")).alias("l")))
-    return labels.select(F.col("a").alias("id"), F.col("l").alias("component"))
+        last, to = state, jumped(to)
+    return to.withColumnRenamed("l", "component")
