@@ -4,11 +4,12 @@ A page is cut into blocks at block-level tags.  The first pass looks at each blo
 alone: containers of site furniture (navigation, page headers and footers, sidebars,
 forms, and elements named as adverts, notices, sharing or reader comments) and
 link-dense blocks are bad; long blocks with many stop words and few links are
-good; so are blocks inside an article or main element, when the page has one,
-unless they are mostly links, and then what lies outside is bad.  What is short or has a
-middling share of stop words stays ambiguous.  In the second pass an ambiguous
-block takes the label of its nearest decided neighbour (a heading that of the next;
-of two as near, bad wins).  Good blocks are joined in page order.
+good.  Inside an article or main element fewer stop words and more links do, and
+no block is bad for having few stop words.  What is short or has a middling share of
+stop words stays ambiguous.  In the second pass an ambiguous block takes the label of
+its nearest decided neighbour among those inside such an element, or among those
+outside (a heading that of the next block; of two as near, bad wins).  Good blocks are
+joined in page order.
 
 Broken pages: unclosed elements end with their parent, an unclosed comment,
 script or tag runs to the end, unknown references stay as they are.
@@ -19,6 +20,7 @@ processed whole.  Input columns named like a result are replaced.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
 from dataclasses import dataclass, field
@@ -58,6 +60,8 @@ _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in _RAW}
 SHORT, LONG = 70, 200
 LOW, HIGH = 0.18, 0.30
 LINKS = 0.33
+#: In an article or main element less is asked of a block.
+MAIN_LOW, MAIN_LINKS = 0.09, 0.5
 
 
 @dataclass
@@ -174,53 +178,67 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(found: list[Block]) -> list[bool | None]:
     """True for good, False for bad, None for ambiguous."""
-    has_main = any(b.main and not b.bad for b in found)
     labels: list[bool | None] = []
     for b in found:
         n = len(b.text)
         links = min(1.0, b.linked / n)
+        low, high, most = (MAIN_LOW, LOW, MAIN_LINKS) if b.main else (LOW, HIGH, LINKS)
         if b.bad:
             labels.append(False)
-        elif has_main:
-            labels.append((False if b.listed and links > 0.8 else None if links > 0.5 else True) if b.main else None if b.heading else False)
-        elif links > LINKS:
-            labels.append(False)
-        elif n < SHORT or b.heading:
-            labels.append(False if links > 0 and not b.heading else None)
+        elif links > most:
+            labels.append(False if not b.main or b.listed and links > 0.8 else None)
+        elif b.heading:
+            labels.append(None)
+        elif n < SHORT and not b.main:
+            labels.append(False if links > 0 else None)
         else:
             ws = b.text.lower().split()
             density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in ws) / len(ws)
-            labels.append(True if density >= HIGH or (density >= LOW and n > LONG) else None if density >= LOW or n > LONG else False)
+            if density >= high and n >= SHORT or density >= low and n > LONG:
+                labels.append(True)
+            else:
+                labels.append(None if b.main or density >= low or n > LONG else False)
     return labels
 
 
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
-    """Ambiguous blocks take the nearest decided label; without any, they are good."""
-    n = len(labels)
-    # furniture is told by its container, so what lies beside it needn't be like it
-    told = [i for i, x in enumerate(labels) if x is not None and not found[i].bad] or [i for i, x in enumerate(labels) if x is not None]
-    before: list[int | None] = [None] * n
-    after: list[int | None] = [None] * n
-    for i, nxt in zip(told, [*told[1:], n]):  # noqa: B905
-        before[i + 1 : nxt + 1] = [i] * (min(nxt + 1, n) - i - 1)
-    for prev, i in zip([0, *told], told):  # noqa: B905
-        after[prev:i] = [i] * (i - prev)
+    """Ambiguous blocks take the nearest decided label of their own kind, in a main element or not.
+
+    Where no block of the kind is decided, those in a main element are good unless
+    good text stands outside, and those outside are good unless the page has a main element.
+    Headings look at all blocks.
+    """
+    has_main = any(b.main and not b.bad for b in found)
+    told = [i for i, x in enumerate(labels) if x is not None and not found[i].bad]
+    outside = any(labels[i] and not found[i].main for i in told)
+    out: list[bool | None] = list(labels)
+    for kind in (True, False):
+        here = [i for i, b in enumerate(found) if b.main == kind and not b.bad]
+        default = not outside if kind else not has_main
+        # furniture is told by its container, so what lies beside it needn't be like it
+        known = [i for i in told if found[i].main == kind]
+        for i, x in zip(here, _inherited(here, known, labels, default), strict=True):
+            if not found[i].heading:
+                out[i] = x
+    known = [i for i, x in enumerate(out) if x is not None and not found[i].bad]
+    heads = [i for i, x in enumerate(out) if x is None]
+    for i in heads:
+        k = bisect.bisect(known, i)
+        out[i] = bool(out[known[min(k, len(known) - 1)]]) if known else found[i].main or not has_main
+    return [bool(x) for x in out]
+
+
+def _inherited(here: list[int], known: list[int], labels: list[bool | None], default: bool) -> list[bool]:
+    """The labels of the blocks ``here``, the ambiguous ones by the nearest of ``known``; of two as near, bad wins."""
     out = []
-    for i, x in enumerate(labels):
-        if x is not None:
-            out.append(x)
-            continue
-        b, a = before[i], after[i]
-        if b is None and a is None:
-            out.append(True)
-        elif found[i].heading:
-            out.append(bool(labels[b if a is None else a]))
-        elif b is None or a is None:
-            out.append(bool(labels[a if b is None else b]))
-        elif i - b == a - i:
-            out.append(bool(labels[a]) and bool(labels[b]))
-        else:
-            out.append(bool(labels[b if i - b < a - i else a]))
+    for i in here:
+        x = labels[i]
+        if x is None:
+            k = bisect.bisect(known, i)
+            near = known[max(k - 1, 0) : k + 1]
+            least = min((abs(i - j) for j in near), default=0)
+            x = all(labels[j] for j in near if abs(i - j) == least) if near else default
+        out.append(bool(x))
     return out
 
 

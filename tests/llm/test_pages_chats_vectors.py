@@ -116,6 +116,18 @@ def test_page_without_article():
     assert html_blocks.main_text(PAGE % body) == "\n".join(["A title", long.strip(), "Short one.", long.strip()])
 
 
+def test_story_beside_teaser_cards():
+    long = "This is the story of a man who was in the house and it was not for him to be with them. " * 4
+    cards = "".join(f'<article><h3>Card {k}</h3><p>Short teaser {k}</p><a href={k}>More</a></article>' for k in range(3))
+    assert html_blocks.main_text(PAGE % f"<div><h2>A title</h2><p>{long}</p><p>{long}</p></div>{cards}") == "\n".join(["A title", long.strip(), long.strip()])
+
+
+def test_story_outside_and_inside_article():
+    long = "This is the story of a man who was in the house and it was not for him to be with them. " * 4
+    body = f"<div><p>{long}</p></div><article><h1>Head</h1><p>{long}</p><p>Words with none.</p></article>"
+    assert html_blocks.main_text(PAGE % body) == "\n".join([long.strip(), "Head", long.strip(), "Words with none."])
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "<script>", "</p></div>", "<a b='", "&", "<p>" * 5000, "<div>" * 3000 + "x", "<b><p>" * 3000 + "y", "a" * 300_000, "<" * 20_000, "<p a=\"" * 3000])
 def test_broken_pages(page):
     assert isinstance(html_blocks.main_text(page), str)
