@@ -461,10 +461,11 @@ def _(s, d):
     return n_rows(ST.ingest(s, path, e.schema, lambda st: ST.enriched(st, static, "user_id")), "c_mktsegment")
 
 
-@add("st4_running_summary")
+@add("st4_running_summary", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS violation_count, sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / 100 AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def _(s, d):
     path, e = _event_files(s, d)
-    return ST.ingest(s, path, e.schema, lambda st: ST.running_summary(st, "ts", ["event_type"], "value"))
+    stream = ST.files(s, path, e.schema, per_batch=2)
+    return ST.windowed_summary(stream, store.scratch(s, "windows"), store.scratch(s, "windows-state"), "ts", ["event_type"], "value")
 
 
 @add("st5_upsert_summary", "SELECT user_id, event_type, count(*) AS violation_count, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")

@@ -1,8 +1,8 @@
 """Structured Streaming forms of loading, enriching and summarising.
 
 Queries run with ``availableNow`` over file sources, so a stream run to its end
-equals the batch result; late rows beyond the watermark are dropped, as told
-at each function.
+equals the batch result, except where a function has a watermark: it tells which
+rows it drops.
 """
 
 from __future__ import annotations
@@ -49,7 +49,11 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
 
 
 def running_summary(stream: DataFrame, time: str, keys: list[str], value: str, every: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Counts and sums by window; rows later than ``delay`` behind the newest are dropped."""
+    """Counts and sums by window; rows later than ``delay`` behind the newest are dropped.
+
+    In append mode the windows that end within ``delay`` of the newest row aren't given
+    out; ``windowed_summary`` gives all.
+    """
     grouped = stream.withWatermark(time, delay).groupBy(F.window(time, every).alias("w"), *keys)
     out = grouped.agg(F.count(F.lit(1)).alias("violation_count"), F.sum(S.cents(value)).alias("cents"))
     return out.select(F.col("w.start").alias("window_start"), *keys, "violation_count", (F.col("cents").cast("double") / 100).alias("total"))
@@ -78,6 +82,16 @@ def upsert_summary(stream: DataFrame, path: str, checkpoint: str, keys: list[str
     return spark.read.parquet(f"{path}/v={last[0]}"), query
 
 
+def windowed_summary(stream: DataFrame, path: str, checkpoint: str, time: str, keys: list[str], value: str, every: str = "1 day") -> DataFrame:
+    """Counts and sums of every window, however late its rows come; rows without a time are in none.
+
+    Windows are merged batch by batch as in ``upsert_summary``, so no watermark is needed.
+    """
+    placed = stream.filter(F.col(time).isNotNull()).withColumn("window_start", F.window(time, every).start)
+    found, _ = upsert_summary(placed, path, checkpoint, ["window_start", *keys], value)
+    return found.select("window_start", *keys, "violation_count", (F.col("cents").cast("double") / 100).alias("total"))
+
+
 def alerts(stream: DataFrame, column: str, threshold: float) -> DataFrame:
     return stream.filter(F.col(column) > threshold)
 

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docketry import catalog
 
@@ -41,3 +42,9 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_stream_windows_match_sql(spark, duck):
+    got = [tuple(r) for r in catalog.queries()["st4_running_summary"](spark, SF).select(F.date_format("window_start", "yyyy-MM-dd HH:mm"), "event_type", "violation_count", "total").collect()]
+    want = duck.sql(f"SELECT strftime(window_start, '%Y-%m-%d %H:%M'), event_type, violation_count, total FROM ({catalog.oracle_sql()['st4_running_summary']})").fetchall()
+    assert sorted(got) == sorted(want) and len(want) > 100
