@@ -1,19 +1,22 @@
 """Company-name resolution: scoring, searching and grouping distinct names.
 
-Scores are computed for distinct names or candidate pairs only.  Candidates for
-grouping share a block key; pairs within a block are made by splitting large
-blocks into chunks and comparing chunk with chunk, so that no task holds a whole
-block.
+Scores are computed for distinct names or pairs of them only.  Pairs are made by
+splitting names into chunks and comparing chunk with chunk, so that no task holds
+all.  ``similar_pairs`` compares all names whose lengths allow the threshold and
+scores those whose characters do; both bounds hold for every pair, so none is lost.
+Its work grows with the square of the distinct names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docketry.functions.names import measure, normalized, similarity
+from docketry.functions.names import measure, normalized, ratio, similarity, token_sort_ratio
 from docketry.functions.scalars import filled
 
 KEY = "company_name_normalized"
@@ -73,17 +76,57 @@ def candidate_pairs(names: DataFrame, prefix: int = 4) -> DataFrame:
     return _blocked_pairs(names.select("norm").distinct(), F.array_distinct(F.concat(starts, F.array(whole, sound))))
 
 
-def similar_pairs(names: DataFrame, threshold: float = 85) -> DataFrame:
-    """Scored candidate pairs at or over the threshold.
+def _most(shared: Column | np.ndarray, total: Column | np.ndarray):
+    """No similarity is larger: the simple and sorted ratios count shared characters, the other measures reach 100."""
+    return 100.0 * shared / total + 50
 
-    Names whose lengths differ too much for the threshold are passed over before
-    scoring: the simple and sorted ratios are at most 200 min / (a + b).
-    """
-    la, lb = F.length("a"), F.length("b")
-    top = 200.0 * F.least(la, lb) / (la + lb)
-    possible = 0.5 * top + 50 >= threshold
-    pairs = candidate_pairs(names).filter(possible)
-    return pairs.withColumn("similarity", measure("weighted", "a", "b")).filter(F.col("similarity") >= threshold)
+
+def _counts(names: Sequence[str]) -> np.ndarray:
+    """How often each name has the characters of each of 64 classes."""
+    out = np.zeros((len(names), 64), np.int16)
+    for row, name in zip(out, names, strict=True):
+        for ch in name:
+            row[ord(ch) % 64] += 1
+    return out
+
+
+def _scored(left: Sequence[str], right: Sequence[str], threshold: float) -> list[tuple[str, str, float]]:
+    """``a, b, similarity`` (a < b) of the pairs of two chunks at or over the threshold."""
+    x, y = _counts(left), _counts(right)
+    total = x.sum(axis=1)[:, None] + y.sum(axis=1)[None]
+    out = []
+    least = threshold - 1e-6
+    for i, one in enumerate(x):
+        shared = np.minimum(one, y).sum(axis=1)
+        for j in np.flatnonzero(_most(shared, total[i]) >= least):
+            a, b = sorted((left[i], right[j]))
+            if a == b or 0.2 * ratio(a, b) + 0.3 * token_sort_ratio(a, b) + 50 < least:
+                continue
+            score = round(similarity(a, b), 6)
+            if score >= threshold:
+                out.append((a, b, score))
+    return out
+
+
+def similar_pairs(names: DataFrame, threshold: float = 85) -> DataFrame:
+    """``a, b, similarity`` (a < b) of all pairs of normalised names at or over the threshold."""
+    sized = names.select("norm").distinct().withColumn("n", F.length("norm"))
+    sizes = sized.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int")
+    chunks = _kept(sized.join(sizes, "n").groupBy("n", part.alias("part")).agg(F.array_sort(F.collect_list("norm")).alias("names")))
+    left = chunks.select(F.col("n").alias("na"), F.col("part").alias("pa"), F.col("names").alias("left"))
+    fits = (F.col("na") <= F.col("n")) & (_most(F.col("na"), F.col("na") + F.col("n")) >= threshold - 1e-6)
+    left = left.join(F.broadcast(sizes), fits).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = left.join(chunks, ["n", "part"]).filter("na < n or pa <= part")
+    pair = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("similarity", T.DoubleType())])
+
+    # not by Arrow: its batches would hold thousands of chunks
+    @F.udf(T.ArrayType(pair), useArrow=False)
+    def run(x, y):
+        return _scored(x, y, threshold)
+
+    # a chunk compared with itself finds each pair twice
+    return both.select(F.explode(F.array_distinct(run("left", "names"))).alias("p")).select("p.*")
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -127,12 +170,11 @@ def resolved(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.join(lead, KEY, "left").withColumn("representative", F.coalesce("leader", KEY)).drop("leader")
 
 
-def watch_list(names: DataFrame, queries: Sequence[str], threshold: float = 75, prefix: int = 4) -> DataFrame:
-    """``query, name, similarity`` for each name like one of ``queries``, from blocked candidates."""
+def watch_list(names: DataFrame, queries: Sequence[str], threshold: float = 75) -> DataFrame:
+    """``query, name, similarity`` for each name like one of ``queries``; every name is scored."""
     spark = names.sparkSession
     asked = spark.createDataFrame([(q,) for q in queries], "query string").withColumn("target", normalized("query"))
-    starts = lambda c: F.explode(F.array_distinct(F.transform(F.split(c, " "), lambda t: F.substring(t, 1, prefix))))
-    pairs = names.select("norm", starts(F.col("norm")).alias("k")).join(asked.select("query", "target", starts(F.col("target")).alias("k")), "k").drop("k").distinct()
+    pairs = names.select("norm").distinct().crossJoin(F.broadcast(asked))
     scored = pairs.withColumn("similarity", measure("weighted", "norm", "target")).filter(F.col("similarity") >= threshold)
     return scored.join(names, "norm").select("query", "name", "similarity")
 

@@ -79,3 +79,23 @@ def test_blocks_larger_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(R, "CHUNK", 4)
     names = spark.range(20).select(F.concat(F.lit("SAME"), F.col("id")).alias("norm"))
     assert R.candidate_pairs(names).count() == 190
+
+
+def test_pairs_without_a_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 3)
+    rng = random.Random(7)
+    names = ["KENTUCKY", "CENTUCKY", "JACKSON", "YACKSON", "GENERALMOTORS", "JENERALMOTORS", "ACE TOY BOX", "TOY BOX ACE", "É", "X"]
+    names += ["".join(rng.choices("ABCD ", k=rng.randrange(4, 14))) for _ in range(60)]
+    names = sorted({" ".join(n.split()) for n in names} - {""})
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    for threshold in (70, 85):
+        got = sorted(tuple(r) for r in R.similar_pairs(df, threshold).select("a", "b", "similarity").collect())
+        score = lambda a, b: round(N.similarity(a, b), 6)
+        want = [(a, b, score(a, b)) for k, a in enumerate(names) for b in names[k + 1 :] if score(a, b) >= threshold]
+        assert got == want
+    assert ("CENTUCKY", "KENTUCKY") in {(a, b) for a, b, _ in want}
+
+
+def test_watch_list_finds_misspellings(spark):
+    names = R.distinct_names(spark.createDataFrame([("Bleu Lapm",), ("Zzz",)], "company_name string"))
+    assert [r["name"] for r in R.watch_list(names, ["Blue Lamp LLC"], 70).collect()] == ["Bleu Lapm"]
