@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from docketry import catalog
 from docketry.operators import aggregates as A
 from docketry.operators import impact as I
 from docketry.operators import quality as V
@@ -130,3 +131,14 @@ def test_quality(spark):
 def test_first_by_key_is_stable(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("k", 1, "a"), (None, 0, "x")], "key string, o int, v string")
     assert [tuple(r) for r in A.first_by_key(df, "key", ["o"]).collect()] == [("k", 1, "a")]
+
+
+@pytest.mark.parametrize("name", ["i01_anchors", "i02_windows", "i03_rate_change", "i04_rank_sums", "i09_timeline", "j08_interval_membership", "w05_mean_ranks"])
+def test_impact_queries_take_companies_without_penalties(spark, monkeypatch, name):
+    df = spark.createDataFrame(days((0, None), (200, None), (300, None), (350, None), (420, None), (900, None)), COLS)
+    monkeypatch.setattr(catalog, "v", lambda s, d: df)
+    got = [r.asDict() for r in catalog.queries()[name](spark, "").collect()]
+    if name == "w05_mean_ranks":
+        assert got == [{"u1": 1.0, "n1": 1, "n2": 1}]
+    else:
+        assert {(r["company_name_normalized"], r["analysis_type"]) for r in got} == {("A", "significant_violation")}
