@@ -318,7 +318,7 @@ over_v("a19_company_breakdown", lambda df: A.company_breakdown(df).select(KEY, F
 over_v("a20_type_histogram", lambda df: A.type_histogram(df).select(KEY, "agency", F.explode("violation_types").alias("viol_type", "n")), sql(f"SELECT {KEY}, agency, viol_type, count(*) AS n FROM v WHERE {KEY} <> '' AND viol_type IS NOT NULL GROUP BY ALL"))
 _CROSS = ", ".join(f"CASE WHEN count(*) FILTER (agency = '{x}') >= 3 THEN count(*) FILTER (agency = '{x}') ELSE 0 END AS \"{x}\"" for x in ("OSHA", "EPA", "MSHA", "FDA"))
 over_v("a21_cross_agency", lambda df: A.cross_agency(df, ["OSHA", "EPA", "MSHA", "FDA"], 3), sql(f"SELECT * FROM (SELECT {KEY}, {_CROSS} FROM v WHERE {KEY} <> '' GROUP BY 1) WHERE (OSHA > 0)::INT + (EPA > 0)::INT + (MSHA > 0)::INT + (FDA > 0)::INT > 1"))
-over_v("a22_top_matched_names", lambda df: company.search_company(df, NAME, threshold=0, limit=10_000).groupBy("company_name").agg(F.max("similarity").alias("best")).orderBy(F.desc("best"), "company_name").limit(5))
+over_v("a22_top_matched_names", lambda df: R.find_matches(R.distinct_names(df), NAME, 0, 5).select(F.col("name").alias("company_name"), F.col("similarity").alias("best")))
 over_v("a23_matches_by_agency", lambda df: n_rows(search.matching(df, company=NAME), "agency"), sql(f"SELECT agency, count(*) AS row_count FROM v WHERE {_named} GROUP BY agency"))
 over_v("a24_repeat_standards", A.repeat_standards, sql(f"SELECT {KEY}, count(*) FILTER (n > 1) AS repeat_standards FROM (SELECT {KEY}, standard, count(*) AS n FROM v WHERE {KEY} <> '' AND standard IS NOT NULL GROUP BY 1, 2) GROUP BY 1"))
 over_v("a25_shared_dates", A.shared_dates, sql(f"SELECT {KEY}, violation_date, count(DISTINCT agency) AS agencies FROM v WHERE {KEY} <> '' GROUP BY 1, 2 HAVING count(DISTINCT agency) > 1"))
@@ -355,7 +355,7 @@ over_v("f07_find_matches", lambda df: R.find_matches(R.distinct_names(df), "Red
 over_v("f08_match_rows", lambda df: n_rows(R.match_rows(df, "red plate promo", 75), "company_name", "similarity"))
 over_v("f09_group_similar", lambda df: R.group_similar(R.distinct_names(df), 85))
 over_v("f10_search_one_agency", lambda df: company.search_company(df, NAME, ["OSHA"], fuzzy=False, limit=500).select("agency", "company_name", "activity_nr"), sql(f"SELECT agency, company_name, activity_nr FROM v WHERE {_named} AND agency = 'OSHA' ORDER BY company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty LIMIT 500"))
-over_v("f11_search_company", lambda df: company.search_company(df, NAME, threshold=50, limit=200).select("agency", "company_name", "activity_nr", "similarity"))
+over_v("f11_search_company", lambda df: company.search_company(df, NAME, threshold=50, limit=200, prefilter=None).select("agency", "company_name", "activity_nr", "similarity"))
 over_v("f12_resolve", lambda df: n_rows(R.resolved(df, R.group_similar(R.distinct_names(df), 85)), "representative"))
 over_v("f12_watch_list", lambda df: R.watch_list(R.distinct_names(df), ["Red Plate Promo", "Blue Lamp LLC"], 70))
 over_v("f13_best_match", lambda df: R.best_match(R.distinct_names(df), "The Red Plate Promo, Inc.", 75))

@@ -6,8 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docketry import catalog
 from docketry.functions import names as N
 from docketry.operators import resolve as R
+from docketry.operators import search
 
 
 def lcs(a, b):
@@ -99,3 +101,16 @@ def test_pairs_without_a_common_beginning(spark, monkeypatch):
 def test_watch_list_finds_misspellings(spark):
     names = R.distinct_names(spark.createDataFrame([("Bleu Lapm",), ("Zzz",)], "company_name string"))
     assert [r["name"] for r in R.watch_list(names, ["Blue Lamp LLC"], 70).collect()] == ["Bleu Lapm"]
+
+
+def test_top_names_and_search_miss_no_name(spark, monkeypatch):
+    monkeypatch.setattr(search, "MOST_ROWS", 10)
+    cols = "company_name string, agency string, activity_nr string"
+    rows = [("Red", "OSHA", str(k)) for k in range(30)] + [(n, "EPA", "x") for n in ("Rde", "Redd", "Ret", "Bred", "Zzz", None)]
+    df = spark.createDataFrame(rows, cols).withColumn("company_name_normalized", N.normalized("company_name"))
+    monkeypatch.setattr(catalog, "v", lambda s, d: df)
+    top = [r["company_name"] for r in catalog.queries()["a22_top_matched_names"](spark, "").collect()]
+    assert top == sorted(["Red", "Rde", "Redd", "Ret", "Bred"], key=lambda n: (-round(N.similarity(n.upper(), "RED"), 6), n))
+    monkeypatch.setattr(search, "MOST_ROWS", 10_000)
+    found = {r["company_name"] for r in catalog.queries()["f11_search_company"](spark, "").collect()}
+    assert found == {n for n in ("Red", "Rde", "Redd", "Ret", "Bred", "Zzz") if N.similarity(n.upper(), "RED") >= 50} and "Rde" in found
