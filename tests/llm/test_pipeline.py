@@ -64,3 +64,11 @@ def test_clean_documents_stay(steps):
 def test_run(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     assert sorted(r["ids_sha256"] for r in got.collect()) == sorted(r["ids_sha256"] for r in steps[-1][2])
+
+
+def test_dedup_of_repeated_and_missing_ids(spark):
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcd"]
+    rows = [(1, 0), (1, 0), (1, 1), (2, 1), (3, 0), (None, 2), (None, 2), (None, 0), (4, 3), (None, 3)]
+    docs = spark.createDataFrame([(i, texts[t], "en", "s", len(texts[t])) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs.repartition(3), SF).collect()
+    assert sorted((r["text"], r["doc_id"]) for r in got) == [(texts[0], 1), (texts[1], 1), (texts[2], None), (texts[3], 4)]
