@@ -72,3 +72,14 @@ def test_dedup_of_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(i, texts[t], "en", "s", len(texts[t])) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, docs.repartition(3), SF).collect()
     assert sorted((r["text"], r["doc_id"]) for r in got) == [(texts[0], 1), (texts[1], 1), (texts[2], None), (texts[3], 4)]
+
+
+def test_unlearned_script_is_dropped(spark):
+    rng = random.Random(3)
+    letters = [chr(k) for k in range(0x10D0, 0x10F1)]
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(strange), SF).collect()]
+    assert sum(i >= 10**9 for i in got) <= 2
+    assert sum(i < 10**9 for i in got) >= 0.99 * docs.count()
