@@ -28,7 +28,7 @@ def distinct_names(df: DataFrame, column: str = "company_name") -> DataFrame:
     return df.filter(filled(column)).select(F.col(column).alias("name")).distinct().withColumn("norm", normalized("name")).filter("norm <> ''")
 
 
-def find_matches(names: DataFrame, query: str, threshold: float = 75, limit: int = 10, prefilter: str | None = None) -> DataFrame:
+def find_matches(names: DataFrame, query: str, threshold: float = 75, limit: int | None = 10, prefilter: str | None = None) -> DataFrame:
     """``name, similarity`` of names like ``query``, best first.
 
     ``prefilter='substring'`` keeps only names that hold the normalised query, which
@@ -38,15 +38,16 @@ def find_matches(names: DataFrame, query: str, threshold: float = 75, limit: int
     cand = names.filter(F.col("norm").contains(target)) if prefilter == "substring" else names
     scored = cand.select("norm").distinct().withColumn("target", target).withColumn("similarity", measure("weighted", "norm", "target"))
     out = names.join(scored.filter(F.col("similarity") >= threshold).drop("target"), "norm")
-    return out.select("name", "similarity").orderBy(F.desc("similarity"), "name").limit(limit)
+    out = out.select("name", "similarity").orderBy(F.desc("similarity"), "name")
+    return out if limit is None else out.limit(limit)
 
 
 def best_match(names: DataFrame, query: str, threshold: float = 75) -> DataFrame:
     return find_matches(names, query, threshold, limit=1)
 
 
-def match_rows(df: DataFrame, query: str, threshold: float = 75, column: str = "company_name", limit: int = 1000) -> DataFrame:
-    """Rows whose name matches, with the similarity; best first."""
+def match_rows(df: DataFrame, query: str, threshold: float = 75, column: str = "company_name", limit: int | None = None) -> DataFrame:
+    """Rows whose name matches, with the similarity; those of the ``limit`` best names if given."""
     hits = find_matches(distinct_names(df, column), query, threshold, limit).withColumnRenamed("name", "__name")
     return df.join(hits, F.col(column) == F.col("__name")).drop("__name")
 

@@ -114,3 +114,9 @@ def test_top_names_and_search_miss_no_name(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_ROWS", 10_000)
     found = {r["company_name"] for r in catalog.queries()["f11_search_company"](spark, "").collect()}
     assert found == {n for n in ("Red", "Rde", "Redd", "Ret", "Bred", "Zzz") if N.similarity(n.upper(), "RED") >= 50} and "Rde" in found
+
+
+def test_match_rows_has_no_limit(spark):
+    df = spark.range(1200).select(F.concat(F.lit("Red Plate Promo "), F.col("id")).alias("company_name"))
+    assert R.match_rows(df, "red plate promo", 50).count() == 1200
+    assert R.match_rows(df, "red plate promo", 50, limit=7).count() == 7
