@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: White space that separates words, in Java and RE2 syntax.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
 
 def words(text: Column | str) -> Column:
     """Array of the words of a text; empty for null."""
@@ -20,11 +18,29 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def n_words(text: Column | str) -> Column:
+    """How many words a text has; 0 for null."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.regexp_count(text, F.lit(SPACE.replace("[", "[^", 1))), F.lit(0)).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, bound to a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores in front as make it unlike all of ``taken`` (cases don't count)."""
+    used = {c.lower() for c in taken}
+
+    def one(name: str) -> str:
+        while name.lower() in used:
+            name = f"_{name}"
+        return name
+
+    return tuple(map(one, names))
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the fifth of the documents that no model may learn from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -32,15 +48,19 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one made here if unset."""
+    """Folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that isn't set, a session on one machine gets a folder in the warehouse; on
+    a cluster it is an error, as no folder is known to be shared.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="docketry-shared-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docketry-shared"
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def cut(df: DataFrame) -> DataFrame:

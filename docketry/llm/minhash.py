@@ -8,20 +8,33 @@ whose estimate is ``MARGIN`` under the threshold at least are confirmed on the
 full sets.
 
 Equal sets are one class, represented by its least id, so copies cost nothing
-after that.  In each band bucket every class is paired with two members: that with the
-fullest buckets, and one drawn by hash (another in each bucket); so pairs grow with the
-rows, not with the square of a bucket.  The links so found are joined to components.  At last all
-pairs in a cluster of connected buckets whose ends still lie in different components
-are compared, by estimate and then on the full sets, in cells of two chunks of a
-cluster, so no link of a bucket is lost; a cell returns the links
-that join its components.  Clusters of more
-than ``CLUSTER`` classes are compared bucket by bucket instead, which is as exact.
-A pair at the
-threshold itself shares no bucket with probability (1 - 0.75^5)^40 = 2e-5.
-
-Nulls and texts without words have empty sets, linked with nothing; a null id has
-a null component and isn't kept.  Repeated rows fall in one class.  An empty
-table gives an empty result.  Long texts are used whole.
+after that.  Links are looked for in two steps.
+
+1. In each band bucket every class is paired with two members: that with the fullest
+   buckets, and one drawn by hash (another in each bucket); so pairs grow with the rows,
+   not with the square of a bucket.  The links so found are joined to components.
+2. Where a bucket still holds several components, its strays (the members outside its
+   largest component) are compared with all its members of other components, so
+   every two classes that share a bucket are compared or already connected.  Strays and
+   members meet in cells of ``CHUNK`` by ``CHUNK``.  Cells first get signatures alone and
+   name the classes whose estimate reaches the threshold less ``MARGIN``; only those
+   classes' full sets are then sent to the cell, which returns the links that join
+   components.  The work is strays times members, which is linear in a group of copies
+   where the leaders join most of it.
+
+Buckets that overlap are put together first, so that a pair which shares many of them is
+compared once; clusters of more than ``CLUSTER`` classes are taken bucket by bucket.
+Either way just the pairs that share a bucket are compared, each in one place, so
+the links don't depend on it.
+
+A pair at the threshold itself shares no bucket with probability (1 - 0.75^5)^40 =
+2e-5, and its estimate is more than ``MARGIN`` low (four standard deviations) about as
+seldom; more alike pairs are found more surely.
+
+Nulls and texts without words have empty sets, linked with nothing.  A row with a null id
+takes its class's component, null if no row of the class has an id, and is never
+kept; it never names a component.  Repeated rows fall in one class.  An empty table gives an
+empty result.  Long texts are used whole.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +55,9 @@ BANDS, ROWS, BITS = 40, 5, 4
 THRESHOLD = 75
 MARGIN = 0.13
 ENOUGH = THRESHOLD / 100 - MARGIN
-#: Clusters of buckets with more classes are compared bucket by bucket.
+#: Clusters of buckets with more classes are compared bucket by bucket; the links are the same.
 CLUSTER = 20_000
-#: Classes of a group that are compared in one task, with as many others.
+#: Strays of a group that are compared in one task, with as many members.
 CHUNK = 512
 #: Ids of classes that share a bucket are sent to every task up to this number, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -144,16 +157,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(alike(F.col("sh_a"), F.col("sh_b"))).select("a", "b")
 
 
+def _likely(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each stray of a cell the members of other components that share a bucket with it and have a fair estimate (as places in ``pdf``)."""
+    stray = pdf["stray"].to_numpy()
+    left, right = np.flatnonzero(stray), np.flatnonzero(~stray)
+    if not len(left) or not len(right):
+        return
+    comp, at = pdf["comp"].to_numpy(), pdf["at"].to_numpy()
+    sig = np.stack(pdf["sig"].to_numpy()).view(np.uint64)
+    bands = np.stack(pdf["bands"].to_numpy())
+    theirs, by_band = np.ascontiguousarray(sig[right].T), pdf["by_band"].iloc[0]
+    ones = np.uint64(int("1" * _LANES, 16))
+    most = BANDS * ROWS * (1 - (ENOUGH * (1 - 2.0**-BITS) + 2.0**-BITS))
+    for i in left:
+        x = theirs ^ sig[i][:, None]
+        for s in (1 << k for k in range((BITS - 1).bit_length())):
+            x |= x >> np.uint64(s)
+        unequal = np.bitwise_count(x & ones).sum(axis=0, dtype=np.int64)
+        js = right[(unequal <= most) & (comp[right] != comp[i])]
+        equal = bands[js] == bands[i]
+        # by bucket, a pair is compared in the first that it shares
+        js = js[bands[i][equal.argmax(axis=1)] == at[i]] if by_band and len(js) else js
+        js = js[(bands[js] == bands[i]).any(axis=1)]
+        if len(js):
+            yield i, js
+
+
+def _cell_needs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one cell whose full sets are needed."""
+    use = np.zeros(len(pdf), bool)
+    for i, js in _likely(pdf):
+        use[i] = True
+        use[js] = True
+    return pdf[use]
+
+
 def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links that join the components of one cell's rows, as many as needed."""
-    part, lo, hi = pdf["part"].to_numpy(), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    left = np.flatnonzero(part == lo)
-    right = np.flatnonzero(part == hi)
     rep, comp, sets = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), pdf["sh"].to_numpy()
-    sig = np.stack(pdf["sig"].to_numpy()).view(np.uint64)
-    ones = np.uint64(int("1" * _LANES, 16))
-    least = BANDS * ROWS * (ENOUGH * (1 - 2.0**-BITS) + 2.0**-BITS)
-    seen: dict[int, set[int]] = {}
+    size = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    start = np.cumsum(size) - size
+    marked = np.zeros(len(codes) + 1, bool)
     up = {int(c): int(c) for c in comp}
 
     def root(c: int) -> int:
@@ -162,28 +207,54 @@ def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
         return c
 
     found = []
-    for i in left:
-        unequal = np.zeros(len(right), np.int64)
-        for k in range(sig.shape[1]):
-            x = sig[i, k] ^ sig[right, k]
-            for s in range(1, BITS):
-                x = x | (x >> np.uint64(s)) if s & (s - 1) == 0 else x
-            unequal += np.bitwise_count(x & ones)
-        near = (BANDS * ROWS - unequal >= least) & (comp[right] != comp[i])
-        if lo == hi:
-            near &= right > i
-        for j in right[near]:
+    for i, js in _likely(pdf):
+        js = js[[root(int(comp[j])) != root(int(comp[i])) for j in js]]
+        if not len(js):
+            continue
+        mine = codes[start[i] : start[i] + size[i]]
+        marked[mine] = True
+        each = size[js]
+        ends = np.cumsum(each) - each
+        theirs = codes[np.arange(each.sum()) - np.repeat(ends - start[js], each)]
+        both = np.add.reduceat(marked[theirs].astype(np.int64), ends)
+        marked[mine] = False
+        for j in js[100 * both >= THRESHOLD * (size[i] + each - both)]:
             p, q = root(int(comp[i])), root(int(comp[j]))
-            if p == q:
-                continue  # linked by way of others
-            a, b = (seen.setdefault(k, set(sets[k].tolist())) for k in (i, j))
-            both = len(a & b)
-            if 100 * both >= THRESHOLD * (len(a) + len(b) - both):
+            if p != q:
                 up[p] = q
                 found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+_CELL = "by_band boolean, key long, i int, j int, stray boolean, rep long, comp long, at long, sig array<long>, bands array<long>"
+
+
+def _stray_links(shared: DataFrame, first: DataFrame, signed: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that share a bucket and lie in different components of ``found``."""
+    cluster = components(first).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
+    every = signed.select("rep").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    every = cut(every.select("rep", "cluster", F.coalesce("component", "rep").alias("comp")))
+    mixed = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "n")
+    every = every.join(mixed, "cluster")
+    small = every.filter(F.col("n") <= CLUSTER).select(F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "rep", "comp")
+    large = every.filter(F.col("n") > CLUSTER).select("rep", "comp").join(shared.select("rep", F.col("band").alias("key")), "rep")
+    rows = cut(small.union(large.select(F.lit(True).alias("by_band"), "key", "rep", "comp")))
+    group = ["by_band", "key"]
+    each = rows.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("c"))
+    groups = each.groupBy(*group).agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("n > top")
+    rows = rows.join(groups, group)
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    strays, members = chunks(F.col("n") - F.col("top")), chunks(F.col("n"))
+    mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    several = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.filter("comp <> main").select(*group, mine(strays).alias("i"), several(members).alias("j"), F.lit(True).alias("stray"), "rep", "comp")
+    right = rows.select(*group, several(strays).alias("i"), mine(members).alias("j"), F.lit(False).alias("stray"), "rep", "comp")
+    cells = left.union(right).join(signed.select("rep", "sig", "bands"), "rep").withColumn("at", F.col("key"))
+    cells = cells.select(*[c.split()[0] for c in _CELL.split(", ")])
+    needed = cut(cells.groupBy(*group, "i", "j").applyInPandas(_cell_needs, _CELL))
+    return needed.join(full, "rep").groupBy(*group, "i", "j").applyInPandas(_cell_links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (doc_id, text)."""
     hashed = docs.select("doc_id", shingles("text").alias("sh")).mapInArrow(
@@ -199,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(banded.join(buckets, "band"))
     used = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    signed = cut(reps.join(used, "rep"))
+    signed = cut(reps.join(used, "rep").select("rep", "weight", "sig", "bands"))
     few = F.broadcast(used.select("rep")) if signed.count() <= BROADCAST_ROWS else used
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few, "rep", "left_semi")
     full = stored(texts.select("rep", shingles("text").alias("sh")).dropDuplicates(["rep"]), "full")
@@ -216,26 +287,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = first.union(met.filter("rep <> drawn").select(*pair("rep", "drawn"))).distinct()
     likely = tested.join(sig_a, "a").join(sig_b, "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= ENOUGH).select("a", "b")
     found = cut(components(_confirmed(likely, full)))
-    # all pairs in one cluster of buckets that are still in different components; in large clusters, in one bucket
-    cluster = components(first).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
-    every = cut(signed.select("rep").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-    mixed = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "n")
-    every = every.join(mixed, "cluster")
-    cols = ("rep", "comp", "by_band", "key", "n")
-    small = every.filter(F.col("n") <= CLUSTER).select("rep", "comp", F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "n")
-    large = every.filter(F.col("n") > CLUSTER).drop("n").join(shared.select("rep", F.col("band").alias("key"), "n"), "rep").withColumn("by_band", F.lit(True)).select(*cols)
-    # a group is dealt over a grid of cells, each holding two chunks of it at most
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    rest = small.union(large).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cells = ("by_band", "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    rest = rest.select("rep", "comp", "part", *cells).join(signed.select("rep", "sig"), "rep").join(full, "rep")
-    more = cut(rest.groupBy("by_band", "key", "lo", "hi").applyInPandas(_cell_links, "a long, b long").distinct())
+    more = cut(_stray_links(shared, first, signed, found, full))
     if not more.isEmpty():
         found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    classed = classes.select(*key, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    out = sets.select("doc_id", *key).join(classed, key, "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    classed = classes.select(*key, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    # documents without words are many rows of no class
+    some = sets.filter("n_shingles > 0").select("doc_id", *key).join(classed, key).select("doc_id", "n_shingles", "component_id")
+    none = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op10_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,36 +2,41 @@
 
 Targets share the words of all documents by weight; none exceeds
 ``max_epochs`` times its source.  Within a source, documents get hash-random
-keys.  Keys are uniform, so equal ranges of them cut a source into ranges of
-like size; a document's place is the sum of its range's predecessors plus a
-prefix sum inside its range.  A source's budget is cut there at its exact
-word: whole epochs first, then documents in key order, the last one in part.
-
-The rows of a range and the ranges of a source both number about the square
-root of the source's rows (``min_range_rows`` at least), so neither prefix sum
-needs a large group in one task.  The table of sources is the only thing
-ordered as a whole; it has a row a source.
+keys (of all their columns, so that rows are spread whatever ids they repeat or lack).
+Keys are uniform, so ``RANGES`` equal ranges of them cut a source into ranges of like
+size.  A document's place is the sum of the ranges before its own plus a prefix sum
+inside it.  A source's budget is cut there at its exact word: whole epochs first, then
+documents in key order, the last one in part.
+
+The sums of the ranges tell which one holds the cut, so documents are sorted inside
+that range alone; every other document is taken or left by its key, and no text is
+shuffled.  One task holds a source's range sums, another the narrow rows of its cut
+range.  The table of sources is the only thing ordered as a whole; it has a row a source.
+Rows that are equal in every column share a key; if the cut falls on them, they are
+counted by partition, so they needn't meet in one task either.
 
 Nulls: a null source is a source of its own, ordered last; a null text has
-size 0.  Null ids sort by the other columns of the key.  Repeated rows are
-documents of their own.  An empty table gives an empty mix.  Columns of the
-input named like a result are replaced by it.
+size 0; null ids are values like others.  Repeated rows are documents of their own.
+An empty table gives an empty mix.  A very long text is one document like others.  Columns
+of the input named like a result are replaced by it; all others are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docketry.llm.common import cut, words
+from docketry.llm.common import free, n_words, stored
 
 WEIGHTS = (5, 2, 1)
 RESULTS = ("size", "source_size", "target", "taken")
-_SPAN = 1 << 48
+#: Ranges of keys; a power of two.
+RANGES = 1 << 14
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """``source, source_size, n_rows`` with weight and target; fills the smallest caps first."""
+    """``source, source_size`` with its target; fills the smallest caps first."""
     weight = F.array(*[F.lit(int(w)).cast("long") for w in weights])
     order = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy()
@@ -53,57 +58,74 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> D
     })
     share = (F.col("rest") * F.col("weight")).cast("double") / F.col("rest_weight").cast("double")
     return s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share)).select(
-        "source", "source_size", "n_rows", "target"
+        "source", "source_size", "target"
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: int = 3,
-    seed: int = 17,
-    min_range_rows: int = 2000,
-) -> DataFrame:
-    """The rows of ``docs`` with ``size, source_size, target, taken``.
+def _hashed(docs: DataFrame, columns: list[str], seed: int):
+    """A random number for a row, the same for rows that are equal in all columns that can be hashed."""
+    plain = [c for c in columns if not any(k in docs.schema[c].dataType.simpleString() for k in ("map<", "variant", "interval"))]
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain])
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17, ranges: int = RANGES) -> DataFrame:
+    """The rows of ``docs`` (text, source, any others) with ``size, source_size, target, taken``.
 
     ``taken`` counts the words that the mix takes from a row, repeats counted;
     it is between 0 and ``max_epochs`` times ``size``.
     """
     own = [c for c in docs.columns if c not in RESULTS]
-    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 16)
-    tie = F.xxhash64(F.lit(seed + 1), "text") if "text" in own else F.lit(0).cast("long")
-    base = docs.select(*[F.col(f"`{c}`") for c in own], F.size(words("text")).cast("long").alias("size"), key.alias("__key"), tie.alias("__tie"))
-    if "text" not in own or len(own) <= 3:
-        base = cut(base.drop("text")) if "text" in own else base
-        narrow = base.select("source", "size", "__key")
-    else:
-        narrow = cut(base.select("source", "size", "__key"))
-    sources = _targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), weights, max_epochs)
-    sources = cut(sources.withColumnRenamed("source", "__source"))
-    wide = F.greatest(F.lit(min_range_rows), F.ceil(F.sqrt("n_rows")))
-    ranges = F.ceil(F.col("n_rows") / wide)
-
-    def ranged(df: DataFrame) -> DataFrame:
-        joined = df.join(sources, F.col("source").eqNullSafe(F.col("__source")))
-        return joined.withColumn("__range", F.floor(F.col("__key").cast("double") * ranges / float(_SPAN)))
-
-    sums = ranged(narrow).groupBy("__source", "__range").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        F.col("__source").alias("__of"), F.col("__range").alias("__r"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset")
-    )
-    inside = (
-        Window.partitionBy("source", "__range").orderBy("__key", "doc_id", "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = ranged(base).withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__r")))
+    kept = [F.col(f"`{c}`") for c in own]
+    key, of = free([*own, *RESULTS], "key", "of")
+    bits = ranges.bit_length() - 1
+    size, hashed = n_words("text").alias("size"), _hashed(docs, own, seed).alias(key)
+    span = F.shiftright(F.col(key), 64 - bits) if bits else F.lit(0).cast("long")  # equal ranges, in the order of the keys
+    narrow = docs.select("source", size, hashed)
+
+    sums = stored(narrow.groupBy("source", span.alias("span")).agg(F.sum("size").alias("s")), "ranges")
+    sources = _targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, max_epochs)
     budget = F.floor(F.col("target"))
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
-    whole = F.least(whole, F.lit(max_epochs)).cast("long")
-    rest = budget - whole * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__offset") - F.col("__inside")))
-    left = [c for c in base.columns if c in own]
-    return placed.select(*[F.col(f"`{c}`") for c in left], "size", "source_size", "target", (whole * F.col("size") + part).cast("long").alias("taken"))
+    sources = sources.withColumn("epochs", F.least(whole, F.lit(max_epochs)).cast("long")).withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
+    sources = stored(sources, "sources")
+
+    def before(column: str, *by: str, order: str):
+        return F.coalesce(F.sum(column).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # the first range, and in it the first key, at whose end the budget is passed
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    placed = sums.withColumn("start", before("s", "source", order="span")).alias("p").join(sources.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")))
+    at = placed.filter((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("s"))).select(F.col("p.source").alias("source"), F.col("span").alias("at"), (F.col("rest") - F.col("start")).alias("left"))
+    at = stored(at, "cut-ranges")
+    keyed = docs.select("source", "text", hashed)
+    inside = keyed.join(at, same(keyed, at) & (span == F.col("at"))).select(at["source"], "left", size, key)
+    inside = inside.groupBy("source", "left", key).agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).withColumn("start", before("s", "source", order=key))
+    cuts = inside.filter((F.col("start") <= F.col("left")) & (F.col("left") < F.col("start") + F.col("s")))
+    cuts = cuts.select(F.col("source").alias(of), F.col(key).alias("cut_key"), (F.col("left") - F.col("start")).alias("cut_rest"), F.col("n").alias("cut_rows"))
+    found = sources.join(cuts, sources["source"].eqNullSafe(cuts[of]), "left").drop(of).withColumnRenamed("source", of)
+    # one struct, so that no name of the input can clash
+    found = stored(found.select(of, F.struct("source_size", "target", "epochs", "cut_key", "cut_rest", "cut_rows").alias("cut")), "cuts")
+    of_, cut_ = free([*own, key, *RESULTS], of, "cut")
+    found = found.select(F.col(of).alias(of_), F.col("cut").alias(cut_))
+
+    x, k = F.col(cut_), F.col(key)
+    joined = docs.select(*kept, size, hashed).join(found, F.col("source").eqNullSafe(F.col(of_)))
+    shared = F.coalesce((k == x["cut_key"]) & (x["cut_rows"] > 1), F.lit(False))
+
+    def taken(rows: DataFrame, part) -> DataFrame:
+        return rows.select(*kept, "size", x["source_size"].alias("source_size"), x["target"].alias("target"), (x["epochs"] * F.col("size") + part).cast("long").alias("taken"))
+
+    part = F.when(x["cut_key"].isNull() | (k > x["cut_key"]), F.lit(0)).when(k < x["cut_key"], F.col("size")).otherwise(F.least(F.col("size"), x["cut_rest"]))
+    out = taken(joined.filter(~shared), part)
+    if found.filter(x["cut_rows"] > 1).isEmpty():
+        return out
+    # equal rows at a cut: numbered within their partitions, which follow each other
+    here, place, sum_, start = free([*own, key, of_, cut_, *RESULTS], "here", "place", "sum", "start")
+    ties = stored(joined.filter(shared).withColumn(here, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()), "ties")
+    starts = ties.groupBy(of_, here).agg(F.sum("size").alias(sum_)).withColumn(start, before(sum_, of_, order=here)).select(F.col(of_).alias("_of"), F.col(here).alias("_here"), start)
+    ties = ties.withColumn(place, before("size", of_, here, order=place)).join(starts, F.col(of_).eqNullSafe(F.col("_of")) & (F.col(here) == F.col("_here")))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), x["cut_rest"] - F.col(start) - F.col(place)))
+    return out.union(taken(ties, rest))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

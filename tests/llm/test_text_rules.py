@@ -4,10 +4,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.llm import components as components_module
 from docketry.llm import line_rules, minhash, mixing
 from tests.llm.helpers import components, shingle_set, words
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, key string, cut string, _of string, Of string, here string"
 
 
 def prose(rng, n, vocab=400):
@@ -29,7 +30,7 @@ def test_line_rules(spark):
         None, "", " \t\n", "one two", good, f"{menu}\n{good}\nAll rights reserved 2024.\nshort bit", "\n".join([menu + " | a | b"] * 40 + [good[:60] + "."]), "a b c " * 100, "x\ny.\nx\n\n \nx",
         "A!! " * 60, " ".join(f"t{i}###" for i in range(80)), "é\x0bü z　q " + good, good + " " + good, "w " * 20_000, prose(rng, 30_000, 10**7),
     ]
-    rows = [(k, t, None, None, None, None, "s") for k, t in enumerate(texts)] + [(4, good, None, None, None, None, "s")]
+    rows = [(k, t, None, None, None, None, "s", *"abcde") for k, t in enumerate(texts)] + [(4, good, None, None, None, None, "s", *"abcde")]
     got = line_rules.clean_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -62,13 +63,13 @@ def targets(sizes, weights=(5, 2, 1)):
         full |= over
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_mix(spark, seed):
+@pytest.mark.parametrize(("seed", "ranges"), [(1, 1), (2, 64), (2, 1 << 14)])
+def test_mix(spark, seed, ranges):
     rng = random.Random(seed)
-    rows = [(k, prose(rng, rng.randrange(0, 60)), None, rng.choice(["a", "b", "c", "é", "z", None] + ["a"] * 10), None, None, "s") for k in range(600)]
-    rows += [(1000, None, None, "a", None, None, "s"), (1001, "", None, "only-empty", None, None, "s"), (None, "q r", None, "b", None, None, "s"), (5, "same same", None, "c", None, None, "s"), (5, "same same", None, "c", None, None, "s")]
+    rows = [(k, prose(rng, rng.randrange(0, 60)), None, rng.choice(["a", "b", "c", "é", "z", None] + ["a"] * 10), None, None, "s", *"abcde") for k in range(600)]
+    rows += [(1000, None, None, "a", None, None, "s", *"abcde"), (1001, "", None, "only-empty", None, None, "s", *"abcde"), (None, "q r", None, "b", None, None, "s", *"abcde"), (5, "same same", None, "c", None, None, "s", *"abcde"), (5, "same same", None, "c", None, None, "s", *"abcde")]
     df = spark.createDataFrame(rows, DOCS)
-    got = mixing.mix_sources(df, min_range_rows=20).collect()
+    got = mixing.mix_sources(df, ranges=ranges).collect()
     assert len(got) == len(rows)
     sizes = Counter()
     for r in rows:
@@ -82,12 +83,29 @@ def test_mix(spark, seed):
         taken[r["source"]] += r["taken"]
     for s, t in want.items():
         assert taken[s] == int(t + 1e-9)
-    again = mixing.mix_sources(df.repartition(7), min_range_rows=20).collect()
+    again = mixing.mix_sources(df.repartition(7), ranges=ranges).collect()
     key = lambda r: (str(r["doc_id"]), str(r["text"]), r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, again))
+    assert got[0]["key"] == "a" and got[0]["Of"] == "d"
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_keeps_few_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s"), (2, None, "t")], "doc_id long, text string, source string")
+    assert mixing.mix_sources(df).columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
+    assert {r["text"] for r in mixing.mix_sources(df).collect()} == {"a b", None}
+
+
+def test_mix_of_equal_rows(spark):
+    rows = [(None, "one two three", "hot")] * 500 + [(k, "x y", "hot") for k in range(5)] + [(k, "z " * 400, "other") for k in range(9)] + [(1, "q " * 900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(df).collect()
+    want = targets({"hot": 1510, "other": 3600, None: 900})
+    for s, t in want.items():
+        assert sum(r["taken"] for r in got if r["source"] == s) == int(t + 1e-9)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got) and len(got) == len(rows)
+
+
 def changed(rng, text, k):
     w = text.split()
     for _ in range(k):
@@ -95,9 +113,10 @@ def changed(rng, text, k):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("cluster", [20_000, 2])
-def test_near_duplicates(spark, monkeypatch, cluster):
+@pytest.mark.parametrize(("cluster", "chunk"), [(20_000, 512), (2, 512), (20_000, 7)])
+def test_near_duplicates(spark, monkeypatch, cluster, chunk):
     monkeypatch.setattr(minhash, "CLUSTER", cluster)
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     rng = random.Random(3)
     texts = [None, "", " \n", "Hi", "hi", "a b c d", "A B\tC\nD", "x y z a b", "x y z a b c"]
     for _ in range(12):
@@ -105,17 +124,23 @@ def test_near_duplicates(spark, monkeypatch, cluster):
         texts += [base, base.upper(), base + " tail", *[changed(rng, base, rng.randrange(1, 9)) for _ in range(8)]]
     hot = prose(rng, 140)
     texts += [changed(rng, hot, rng.randrange(1, 8)) for _ in range(120)]
+    # members that are alike in chains and by halves, so that leaders don't join them
+    for step in (4, 12):
+        links = [f"c{step}n{k}" for k in range(700)]
+        texts += [" ".join(links[k : k + 120]) for k in range(0, 500, step)]
+    texts += [" ".join(hot.split()[:110] + prose(rng, 40).split()) for _ in range(40)]
     texts += [prose(rng, 20_000, 10**6)] * 2
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    df = spark.createDataFrame([(i * 3, t, "x") for i, t in rows] + [(3 * 9, texts[9], "x"), (None, "null id", "x")], "doc_id long, text string, rep string")
+    df = spark.createDataFrame([(i * 3, t, "x") for i, t in rows] + [(3 * 9, texts[9], "x"), (None, "null id", "x"), (None, texts[9], "x"), (None, None, "x")], "doc_id long, text string, rep string")
     got = minhash.near_duplicates(df).collect()
     sets = {i * 3: shingle_set(t) for i, t in rows}
     want = components(sets)
-    assert len(got) == len(rows) + 2
+    assert len(got) == len(rows) + 4
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == sorted([str(want[27]), "None", "None"])
     for r in got:
         if r["doc_id"] is None:
-            assert r["component_id"] is None and not r["kept"]
+            assert not r["kept"]
         else:
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
     assert minhash.near_duplicates(df.filter("false")).count() == 0
@@ -133,3 +158,27 @@ def test_estimate(spark):
         got = pair.select(minhash.estimate(F.col("s"), F.col("t"))).first()[0]
         sa, sb = shingle_set(" ".join(a)), shingle_set(" ".join(b))
         assert got == pytest.approx(len(sa & sb) / len(sa | sb), abs=0.13)
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", limit)
+    rng = random.Random(limit)
+    edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(400, 520)] + [(900, 900), (None, 3), (4, None)] + [(rng.randrange(600, 800), rng.randrange(600, 800)) for _ in range(150)]
+    up = {k: k for e in edges if None not in e for k in e}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        if None not in (a, b):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["id"]: r["component"] for r in components_module.components(df).collect()}
+    assert got == {k: root(k) for k in up}
+    assert components_module.components(df.filter("false")).count() == 0
+    with pytest.raises(RuntimeError):
+        components_module.components(df, max_rounds=1)
