@@ -7,17 +7,19 @@ A language's prototype bundles the signs of the vectors of its texts, so all
 texts weigh alike whatever their length.  A text gets the language whose
 prototype has the largest cosine with it.
 
-Training and prediction run in Arrow batches.  A batch's n-grams are counted
-over all its texts at once and bound once each, then a matrix product bundles
-them, so memory is bounded by the characters of a block (``BLOCK_CHARS``, or one
-text).  Sums are whole numbers, so that results don't depend on partitioning.
-A partition of the training rows gives one row a language; the prototypes are
-the only thing that the driver holds: ``dim`` numbers a language.
+Training and prediction run in Arrow batches.  A block of texts (``BLOCK_CHARS``
+characters, or one text) becomes a row of symbols; its n-grams are counted and
+bound ``STEP`` symbols at a time, each step beginning with the last symbols of the one
+before, then a matrix product bundles them.  So a long text is bundled whole, and
+memory beyond its symbols is bounded.  Sums are whole numbers, so that results don't
+depend on partitioning.  A partition of the training rows gives one row a language; the
+prototypes are the only thing that the driver holds: ``dim`` numbers a language, and
+more than ``MAX_LANGS`` languages are an error.
 
 Null or letterless texts get ``und`` and score 0.  A null ``lang`` isn't learned
-from.  With nothing to learn from, every text gets ``und``.  Equal cosines go to
-the language first by code point.  Repeated rows get equal results; input
-columns named like a result are replaced.
+from.  With nothing to learn from, as for an empty table, every text gets ``und``.
+Equal cosines go to the language first by code point.  Repeated rows get equal
+results; input columns named like a result are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -35,7 +37,9 @@ from docketry.llm.common import held_out, table
 UNKNOWN = "und"
 DIM = 512
 N = 3
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
+STEP = 1 << 18
+MAX_LANGS = 1000
 _ROWS = 256
 _SPACE = 0x20
 
@@ -81,13 +85,22 @@ class Encoder:
         return np.array([_SPACE, *letters]), sym[keep], np.cumsum(bound[keep], dtype=np.int32) - 1
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        """A row for each text; all zeros without letters. Holds one block's n-grams at a time."""
+        """A row for each text; all zeros without letters."""
         kinds, at, text = self._symbols(texts)
-        base, m, n = len(kinds), len(texts), self.n
-        out = np.zeros((m, self.dim))
-        if len(at) < n + 1 or base == 1:
+        base, n = len(kinds), self.n
+        out = np.zeros((len(texts), self.dim))
+        if base == 1:
             return out
-        size = len(at) - n + 1
+        letters = np.array([_letter(int(k), self.dim, self.seed) for k in kinds])
+        placed = [np.roll(letters, n - 1 - i, axis=1) for i in range(n)]
+        for lo in range(0, len(at) - n + 1, STEP):
+            hi = lo + STEP + n - 1
+            self._bundle(out, at[lo:hi], text[lo:hi], placed)
+        return out
+
+    def _bundle(self, out: np.ndarray, at: np.ndarray, text: np.ndarray, placed: list[np.ndarray]) -> None:
+        """Adds the bound n-grams of a run of symbols to the rows of their texts."""
+        n, base, size = self.n, len(placed[0]), len(at) - self.n + 1
         gram = at[:size].astype(np.int64)
         for i in range(1, n):
             gram = gram * base + at[i : size + i]
@@ -96,10 +109,10 @@ class Encoder:
         use = (owner == text[n - 2 : n - 2 + size]) & (gram > 0)
         gram, owner = gram[use], owner[use]
         if not len(gram):
-            return out
-        grams, col = _ranks(gram, 1 << 23)
-        letters = np.array([_letter(int(k), self.dim, self.seed) for k in kinds])
-        placed = [np.roll(letters, n - 1 - i, axis=1) for i in range(n)]
+            return
+        first, m = owner[0], owner[-1] - owner[0] + 1
+        owner = owner - first
+        grams, col = _ranks(gram, 1 << 21)
         for lo in range(0, len(grams), 8192):
             part = grams[lo : lo + 8192]
             bound = placed[-1][part % base]
@@ -107,23 +120,17 @@ class Encoder:
                 bound = bound * placed[i][part // base ** (n - 1 - i) % base]
             at_, own = (col, owner) if len(grams) <= 8192 else (col[(sel := (col >= lo) & (col < lo + 8192))] - lo, owner[sel])
             counts = np.bincount(own * np.int64(len(part)) + at_, minlength=m * len(part)).reshape(m, len(part))
-            exact = np.float32 if len(at_) < 1 << 23 else np.float64
-            out += counts.astype(exact) @ bound.astype(exact)
-        return out
+            # sums of at most STEP ones are exact in single precision
+            out[first : first + m] += counts.astype(np.float32) @ bound.astype(np.float32)
 
 
 def vectors(encoder: Encoder, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Runs of texts with their vectors. A text over ``BLOCK_CHARS`` is bundled from slices of it."""
+    """Runs of texts with their vectors; a text over ``BLOCK_CHARS`` is a run of its own."""
     clean = [(x or "").replace("\x00", " ") for x in texts]
     lo, size = 0, 0
     for i, t in enumerate([*clean, None]):
-        full = t is None or size + len(t) > BLOCK_CHARS or i - lo >= _ROWS
-        if full and i > lo:
-            if size > BLOCK_CHARS:
-                parts = (clean[lo][k : k + BLOCK_CHARS] for k in range(0, size, BLOCK_CHARS))
-                yield lo, i, sum(encoder.encode([x]) for x in parts)
-            else:
-                yield lo, i, encoder.encode(clean[lo:i])
+        if i > lo and (t is None or size + len(t) > BLOCK_CHARS or i - lo >= _ROWS):
+            yield lo, i, encoder.encode(clean[lo:i])
             lo, size = i, 0
         size += len(t or "")
 
@@ -147,7 +154,9 @@ def learn(docs: DataFrame, encoder: Encoder | None = None) -> tuple[list[str], n
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     parts = rows.mapInPandas(bundle, T.StructType([T.StructField("lang", T.StringType()), T.StructField("sums", T.ArrayType(T.LongType()))]))
     total = parts.select("lang", F.posexplode("sums")).groupBy("lang", "pos").agg(F.sum("col").alias("s"))
-    found = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("v")).collect()
+    found = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("v")).limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages to learn")
     found = sorted(found, key=lambda r: r["lang"])
     proto = np.array([[x["s"] for x in r["v"]] for r in found], float).reshape(len(found), encoder.dim)
     return [r["lang"] for r in found], proto

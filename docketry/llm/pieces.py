@@ -7,15 +7,19 @@ to bytes.
 
 No piece of such a vocabulary holds the word mark after another character
 (checked when a model is loaded), so no merge crosses into a next word and each
-word (its mark and what follows) is encoded by itself.  In an Arrow batch the
-words not yet known are encoded together, the agenda of each word being a row of
-pair scores; words over ``LONG`` symbols take a heap of their own.  Each new
-word's ids are checked against the sentencepiece library before use, or with
-``check="texts"`` each whole text's; a difference fails the task.  At most ``KNOWN``
-words (or those of one run of texts) are remembered.  Decoding is the library's decode(ids).
-
-Null texts are empty; an empty text has the end id alone.  The vocabulary file
-is a parameter: a path readable on every executor.
+word (its mark and what follows) is encoded by itself.  In a run of texts (about
+``RUN_CHARS`` characters, or one text) the words not yet known are encoded together,
+the agenda of each word being a row of pair scores; words over ``LONG`` symbols take
+a heap of their own.  Each new word's ids are checked against the sentencepiece
+library before use, or with ``check="texts"`` each whole text's; a difference fails
+the task.  At most ``KNOWN`` words (or those of one run) are remembered, and none
+beyond the task, so a reused worker keeps the model alone.  Decoding is the library's
+decode(ids).
+
+Null texts are empty; an empty text has the end id alone.  Very long texts are
+encoded whole, in a run of their own.  Repeated rows get equal results; an empty table
+gives an empty result; input columns named like a result are replaced, others are kept.
+The vocabulary file is a parameter: a path readable on every executor.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +41,8 @@ from docketry.llm.common import table
 
 MARK = "▁"
 LONG = 48
-KNOWN = 300_000
+KNOWN = 100_000
+RUN_CHARS = 500_000
 _GONE = -1
 _NEVER = np.int32(1 << 30)
 _WORD = re.compile(f"[ {MARK}]+[^ {MARK}]*")
@@ -156,8 +161,8 @@ class Encoder:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in ((0, 6), (6, 9), (9, 12), (12, 16), (16, 24), (24, LONG)):
             mine = np.flatnonzero((size > lo) & (size <= hi))
-            for k in range(0, len(mine), 10_000):
-                part = mine[k : k + 10_000]
+            for k in range(0, len(mine), 4_000):
+                part = mine[k : k + 4_000]
                 place = start[part, None] + np.arange(hi)
                 inside = np.arange(hi) < size[part, None]
                 found.append((part, *self._agendas(np.where(inside, flat[np.minimum(place, len(flat) - 1)], _GONE), size[part])))
@@ -192,8 +197,8 @@ class Encoder:
         return ids[keep], np.bincount(word[keep], minlength=len(n))
 
     def _learn(self, words: list[str], check: bool) -> None:
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
             ids, n = self.words([w.replace(" ", MARK) for w in part])
             if check:
                 theirs = self.lib.encode([w[1:] for w in part], num_threads=1)
@@ -226,11 +231,7 @@ class Encoder:
     def encode(self, texts: list[str], check: str = "words") -> list[list[int]]:
         """Ids of whole texts, the end id last."""
         flat, ends = self.encode_flat(texts, check)
-        flat_, begins = flat.tolist(), [0, *ends.tolist()]
-        out = [flat_[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
-        if check == "texts" and out != self.lib.encode(texts, add_eos=True, num_threads=1):
-            raise ValueError("ids differ from the library's")
-        return out
+        return [x.tolist() for x in np.split(flat, ends[:-1])] if texts else []
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.lib.decode(ids, num_threads=1)
@@ -241,49 +242,62 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _runs(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > chars:
-            yield texts[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if texts:
-        yield texts[lo:]
+def _runs(size: np.ndarray, chars: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most ``chars`` characters in all, or of one row."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + chars, "right")) - 1)
+        yield lo, hi
+        lo = hi
 
 
 _SCHEMA = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 
 
-def encode_texts(docs: DataFrame, model_path: str, results: tuple[str, ...] = ("ids", "decoded"), check: str = "words") -> DataFrame:
-    """The rows of ``docs`` with any of ``ids, n_tokens, ids_sha256, decoded, decoded_sha256``.
-
-    Input columns of these names are replaced.  A task holds the texts, ids and
-    decoded texts of about four million characters at a time, or of one text.
+def _results(enc: Encoder, texts: list[str], results: tuple[str, ...], check: str) -> list[pa.Array]:
+    """The columns ``results`` of a run of texts."""
+    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+    flat, ends = enc.encode_flat(texts, check)
+    begins = np.concatenate([[0], ends])
+    lists = [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] if set(results) - {"ids", "n_tokens"} or check == "texts" else []
+    if check == "texts" and lists != enc.lib.encode(texts, add_eos=True, num_threads=1):
+        raise ValueError("ids differ from the library's")
+    decoded = enc.decode(lists) if {"decoded", "decoded_sha256"} & set(results) else []
+    made = {
+        "ids": lambda: pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32))),
+        "n_tokens": lambda: pa.array(np.diff(begins).astype(np.int64)),
+        "ids_sha256": lambda: pa.array([sha(" ".join(map(enc.text.__getitem__, x))) for x in lists], pa.string()),
+        "decoded": lambda: pa.array(decoded, pa.string()),
+        "decoded_sha256": lambda: pa.array([*map(sha, decoded)], pa.string()),
+    }
+    return [made[c]() for c in results]
+
+
+def encode_texts(docs: DataFrame, model_path: str, results: tuple[str, ...] = ("ids", "decoded"), check: str = "words", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with any of ``ids, n_tokens, ids_sha256, decoded, decoded_sha256``.
+
+    Input columns of these names are replaced.  A task holds an Arrow batch of rows, and
+    the words, ids and decoded texts of one run.
     """
+    kept = [c for c in docs.columns if c not in results and (keep is None or c in keep)]
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, _SCHEMA[c]) for c in results)])
 
-    @F.pandas_udf(T.StructType([T.StructField(c, _SCHEMA[c]) for c in results]))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for part in parts:
-            out: dict[str, list] = {c: [] for c in results}
-            for texts in _runs([t or "" for t in part]):
-                ids = enc.encode(texts, check)
-                decoded = enc.decode(ids) if {"decoded", "decoded_sha256"} & set(results) else []
-                made = {
-                    "ids": lambda ids=ids: ids,
-                    "n_tokens": lambda ids=ids: list(map(len, ids)),
-                    "ids_sha256": lambda ids=ids: [sha(" ".join(map(enc.text.__getitem__, x))) for x in ids],
-                    "decoded": lambda decoded=decoded: decoded,
-                    "decoded_sha256": lambda decoded=decoded: list(map(sha, decoded)),
-                }
-                for c in results:
-                    out[c] += made[c]()
-            yield pd.DataFrame(out)
-
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in _SCHEMA and c != "__pieces"]
-    return docs.select(*kept, run("text").alias("__pieces")).select(*kept, *[F.col(f"__pieces.{c}").alias(c) for c in results])
+        try:
+            for batch in batches:
+                text = batch.column(0)
+                size = np.diff(np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4)) if len(text) else np.zeros(0, np.int32)
+                for lo, hi in _runs(size, RUN_CHARS):
+                    texts = [t or "" for t in text.slice(lo, hi - lo).to_pylist()]
+                    own = [batch.column(k + 1).slice(lo, hi - lo) for k in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([*own, *_results(enc, texts, results, check)], [*kept, *results])
+        finally:
+            enc.forget()
+
+    source = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    return source.mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark, sf_dir: str, model_path: str | None = None) -> DataFrame:
@@ -291,4 +305,4 @@ def op4_sentencepiece(spark, sf_dir: str, model_path: str | None = None) -> Data
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
-    return encode_texts(docs, path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encode_texts(docs, path, ("n_tokens", "ids_sha256", "decoded_sha256"), keep=("doc_id",))

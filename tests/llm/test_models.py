@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -24,15 +25,49 @@ def test_vectors_are_sums_of_bound_letters():
     assert (got[0] == want).all() and (got[3] == want).all() and not got[1:3].any()
 
 
-def test_long_text_is_bundled_whole(monkeypatch):
+@pytest.mark.parametrize("step", [3, 7, 64, 10**6])
+def test_long_text_is_bundled_whole(monkeypatch, step):
     enc = langid.Encoder(dim=64)
-    text = "abcd efg " * 500
-    whole = enc.encode([text])[0]
+    text = "abcd efg h. " * 300
+    texts = ["x", text, None, "y", "a bc", "", "cab " * 50]
+    padded = f" {re.sub(r'[^a-z]+', ' ', text)} "
+    v = {c: langid._letter(ord(c), 64, enc.seed).astype(int) for c in set(padded)}
+    whole = sum(np.roll(v[p], 2) * np.roll(v[q], 1) * v[r] for p, q, r in zip(padded, padded[1:], padded[2:]))  # noqa: B905
+    apart = [enc.encode([t or ""])[0] for t in texts]
     monkeypatch.setattr(langid, "BLOCK_CHARS", 900)
-    parts = list(langid.vectors(enc, ["x", text, None, "y"]))
-    assert [(a, b) for a, b, _ in parts] == [(0, 1), (1, 2), (2, 4)]
-    cos = parts[1][2][0] @ whole / np.linalg.norm(parts[1][2][0]) / np.linalg.norm(whole)
-    assert cos > 0.999
+    monkeypatch.setattr(langid, "STEP", step)
+    parts = list(langid.vectors(enc, texts))
+    assert [(a, b) for a, b, _ in parts] == [(0, 1), (1, 2), (2, 7)]
+    got = np.concatenate([x for _, _, x in parts])
+    assert (got[1] == whole).all() and (got == np.array(apart)).all()
+
+
+def test_one_letter_has_a_language():
+    enc = langid.Encoder(dim=64)
+    v = {c: langid._letter(ord(c), 64, enc.seed).astype(int) for c in " a"}
+    want = np.roll(v[" "], 2) * np.roll(v["a"], 1) * v[" "]
+    assert (enc.encode(["a"])[0] == want).all() and (enc.encode(["b c", "a"])[1] == want).all()
+
+
+def test_learning_by_plain_sums(spark):
+    enc = langid.Encoder(dim=64)
+    rows = [("the cat", "en"), ("the dog and the cat", "en"), ("der hund", "de"), (None, "de"), ("x", None), ("12", "fr")]
+    langs, proto = langid.learn(spark.createDataFrame(rows, "text string, lang string").repartition(3), enc)
+    assert langs == ["de", "en", "fr"]
+    for lang, p in zip(langs, proto, strict=True):
+        assert (p == sum(np.sign(enc.encode([t])[0]) for t, x in rows if x == lang and t)).all()
+    asked = ["a cat", "hund der", "q"]
+    got = langid.identify(spark.createDataFrame([(t,) for t in asked], "text string"), langs, proto, enc).collect()
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b) if b.any() else 0
+    for t, r in zip(asked, got, strict=True):
+        each = [round(cos(enc.encode([t])[0], p), 9) for p in proto]
+        assert r["lang_pred"] == langs[int(np.argmax(each))] and r["score"] == pytest.approx(max(0, max(each)))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        langid.learn(spark.createDataFrame([("a", "x"), ("b", "y")], "text string, lang string"))
 
 
 def test_language(spark):
@@ -127,4 +162,18 @@ def test_pieces_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id long, text string, ids string")
     got = [r["ids"] for r in pieces.encode_texts(df, MODEL).collect()]
     assert got[0] == got[1] == [2] and got[2] == got[3] and len(got[2]) > 1
+    found = pieces.encode_texts(df, MODEL, ("n_tokens",))
+    assert found.columns == ["doc_id", "text", "ids", "n_tokens"] and [r["ids"] for r in found.collect()] == ["x"] * 4
     assert pieces.encode_texts(df.filter("false"), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("chars", [1, 40, 10**6])
+def test_pieces_by_runs(spark, monkeypatch, chars):
+    enc = pieces.Encoder(MODEL)
+    texts = [None, "", "one two", "x" * 90, "dos tres", "a " * 300, "é🤖"]
+    assert [*pieces._runs(np.array([5, 0, 90, 3, 3]), 10)] == [(0, 2), (2, 3), (3, 5)]
+    monkeypatch.setattr(pieces, "RUN_CHARS", chars)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = pieces.encode_texts(df, MODEL, ("ids", "decoded"), check="texts").orderBy("doc_id").collect()
+    assert [r["ids"] for r in got] == enc.lib.encode([t or "" for t in texts], add_eos=True)
+    assert [r["text"] for r in got] == texts and [r["decoded"] for r in got] == enc.lib.decode([r["ids"] for r in got])
