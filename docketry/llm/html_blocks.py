@@ -1,11 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags.  The first pass looks at each block
-alone: containers of site furniture (navigation, page headers and footers, sidebars,
-forms, and elements named as adverts, notices, sharing or reader comments) and
-link-dense blocks are bad; long blocks with many stop words and few links are
-good.  Inside an article or main element fewer stop words and more links do, and
-no block is bad for having few stop words.  What is short or has a middling share of
+alone: link-dense blocks are bad, then those with few stop words; long blocks with many
+stop words and few links are good.  Inside an article or main element fewer stop words
+and more links do, and no block is bad for having few stop words.  Inside site furniture
+(navigation, page headers and footers, sidebars, forms, and elements named as adverts,
+notices, sharing or reader comments) no share of stop words is enough, as notices and
+comments are prose too.  What is short or has a middling share of
 stop words stays ambiguous.  In the second pass an ambiguous block takes the label of
 its nearest decided neighbour among those inside such an element, or among those
 outside (a heading that of the next block; of two as near, bad wins).  Good blocks are
@@ -14,8 +15,9 @@ joined in page order.
 Broken pages: unclosed elements end with their parent, an unclosed comment,
 script or tag runs to the end, unknown references stay as they are.
 
-Null html is an empty text.  Repeated rows get equal results.  The page is
-processed whole.  Input columns named like a result are replaced.
+Null html is an empty text.  Repeated rows get equal results.  A page is
+processed whole, however long.  An empty table gives an empty result.  Input columns
+named like a result are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -176,29 +178,36 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def stop_share(text: str) -> float:
+    """The share of stop words among the words of a text that has some."""
+    ws = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in ws) / len(ws)
+
+
+def judged(b: Block) -> tuple[bool | None, str]:
+    """A block's label by itself (True for good, False for bad, None for ambiguous) and the rule that gave it."""
+    n = len(b.text)
+    links = min(1.0, b.linked / n)
+    low, high, most = (MAIN_LOW, LOW, MAIN_LINKS) if b.main else (LOW, HIGH, LINKS)
+    if links > most:
+        return (False, "links") if b.bad or not b.main or b.listed and links > 0.8 else (None, "links")
+    share = stop_share(b.text)
+    if b.bad:
+        return (False, "stop words") if share < low else (False, "furniture")
+    if b.heading:
+        return None, "heading"
+    if n < SHORT and not b.main:
+        return (False, "links") if links > 0 else (None, "length")
+    if share >= high and n >= SHORT or share >= low and n > LONG:
+        return True, "stop words"
+    if n < SHORT:
+        return None, "length"
+    return (None, "stop words") if b.main or share >= low or n > LONG else (False, "stop words")
+
+
 def first_pass(found: list[Block]) -> list[bool | None]:
     """True for good, False for bad, None for ambiguous."""
-    labels: list[bool | None] = []
-    for b in found:
-        n = len(b.text)
-        links = min(1.0, b.linked / n)
-        low, high, most = (MAIN_LOW, LOW, MAIN_LINKS) if b.main else (LOW, HIGH, LINKS)
-        if b.bad:
-            labels.append(False)
-        elif links > most:
-            labels.append(False if not b.main or b.listed and links > 0.8 else None)
-        elif b.heading:
-            labels.append(None)
-        elif n < SHORT and not b.main:
-            labels.append(False if links > 0 else None)
-        else:
-            ws = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in ws) / len(ws)
-            if density >= high and n >= SHORT or density >= low and n > LONG:
-                labels.append(True)
-            else:
-                labels.append(None if b.main or density >= low or n > LONG else False)
-    return labels
+    return [judged(b)[0] for b in found]
 
 
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:

@@ -59,7 +59,7 @@ ENOUGH = THRESHOLD / 100 - MARGIN
 CLUSTER = 20_000
 #: Strays of a group that are compared in one task, with as many members.
 CHUNK = 512
-#: Ids of classes that share a bucket are sent to every task up to this number, else joined by a shuffle.
+#: Ids of classes and of groups are sent to every task up to this number, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 64 // BITS
@@ -229,20 +229,25 @@ def _cell_links(pdf: pd.DataFrame) -> pd.DataFrame:
 _CELL = "by_band boolean, key long, i int, j int, stray boolean, rep long, comp long, at long, sig array<long>, bands array<long>"
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """The rows, sent to every task if they are no more than ``BROADCAST_ROWS``."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
 def _stray_links(shared: DataFrame, first: DataFrame, signed: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     """Links (a, b) between classes that share a bucket and lie in different components of ``found``."""
     cluster = components(first).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
     every = signed.select("rep").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     every = cut(every.select("rep", "cluster", F.coalesce("component", "rep").alias("comp")))
     mixed = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "n")
-    every = every.join(mixed, "cluster")
+    every = every.join(_sent(cut(mixed)), "cluster")
     small = every.filter(F.col("n") <= CLUSTER).select(F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "rep", "comp")
     large = every.filter(F.col("n") > CLUSTER).select("rep", "comp").join(shared.select("rep", F.col("band").alias("key")), "rep")
     rows = cut(small.union(large.select(F.lit(True).alias("by_band"), "key", "rep", "comp")))
     group = ["by_band", "key"]
     each = rows.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("c"))
     groups = each.groupBy(*group).agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("n > top")
-    rows = rows.join(groups, group)
+    rows = rows.join(_sent(cut(groups)), group)
     chunks = lambda n: F.ceil(n / CHUNK).cast("int")
     strays, members = chunks(F.col("n") - F.col("top")), chunks(F.col("n"))
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
@@ -271,8 +276,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = cut(banded.join(buckets, "band"))
     used = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
     signed = cut(reps.join(used, "rep").select("rep", "weight", "sig", "bands"))
-    few = F.broadcast(used.select("rep")) if signed.count() <= BROADCAST_ROWS else used
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sent(signed.select("rep")), "rep", "left_semi")
     full = stored(texts.select("rep", shingles("text").alias("sh")).dropDuplicates(["rep"]), "full")
     sig_a, sig_b = (signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))

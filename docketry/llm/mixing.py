@@ -32,7 +32,7 @@ from docketry.llm.common import free, n_words, stored
 WEIGHTS = (5, 2, 1)
 RESULTS = ("size", "source_size", "target", "taken")
 #: Ranges of keys; a power of two.
-RANGES = 1 << 14
+RANGES = 1 << 12
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:

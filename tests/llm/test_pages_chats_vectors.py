@@ -1,8 +1,12 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -133,6 +137,107 @@ def test_broken_pages(page):
     assert isinstance(html_blocks.main_text(page), str)
 
 
+class Plain(HTMLParser):
+    """Blocks of well-formed pages: text, characters in links, open elements."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.open, self.text, self.linked = [], [], "", 0
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if self.text.split():
+            self.out.append((" ".join(self.text.split()), self.linked, self.at))
+        self.text, self.linked, self.at = "", 0, list(self.open)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+            return
+        if tag == "p":
+            inner = [x for x, _ in self.open]
+            if "p" in inner and not set(inner[len(inner) - inner[::-1].index("p") :]) & html_blocks._BLOCK:
+                self.handle_endtag("p")
+        if tag not in html_blocks._VOID:
+            self.open.append((tag, dict(attrs)))
+        if tag in html_blocks._BLOCK:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if any(x == tag for x, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+            if tag in html_blocks._BLOCK:
+                self.flush()
+
+    def handle_data(self, data):
+        names = {x for x, _ in self.open}
+        if names & {"script", "style", "title", "textarea", "button", "select", "svg", "noscript", "template", "iframe"}:
+            return
+        self.text += data
+        self.linked += len(data) * ("a" in names)
+
+
+def plain_main_text(page):
+    """The rules of the module's text, written out once more."""
+    rows = []
+    for text, linked, at in Plain(page).out:
+        bad = main = False
+        for tag, attrs in at:
+            named = set(re.split("[^a-z0-9]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())) & html_blocks._NAMES
+            role = (attrs.get("role") or "") in html_blocks._ROLES or "hidden" in attrs or "none" in (attrs.get("style") or "")
+            bad |= tag in {"nav", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"} or tag == "header" and not main
+            bad |= tag not in {"html", "body", "main", "article", "a"} and bool(named or role)
+            main |= tag in {"article", "main"} and not bad
+        share = np.mean([w.strip(".,;:!?\"'()") in html_blocks.STOP_WORDS for w in text.lower().split()])
+        n, links, heading = len(text), min(1, linked / len(text)), any(re.fullmatch("h[1-6]", t) for t, _ in at)
+        if bad:
+            label = False
+        elif links > (0.5 if main else 0.33):
+            label = None if main and not (links > 0.8 and any(t == "li" for t, _ in at)) else False
+        elif heading:
+            label = None
+        elif not main and n < 70:
+            label = False if links else None
+        elif n >= 70 and share >= (0.18 if main else 0.3) or n > 200 and share >= (0.09 if main else 0.18):
+            label = True
+        else:
+            label = None if main or share >= 0.18 or n > 200 else False
+        rows.append((text, label, bad, main, heading))
+    seen = [k for k, r in enumerate(rows) if r[1] is not None and not r[2]]
+    told, out = set(seen), {}
+    for k, (_, label, bad, main, heading) in enumerate(rows):
+        if heading and label is None or bad:
+            out[k] = False if bad else None
+            continue
+        near = sorted((abs(k - j), rows[j][1]) for j in told if rows[j][3] == main)
+        default = not any(rows[j][1] and not rows[j][3] for j in told) if main else not any(r[3] and not r[2] for r in rows)
+        out[k] = label if label is not None else all(x for d, x in near if d == near[0][0]) if near else default
+    final = [k for k in out if out[k] is not None and not rows[k][2]]
+    for k in [k for k in out if out[k] is None]:
+        after = [j for j in final if j > k]
+        out[k] = out[after[0] if after else final[-1]] if final else rows[k][3] or not any(r[3] for r in rows)
+    return "\n".join(r[0] for k, r in enumerate(rows) if out[k])
+
+
+def test_pages_by_plain_rules():
+    rules = Counter()
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        assert html_blocks.main_text(page) == plain_main_text(page or "")
+        rules.update((*html_blocks.judged(b)[::-1], b.bad) for b in html_blocks.blocks(page or ""))
+    # every rule decides blocks of these pages, and many are left to their neighbours
+    assert rules["stop words", True, False] > 1000 and rules["links", False, True] > 500 and rules["stop words", False, True] > 50
+    assert rules["length", None, False] > 300 and rules["heading", None, False] >= 200 and rules["furniture", False, True] > 100
+
+
+def test_very_long_page():
+    story = "This is the story of a man who was in the house. " * 8
+    page = "<article>" + "".join(f"<p>{k} {story}</p>" for k in range(3000)) + "</article>"
+    assert len(html_blocks.main_text(page).split("\n")) == 3000
+
+
 def test_pages_column(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "<p>x y</p>", 0), (2, "<p>x y</p>", 0)], "page_id long, html string, text int")
     assert [(r["text"], r["n_chars"]) for r in html_blocks.extract_main(df).collect()] == [("", 0), ("x y", 3), ("x y", 3)]
