@@ -12,14 +12,21 @@ Cells with more than ``tree_rows`` rows are dealt over several subtrees.  A subt
 built in one task, of pages of ``PAGE`` rows; a page keeps its routing vector, its covering radius, its
 distance to the subtree's routing vector, and each row's distance to its own.
 
-Queries, all by the blocks of their hash, first search the nearest subtree, best page
-first, and then every subtree that the bound so found can't rule out.  Stored
-distances and the triangle inequality rule out pages and rows before their distance
-is computed.  Rows with equal vectors are one entry with its smallest ids.
+Queries, by the blocks of their hash, first search the nearest subtree, best page
+first, and then every subtree that the bound so found can't rule out; a subtree goes to
+the blocks that ask for it.  Stored distances and the triangle inequality rule out
+pages and rows before their distance is computed.  Rows with equal vectors are one entry
+with its smallest ids.
+
+Scores are exact: products are taken in doubles while every sum stays below 2^53, else in
+64-bit integers; vectors whose scores might not fit a long are an error.  Distances are in
+doubles, so bounds leave room for rounding in proportion to the norms; a candidate
+is never ruled out by rounding.
 
 Vectors that are null or hold a null, NaN or infinite component take no part; a
 shorter vector counts as filled with zeros.  Null ids take no part.  Ties go to the
-smaller id.  An empty table gives an empty result; repeated ids are separate rows.
+smaller id.  An empty table gives an empty result; repeated ids are separate rows.  Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +45,8 @@ PAGE = 256
 TREE_ROWS = 1024
 MAX_TREES = 16_384
 QUERY_BLOCK = 4096
+#: Rows of a frame of routed queries.
+ROUTED_ROWS = 4096
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -58,6 +67,17 @@ def _lifted(m: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([m, np.sqrt(np.maximum(most - (m * m).sum(axis=1), 0))])
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between the rows of ``a`` and those of ``b`` (or its one row), by differences, so that small ones are precise."""
+    d = a - b
+    return np.sqrt((d * d).sum(axis=1))
+
+
+def _room(norms: np.ndarray | float, dim: int) -> np.ndarray | float:
+    """What rounding may take from a score that a distance bounds; ``norms`` is |q|^2 + M^2."""
+    return 0.5 + (dim + 16) * 2.0**-50 * norms
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
     return np.sqrt(np.maximum(d, 0))
@@ -68,36 +88,39 @@ class Subtree:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, router: np.ndarray, most: float, k: int, page: int = PAGE) -> None:
         self.rows, owner = np.unique(rows, axis=0, return_inverse=True)
+        # whole numbers either way; in doubles only while all sums are exact
+        self.exact = self.rows if most < 2.0**52 else self.rows.astype(np.int64)
         order = np.lexsort((ids, owner.ravel()))
         groups = np.split(ids[order], np.flatnonzero(np.diff(owner.ravel()[order])) + 1)
         self.ids = [g[: k + 1] for g in groups]  # one more than k, as one may be the query itself
         self.most = most
         lifted = _lifted(self.rows, most)
         n = len(lifted)
-        to_router = _distances(lifted, router[None])[:, 0]
+        to_router = _apart(lifted, router[None])
         # page routers: rows at equal steps of distance from the subtree's router
         heads = np.argsort(to_router, kind="stable")[:: page // 2]
         away = _distances(lifted, lifted[heads])
         cell = away.argmin(axis=1)
-        near = away[np.arange(n), cell]
+        near = _apart(lifted, lifted[heads[cell]])
         order = np.lexsort((near, cell))
         cuts = np.flatnonzero(np.diff(cell[order])) + 1
         self.pages = [part[i : i + page] for part in np.split(order, cuts) for i in range(0, len(part), page)]
         self.heads = lifted[[heads[cell[p[0]]] for p in self.pages]]
         self.near = [near[p] for p in self.pages]  # a row's distance to its page's router
         self.radius = np.array([x.max() for x in self.near])
-        self.parent = _distances(self.heads, router[None])[:, 0]
+        self.parent = _apart(self.heads, router[None])
 
     def search(self, query_id: int, q: np.ndarray, to_router: float, k: int, least: float) -> list[tuple[int, int]]:
         """Best (score, id) of this subtree, none below ``least``; the best page first."""
         base = float(q @ q) + self.most
-        score_at = lambda d: (base - d * d) / 2 + 0.25  # noqa: E731  the largest whole score at a distance, with room for rounding
+        room, q_ = _room(base, len(q)), q.astype(self.exact.dtype)
+        score_at = lambda d: (base - d * d) / 2 + room  # noqa: E731  no smaller than any score at that distance
         # the parent's stored distances rule out pages before theirs are computed
         might = np.flatnonzero(score_at(np.maximum(np.abs(to_router - self.parent) - self.radius, 0)) >= least)
         if not len(might):
             return []
         lifted = np.append(q, 0.0)
-        away = _distances(self.heads[might], lifted[None])[:, 0]
+        away = _apart(self.heads[might], lifted[None])
         bound = score_at(np.maximum(away - self.radius[might], 0))
         best: list[tuple[int, int]] = []
         for i in np.argsort(-bound, kind="stable"):
@@ -107,7 +130,7 @@ class Subtree:
             p = p[score_at(np.abs(away[i] - self.near[might[i]])) >= least]
             if not len(p):
                 continue
-            scores = self.rows[p] @ q
+            scores = self.exact[p] @ q_
             good = scores >= least
             found = [(int(s), int(x)) for s, r in zip(scores[good], p[good], strict=True) for x in self.ids[r] if x != query_id]
             if found:
@@ -130,33 +153,34 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
     n, most, dim = stats["n"], stats["most"], stats["dim"]
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_asked, dim_asked = asked.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_asked, dim_asked, most_asked = asked.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(norm)).first()
     dim = max(dim, dim_asked or 0)
+    if max(most, most_asked or 0.0) >= 2.0**62:
+        raise ValueError("scores of these vectors don't fit a long")
     tree_rows = max(tree_rows, -(-n // MAX_TREES))
     heads = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(-(-n // tree_rows)).toPandas()
     routers = np.unique(_lifted(_matrix(heads["v"], dim), most), axis=0)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                part = pdf.iloc[lo : lo + 2048]
-                away = _distances(_lifted(_matrix(part["v"], dim), most), routers)
-                cell = away.argmin(axis=1)
-                yield part.assign(cell=cell.astype(np.int32), away=away[np.arange(len(part)), cell])
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                rows = _lifted(_matrix(part["v"], dim), most)
+                cell = _distances(rows, routers).argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), away=_apart(rows, routers[cell]))
 
     placed = stored(rows.mapInPandas(assign, "vec_id long, v array<double>, cell int, away double"), "cells")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).toPandas().sort_values("cell")
     splits = np.ceil(cells["n"].to_numpy() / tree_rows).astype(int)
     first = np.zeros(len(routers), int)
     first[cells["cell"]] = np.cumsum(splits) - splits
-    n_split = np.zeros(len(routers), int)
-    n_split[cells["cell"]] = splits
     tree_cell = np.repeat(cells["cell"].to_numpy(), splits)
     tree_radius = np.repeat(cells["radius"].to_numpy(), splits)
     blocks = max(1, -(-n_asked // QUERY_BLOCK))
-    at = lambda a: F.element_at(F.array(*[F.lit(int(x)) for x in a]), F.col("cell") + 1)
-    trees = placed.withColumn("tree", at(first) + F.pmod(F.xxhash64("vec_id"), at(n_split)).cast("int"))
-    trees = trees.select("tree", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # at most MAX_TREES cells
+    dealt = spark.createDataFrame(pd.DataFrame({"cell": cells["cell"], "first": first[cells["cell"]], "splits": splits}), "cell int, first int, splits int")
+    trees = placed.join(F.broadcast(dealt), "cell").withColumn("tree", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("splits")).cast("int"))
+    trees = trees.select("tree", "vec_id", "v")
 
     def route(first_only: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +189,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
                     part = pdf.iloc[lo : lo + 256]
                     q = _matrix(part["v"], dim)
                     away = _distances(np.column_stack([q, np.zeros(len(q))]), routers)[:, tree_cell]
-                    bound = ((q * q).sum(axis=1)[:, None] + most - np.maximum(away - tree_radius, 0) ** 2) / 2 + 0.25
+                    norms = (q * q).sum(axis=1)[:, None] + most
+                    bound = (norms - np.maximum(away - tree_radius, 0) ** 2) / 2 + _room(norms, dim)
                     nearest = bound.argmax(axis=1)
                     if first_only:
                         row, tree = np.arange(len(q)), nearest
@@ -173,10 +198,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
                         go = bound >= part["least"].fillna(-np.inf).to_numpy()[:, None]
                         go[np.arange(len(q)), nearest] = False
                         row, tree = np.nonzero(go)
-                    yield pd.DataFrame({
-                        "tree": tree.astype(np.int32), "block": part["block"].to_numpy()[row], "query_id": part["query_id"].to_numpy()[row],
-                        "q": part["v"].to_numpy()[row], "away": away[row, tree], "least": part["least"].to_numpy()[row],
-                    })
+                    for k in range(0, len(row), ROUTED_ROWS):
+                        r, t = row[k : k + ROUTED_ROWS], tree[k : k + ROUTED_ROWS]
+                        yield pd.DataFrame({
+                            "tree": t.astype(np.int32), "block": part["block"].to_numpy()[r], "query_id": part["query_id"].to_numpy()[r],
+                            "q": part["v"].to_numpy()[r], "away": away[r, t], "least": part["least"].to_numpy()[r],
+                        })
 
         return run
 
@@ -194,8 +221,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tree_rows: int =
     routed = f"tree int, block int, query_id long, q array<double>, away double, least double"
 
     def searched(qs: DataFrame, first_only: bool) -> DataFrame:
-        pairs = qs.mapInPandas(route(first_only), routed)
-        return trees.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(search, FOUND)
+        pairs = stored(qs.mapInPandas(route(first_only), routed), "routed")
+        asks = pairs.select(F.col("tree").alias("of"), F.col("block").alias("at")).distinct()
+        wanted = trees.join(asks, F.col("tree") == F.col("of")).select("tree", F.col("at").alias("block"), "vec_id", "v")
+        return wanted.groupBy(*key).cogroup(pairs.groupBy(*key)).applyInPandas(search, FOUND)
 
     asked = asked.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     near = stored(searched(asked.withColumn("least", F.lit(None).cast("double")), True), "near")

@@ -276,6 +276,27 @@ def test_top_k_edges(spark):
     assert mtree.top_k(df, df.filter("vec_id = 1").withColumn("vec_id", F.lit(5).cast("long"))).count() == 3
 
 
+@pytest.mark.parametrize("power", [20, 26])
+def test_top_k_of_large_components(spark, power):
+    rng = np.random.default_rng(power)
+    m = np.floor(rng.normal(size=(400, 5)) * 2**power)
+    m[200:300] = m[7] + rng.integers(-2, 3, size=(100, 5))  # scores that differ in their last digits
+    df = spark.createDataFrame([(k, (v / 1024).tolist()) for k, v in enumerate(m)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in mtree.top_k(df, df.filter("vec_id % 10 = 0"), k=10, tree_rows=64).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [[int(x) for x in v] for v in m]
+    for q in range(0, 400, 10):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in enumerate(whole) if i != q)[:10]
+        assert sorted(found[q]) == [(k + 1, i, -a) for k, (a, i) in enumerate(want)]
+
+
+def test_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(1, [1e9, 1e9]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        mtree.top_k(df, df)
+
+
 def test_subtree_passes_over_pages():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(8, 4)) * 4000
@@ -285,8 +306,8 @@ def test_subtree_passes_over_pages():
     tree = mtree.Subtree(np.arange(len(rows)), rows, router, most, 5, page=16)
     q = rows[3]
     seen = []
-    inner = tree.rows
-    tree.rows = type("Spy", (), {"__getitem__": lambda self, p: (seen.append(len(p)), inner[p])[1]})()
+    inner = tree.exact
+    tree.exact = type("Spy", (), {"__getitem__": lambda self, p: (seen.append(len(p)), inner[p])[1], "dtype": inner.dtype})()
     got = tree.search(-1, q, float(np.linalg.norm(np.append(q, 0) - router)), 5, -np.inf)
     want = sorted(((-int(s), i) for i, s in enumerate(rows @ q)))[:5]
     assert got == [(-s, i) for s, i in want] and sum(seen) < len(rows) / 2
