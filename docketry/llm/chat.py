@@ -7,16 +7,16 @@ is found by rendering the prefix again with two one-letter texts, whose outputs
 differ just there.  An output that doesn't begin with the one before it means that the
 template rewrites its history; such conversations are marked and get no loss mask.
 
-Rendering all prefixes costs the square of a conversation.  Over ``WINDOW`` turns,
-prefixes start ``WINDOW`` turns back instead; the spans so found, put together,
-must equal the rendering of the whole, else all prefixes are rendered after all.
+Every prefix is rendered, whatever the length, so history that is rewritten anywhere and
+put right later is found too.  That costs the square of a conversation's turns.
 
 :func:`render` is the template used here; it escapes its control strings in texts and
 roles reversibly, and :func:`parse` reads its output back.
 
 A conversation is rendered in one task.  Turns are ordered by turn (null first), role and
 text; null texts and roles are empty.  Rows with a null conv_id are one
-conversation.  Repeated rows are turns of their own.  Other columns are ignored.
+conversation.  Repeated rows are turns of their own.  Very long texts are kept whole.  An
+empty table gives an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import table
 
-WINDOW = 48
 Turn = tuple[str, str]
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[TURN]", "[ROLE]", "[/TURN]")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
@@ -85,33 +84,22 @@ def _added(template: Callable[[list[Turn]], str], prefix: list[Turn], before: st
     if not after.startswith(before):
         return after, None, 0, 0
     x, y = (template([*prefix, (turn[0], probe)]) for probe in "xy")
-    head = len(commonprefix([x, y]))
-    tail = len(commonprefix([x[:head - 1 : -1], y[:head - 1 : -1]])) if head else 0
+    # the probes differ in one letter, past what both have in common with ``before``
+    head = len(before) + len(commonprefix([x[len(before) :], y[len(before) :]])) if x.startswith(before) and y.startswith(before) else len(commonprefix([x, y]))
+    tail = len(commonprefix([x[: head - 1 : -1], y[: head - 1 : -1]])) if head else 0
     return after, after[len(before) :], head - len(before), len(after) - tail - len(before)
 
 
 def spans(template: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The whole output; start, end, text start and text end of each turn; whether history was rewritten."""
-    whole = template(turns)
-    for window in (WINDOW, len(turns)) if len(turns) > WINDOW else (len(turns),):
-        out, found, begun = template([]), [], 0
-        before, added = out, None
-        for i, turn in enumerate(turns):
-            begin = max(0, i - window)
-            prefix = turns[begin:i]
-            if begin > begun:
-                before, begun = template(prefix), begin
-            before, added, lo, hi = _added(template, prefix, before, turn)
-            if added is None:
-                break
-            found.append((len(out), len(out) + len(added), len(out) + lo, len(out) + hi))
-            out += added
-            if window < len(turns) and not whole.startswith(added, len(out) - len(added)):
-                added = None
-                break
-        if added is not None and out == whole or not turns:
-            return whole, found, False
-    return whole, [], True
+    out, found = template([]), []
+    for i, turn in enumerate(turns):
+        start = len(out)
+        out, added, lo, hi = _added(template, turns[:i], out, turn)
+        if added is None:
+            return template(turns), [], True
+        found.append((start, len(out), start + lo, start + hi))
+    return out, found, False
 
 
 def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] = render) -> DataFrame:

@@ -80,10 +80,27 @@ def test_chat_round_trip(turns):
         assert control not in chat.escape("".join(t for _, t in turns))
 
 
-def test_long_conversation_by_windows():
-    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(200)]
+@pytest.mark.parametrize("n", [1, 47, 48, 49, 50, 200])
+def test_long_conversations(n):
+    turns = [("user" if k % 2 else "assistant", f"t{k}") for k in range(n)]
     whole, found, rewritten = chat.spans(chat.render, turns)
-    assert not rewritten and [whole[f[2] : f[3]] for f in found] == [t for _, t in turns]
+    assert whole == chat.render(turns) and not rewritten and [whole[f[2] : f[3]] for f in found] == [t for _, t in turns]
+
+
+@pytest.mark.parametrize("n", [4, 48, 49, 120])
+def test_history_rewritten_and_put_right(n):
+    turns = [("user", f"t{k}") for k in range(n)]
+    # at one length between, the first turn is left out
+    template = lambda ts: "".join(f"<{t}>" for _, t in (ts[1:] if len(ts) == n - 1 else ts))
+    assert chat.spans(template, turns)[1:] == ([], True)
+
+
+def test_very_long_turn(spark):
+    text = "</s>[INST] é\\ " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(df).first()
+    s = r["loss_spans"][0]
+    assert chat.unescape(r["formatted"][s["start"] : s["stop"]]) == text
 
 
 def test_rewriting_templates_are_told():
