@@ -17,9 +17,12 @@ the returned index count, so attempts that were lost leave nothing but unread
 files.  Reading goes over whole archives, not by the index, and checks each
 payload's digest.
 
-Nulls: null html is an empty payload, a null url has no target, a null id is
-never referred to and reads back as null.  Rows with equal id and payload are all
-responses.  An empty table writes no archive and reads back empty.
+Nulls: null html is an empty payload, a null url has no target.  A row with a null id
+reads back as null; it revisits the least id of its payload, and is a response if no row with that
+payload has an id.  Rows with equal id and payload are responses or revisits alike; such twins get
+record ids of their own, and what revisits them names the page but no record.  Payloads
+are kept whole, each compressed in memory by itself.  Other columns are ignored, whatever their
+names.  An empty table writes no archive and reads back empty.
 """
 
 from __future__ import annotations
@@ -40,30 +43,32 @@ MAGIC = 0x184D2A5D
 SAMPLE_BYTES = 2 << 20
 DICT_BYTES = 64 << 10
 LEVEL = 3
-#: Revisits up to this number are sent to every task; more are joined by a shuffle.
+#: Repeated payloads, and revisits, up to this number are sent to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_type string, file string, offset long, length long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>"
+def _urn(page_id: int, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {digest}')}>"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, twin: bool = False, of_twins: bool = False) -> bytes:
     revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}"]
-    head.append(f"WARC-Record-ID: {f'<urn:uuid:{uuid.uuid4()}>' if page_id is None else _urn(page_id)}")
+    head.append(f"WARC-Record-ID: {f'<urn:uuid:{uuid.uuid4()}>' if page_id is None or twin else _urn(page_id, digest)}")
     head += [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if not of_twins:
+            head.append(f"WARC-Refers-To: {_urn(refers_to, digest)}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
 
@@ -106,17 +111,29 @@ class _Archive:
         return self.uri, self.at - len(frame), len(frame)
 
 
+def _sent(few: DataFrame) -> DataFrame:
+    """The rows, sent to every task if they are no more than ``BROADCAST_ROWS``."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int = 0, max_bytes: int = 1 << 30, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives ``pages`` (page_id, url, html); the index of what was written, from a stored table."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    known = rows.filter(F.length("payload") >= min_revisit).select("page_id", "sha")
-    firsts = known.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    again = cut(known.join(firsts.filter("n > 1").drop("n", "last"), "sha").filter("page_id <> refers_to").select(F.col("page_id").alias("id"), F.col("sha").alias("of"), "refers_to").distinct())
-    some = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    rows = rows.join(some, (F.col("page_id") == F.col("id")) & (F.col("sha") == F.col("of")), "left")
+    # one row for each id and payload, then what its payload's rows refer to
+    known = rows.filter(F.length("payload") >= min_revisit).groupBy("sha", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    known = stored(known, "payloads")
+    firsts = known.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.min_by(F.col("c") > 1, "page_id").alias("of_twins"), F.sum("c").alias("n"))
+    firsts = _sent(cut(firsts.filter("n > 1").drop("n").withColumnRenamed("sha", "of")))
+    again = known.join(firsts, F.col("sha") == F.col("of")).select(
+        F.col("page_id").alias("id"), "of", F.when(~F.col("page_id").eqNullSafe(F.col("refers_to")), F.col("refers_to")).alias("refers_to"), (F.col("c") > 1).alias("twin"), F.coalesce("of_twins", F.lit(False)).alias("of_twins")
+    )
+    again = _sent(cut(again.filter("refers_to is not null or twin")))
+    rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left")
+
+    columns = ("page_id", "url", "payload", "sha", "refers_to", "twin", "of_twins")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: list[tuple] = []
@@ -135,10 +152,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
             return frame.astype({"page_id": "Int64"})
 
         for pdf in batches:
-            for page_id, url, payload, sha, refers_to in zip(pdf["page_id"], pdf["url"], pdf["payload"], pdf["sha"], pdf["refers_to"], strict=True):
+            for page_id, url, payload, sha, refers_to, twin, of_twins in zip(*(pdf[c] for c in columns), strict=True):
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                record = _record(page_id, url, bytes(payload), digest, refers_to, date)
+                record = _record(page_id, url, bytes(payload), digest, refers_to, date, twin == True, of_twins == True)  # noqa: E712  null where the payload is alone
                 waiting.append((page_id, "response" if refers_to is None else "revisit", record))
                 size += len(record)
                 if size >= SAMPLE_BYTES:
@@ -151,7 +168,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit: int
         if archive is not None:
             archive.out.close()
 
-    index = rows.select("page_id", "url", "payload", "sha", "refers_to").mapInPandas(write, INDEX)
+    index = rows.select(*columns).mapInPandas(write, INDEX)
     return stored(index, "warc-index")
 
 

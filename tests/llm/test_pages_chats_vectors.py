@@ -37,7 +37,7 @@ def test_warc_round_trip(spark, tmp_path):
         data = h.encode()
         assert r["payload_bytes"] == len(data)
         assert r["payload_digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode()
-        revisit = k is not None and first[h] != k
+        revisit = h in first and first[h] != k
         assert r["record_type"] == ("revisit" if revisit else "response")
         assert r["refers_to"] == (first[h] if revisit else None)
         assert r["payload"] == (None if revisit else data)
@@ -54,6 +54,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + n])).decompress(frame).startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_record_ids(spark, tmp_path):
+    rows = [(1, "u", "same", "x"), (1, "v", "same", "x"), (2, "w", "same", "x"), (2, "w", "same", "x"), (None, "n", "same", "x"), (3, "u", "one", "x"), (3, "u", "two", "x"), (4, "u", "two", "x"), (None, "n", "none", "x"), (None, "n", "none", "x")]
+    index = warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), f"file://{tmp_path}/i")
+    got = sorted((str(r["page_id"]), r["payload_bytes"], str(r["refers_to"]), r["record_type"]) for r in warc.read_archives(spark, index).collect())
+    assert got == sorted([("1", 4, "None", "response")] * 2 + [("2", 4, "1", "revisit")] * 2 + [("None", 4, "1", "revisit"), ("3", 3, "None", "response"), ("3", 3, "None", "response"), ("4", 3, "3", "revisit")] + [("None", 4, "None", "response")] * 2)
+    heads = [x.partition(b"\r\n\r\n")[0].decode() for r in index.select("file").distinct().collect() for x in warc._frames(r["file"])]
+    ids = re.findall("WARC-Record-ID: (.*)", "\n".join(heads))
+    refs = re.findall("WARC-Refers-To: (.*)", "\n".join(heads))
+    assert len(set(ids)) == len(rows) and len(refs) == 1 and set(refs) <= set(ids)
+
+
 def test_warc_edges(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.read_archives(spark, warc.write_archives(none, f"file://{tmp_path}/e")).count() == 0
