@@ -1,21 +1,22 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words.  Each passage's counts
-(letter case, symbols, repeats, ...) are encoded by a learned layer; gated attention
-(tanh times sigmoid) weighs the passages, and the weighted passage gives the
-score.  Only documents carry labels, so the attention learns which passages
-decide.
-
-The model is fitted on the driver with numpy on at most ``max_train`` labelled
-documents, those with the smallest hash of their id: a bounded sample (default
-``MAX_TRAIN``), whatever the input's size.  Every passage of every document is
-scored, in Arrow batches; a block of texts (``BLOCK_CHARS``, or one text) is in
-memory at a time.
+A document is a bag of passages of ``PASSAGE`` words.  A passage is described by its words
+(hashed to ``WORDS`` signed buckets), by its letter trigrams (``GRAMS`` buckets), both
+without case, and by counts (letter case, symbols, repeats, ...).  A learned layer encodes that;
+gated attention (tanh times sigmoid) weighs the passages, and the weighted passage gives
+the score.  Only documents carry labels, so the attention learns which passages decide.
+
+The model is fitted on the driver with numpy on a bounded sample, whatever the input's
+size: of the labelled documents at most ``max_train``, those with the smallest hash of their
+id, and of these in that order as many as have ``max_passages`` passages in all.  Every
+passage of every document is scored, in Arrow batches; a block of texts (``BLOCK_CHARS``,
+or one text) is in memory at a time.
 
 Nulls: null and empty texts are one passage without words.  Null labels are not
-learned from; of several labels of one document the largest counts.  Without
-two kinds of label every score is the mean label (0.5 without labels).  Repeated
-rows get equal scores.  Input columns named like a result are replaced.
+learned from; of several labels of one document the largest counts, of several texts the
+first by code point.  Without two kinds of label every score is the mean label (0.5
+without labels, as for empty tables).  Very long texts are scored whole.  Repeated rows get equal
+scores.  Input columns named like a result are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -29,16 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import held_out, table
+from docketry.llm.common import held_out, stored, table
 
 PASSAGE = 64
 MAX_TRAIN = 3000
-BLOCK_CHARS = 1 << 20
+MAX_PASSAGES = 60_000
+BLOCK_CHARS = 1 << 18
+WORDS, GRAMS = 128, 128
 THRESHOLD = 0.3
+#: Pull of the weights to zero.
+DECAY = 1e-4
+DAMPED = 4.0
 _SPACES = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
 _ENDS = ".!?"
-N_FEATURES = 13
+N_COUNTS = 13
+N_FEATURES = N_COUNTS + WORDS + GRAMS
+_MIX, _MORE, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def _distinct(pid: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -50,6 +58,15 @@ def _distinct(pid: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(p[new], minlength=n)
 
 
+def _buckets(hashed: np.ndarray, pid: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Signed counts of hashes in ``width`` buckets (a power of two), for each of ``n`` passages."""
+    h = (hashed ^ (hashed >> np.uint64(29))) * _LAST
+    h ^= h >> np.uint64(32)
+    at = pid * np.int64(width) + (h & np.uint64(width - 1)).astype(np.int64)
+    sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64)
+    return np.bincount(at, sign, n * width).reshape(n, width)
+
+
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage, and how many passages each text has (one at least)."""
     joined = "\x00".join(texts)
@@ -71,8 +88,12 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     own = np.repeat(np.arange(len(first)), size)
     flat = cps[~space]
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+    power = np.cumprod(np.full(64, _MIX, np.uint64))
     h = np.add.reduceat((flat.astype(np.uint64) + np.uint64(7)) * power[place & 63], np.cumsum(size) - size)
+    lower = np.zeros(kinds[-1] + 1, np.uint64)
+    lower[kinds] = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars]
+    low = lower[flat] + np.uint64(7)
+    h_low = np.add.reduceat(low * power[place & 63], np.cumsum(size) - size)
     in_text = np.arange(len(first)) - np.searchsorted(text, text)
     begin = np.ones(len(first), bool)
     begin[1:] = (text[1:] != text[:-1]) | (in_text[1:] % PASSAGE == 0)
@@ -86,7 +107,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(first), bool)
     again[1:] = (h[1:] == h[:-1]) & (pid[1:] == pid[:-1])
     pair = np.zeros(len(first), np.uint64)
-    pair[1:] = h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + h[:-1]
+    pair[1:] = h[1:] * _MORE + h[:-1]
     lines = np.flatnonzero(cps == 10)
     line_of = np.minimum(np.searchsorted(first, lines), len(first) - 1)
     rows = np.column_stack([
@@ -96,6 +117,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         np.bincount(pid[line_of], minlength=n) / words, count(np.isin(last, [ord(c) for c in _ENDS]), pid) / words,
         count(size == 1, pid) / words, np.log1p(words) / 4,
     ])
+    inner = np.flatnonzero(own[2:] == own[:-2])
+    grams = (low[inner] * _MIX + low[inner + 1]) * _MORE + low[inner + 2] * _LAST
+    root = np.sqrt(words)[:, None]
+    rows = np.column_stack([rows, _buckets(h_low, pid, n, WORDS) / root, _buckets(grams, per_char[inner], n, GRAMS) / root / 2])
     text_of = text[begin]
     has = np.bincount(text_of, minlength=n_text)
     out = np.zeros((len(rows) + (has == 0).sum(), N_FEATURES))
@@ -144,54 +169,69 @@ class Model:
             return np.full(len(bags), self.constant)
         return self._forward((x - self.mean) / self.std, bags)["out"]
 
+    def gradient(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss over documents, by each weight; ``x`` is standardised."""
+        p, f = self.weights, self._forward(x, bags)
+        h, t, s, a, z, bag, begin = (f[k] for k in ("h", "t", "s", "a", "z", "bag", "begin"))
+        do = (f["out"] - y) / len(y)
+        dz = do[:, None] * p["c"]
+        da = (dz[bag] * h).sum(axis=1)
+        de = a * (da - np.add.reduceat(a * da, begin)[bag])
+        dt = de[:, None] * s * p["w"] * (1 - t * t)
+        ds = de[:, None] * t * p["w"] * s * (1 - s)
+        dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": do.sum()}
+
     @classmethod
-    def fit(cls, x: np.ndarray, bags: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, seed: int = 3) -> Model:
+    def fit(
+        cls, x: np.ndarray, bags: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 250, seed: int = 3, decay: float = DECAY, damped: float = DAMPED
+    ) -> Model:
+        """The buckets, many and sparse, count 1 / ``damped`` of a count."""
         if len(set(y.tolist())) < 2:
             return cls(np.zeros(0), np.ones(0), {}, float(y.mean()) if len(y) else 0.5)
         rng = np.random.default_rng(seed)
         shapes = {"W": (x.shape[1], hidden), "b": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "d": ()}
-        p = {k: rng.normal(0, 0.3, v) if v else np.zeros(()) for k, v in shapes.items()}
-        model = cls(x.mean(axis=0), x.std(axis=0) + 1e-6, p)
+        p = {k: rng.normal(0, min(0.3, v[0] ** -0.5), v) if v else np.zeros(()) for k, v in shapes.items()}
+        weight = np.where(np.arange(x.shape[1]) < N_COUNTS, 1.0, damped)
+        model = cls(x.mean(axis=0), (x.std(axis=0) + 1e-6) * weight, p)
         x = (x - model.mean) / model.std
         m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            f = model._forward(x, bags)
-            h, t, s, a, z, bag, begin = (f[k] for k in ("h", "t", "s", "a", "z", "bag", "begin"))
-            do = (f["out"] - y) / len(y)
-            dz = do[:, None] * p["c"]
-            da = (dz[bag] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, begin)[bag])
-            dt = de[:, None] * s * p["w"] * (1 - t * t)
-            ds = de[:, None] * t * p["w"] * s * (1 - s)
-            dh = (a[:, None] * dz[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-            grad = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ do, "d": do.sum()}
-            for k, g in grad.items():
-                g = g + 1e-5 * p[k]
+            for k, g in model.gradient(x, bags, y).items():
+                g = g + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 p[k] = p[k] - 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model of ``labels.quality``; at most ``max_train`` labelled documents are used."""
-    known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__y"))
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> Model:
+    """A model of ``labels.quality`` from at most ``max_train`` labelled documents with ``max_passages`` passages in all."""
+    spark = docs.sparkSession
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows: list[list[float]] = []
+            rows: list[bytes] = []
             for block in _blocks(pdf["text"].tolist()):
                 x, each = passages(block)
-                rows += [part.ravel().tolist() for part in np.split(x, np.cumsum(each)[:-1])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "__y": pdf["__y"], "x": rows})
-
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = picked.mapInPandas(features, "doc_id long, __y int, x array<double>").dropDuplicates(["doc_id"]).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    bags = [np.array(r["x"]).reshape(-1, N_FEATURES) for r in got]
-    x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES))
-    return Model.fit(x, np.array([len(b) for b in bags], np.int64), np.array([float(r["__y"]) for r in got]))
+                rows += [part.astype(np.float32).tobytes() for part in np.split(x, np.cumsum(each)[:-1])]
+            n = [len(r) // (4 * N_FEATURES) for r in rows]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "n": n, "x": rows})
+
+    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = stored(picked.mapInPandas(features, "doc_id long, y int, n long, x binary"), "bags")
+    order = got.select("doc_id", "n").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total, chosen = 0, []
+    for r in order:
+        if total + r["n"] <= max_passages:
+            total += r["n"]
+            chosen.append((r["doc_id"],))
+    used = got.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id").collect()
+    used.sort(key=lambda r: r["doc_id"])
+    x = np.frombuffer(b"".join(r["x"] for r in used), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    return Model.fit(x, np.array([r["n"] for r in used], np.int64), np.array([float(r["y"]) for r in used]))
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -101,6 +102,77 @@ def test_quality_gradient():
     assert np.isfinite(model.score(x * 1e6, bags)).all()
 
 
+def plain_score(model, x, bags):
+    """The forward pass, passage by passage."""
+    p, out, at = model.weights, [], 0
+    for n in bags:
+        hs = [np.tanh(np.array([sum(v * w for v, w in zip(row, col, strict=True)) for col in p["W"].T]) + p["b"]) for row in x[at : at + n]]
+        e = [sum(w * math.tanh(h @ v) / (1 + math.exp(-(h @ u))) for w, v, u in zip(p["w"], p["V"].T, p["U"].T, strict=True)) for h in hs]
+        a = [math.exp(k - max(e)) for k in e]
+        z = sum(k / sum(a) * h for k, h in zip(a, hs, strict=True))
+        out.append(1 / (1 + math.exp(-(z @ p["c"] + p["d"]))))
+        at += n
+    return np.array(out)
+
+
+def test_quality_by_plain_forms():
+    rng = np.random.default_rng(1)
+    x, bags, y = rng.normal(size=(14, 20)), np.array([1, 5, 2, 6]), np.array([0, 1, 1, 0.0])
+    model = quality_mil.Model.fit(x, bags, y, hidden=5, gate=3, steps=4)
+    z = (x - model.mean) / model.std
+    assert np.allclose(model.score(x, bags), plain_score(model, z, bags))
+    loss = lambda: -np.mean(y * np.log(s := plain_score(model, z, bags)) + (1 - y) * np.log(1 - s))
+    for name, g in model.gradient(z, bags, y).items():
+        at = tuple(0 for _ in np.shape(g))
+        kept, eps = np.array(model.weights[name]), 1e-5
+        each = []
+        for sign in (1, -1):
+            changed = kept.copy()
+            changed[at] += sign * eps
+            model.weights[name] = changed
+            each.append(loss())
+        model.weights[name] = kept
+        assert np.asarray(g)[at] == pytest.approx((each[0] - each[1]) / 2 / eps, abs=1e-7)
+
+
+def test_passages_see_words():
+    a, b, c, d = (quality_mil.passages([t])[0][0] for t in ("red house tree", "Tree RED house", "red house lamp", "red  house\ttree"))
+    words = slice(quality_mil.N_COUNTS, quality_mil.N_COUNTS + quality_mil.WORDS)
+    assert (a[words] == b[words]).all() and (a == d).all() and (a[words] != c[words]).any()
+    grams = slice(words.stop, None)
+    assert (a[grams] == b[grams]).all() and (a[grams] != c[grams]).any()
+    # a word's trigrams don't cross into the next
+    assert np.allclose(quality_mil.passages(["ab cd"])[0][0][grams], 0)
+    one = quality_mil.passages(["abc " * 64])[0][0]
+    assert np.abs(one[words]).sum() == pytest.approx(8) and np.abs(one[grams]).sum() == pytest.approx(4)
+
+
+def test_quality_of_words_alone(spark):
+    rng = random.Random(4)
+    good, bad = "ample brook cedar delta ember".split(), "fjord gnome hazel ivory jolly".split()
+    rows = []
+    for k in range(300):
+        own = good if k % 2 else bad
+        rows.append((k, " ".join(rng.choice(own) if rng.random() < 0.3 else f"w{rng.randrange(100, 999)}" for _ in range(rng.randrange(5, 300))), k % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_mil.learn(df.filter("doc_id < 200"), df.select("doc_id", "quality"))
+    got = {r["doc_id"]: r["score"] for r in quality_mil.score_quality(df.filter("doc_id >= 200"), model).collect()}
+    assert sum((s >= 0.5) == bool(k % 2) for k, s in got.items()) >= 90
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = [(k, "good words here. " * 30 if k % 2 else "X#1 " * 90, k % 2) for k in range(60)] + [(0, "other text", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    labels = df.select("doc_id", "quality")
+    seen = []
+    fit = quality_mil.Model.fit.__func__
+    monkeypatch.setattr(quality_mil.Model, "fit", classmethod(lambda cls, x, bags, y: (seen.append((len(x), len(bags))), fit(cls, x, bags, y, steps=3))[1]))
+    one, two = (quality_mil.learn(df, labels, max_train=20, max_passages=25) for _ in range(2))
+    assert seen[0][0] <= 25 and seen[0][1] <= 20 and seen[0] == seen[1] and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    long = spark.createDataFrame([(1, "good words here. " * 60_000), (2, None)], "doc_id long, text string")
+    assert all(0 <= r["score"] <= 1 for r in quality_mil.score_quality(long, one).collect())
+
+
 def test_passages():
     x, each = quality_mil.passages(["", "one two", "  ", "w " * 200])
     assert each.tolist() == [1, 1, 1, 4] and len(x) == 7 and not x[0].any() and not x[2].any()
