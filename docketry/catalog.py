@@ -305,7 +305,7 @@ over_v("a16_summary_by_company", summaries.by_company, sql(f"SELECT agency, {KEY
 
 @add("a17_refresh_summaries", sql(" UNION ALL ".join(f"SELECT '{n}' AS summary, count(*) AS row_count, sum(c)::BIGINT AS violations FROM (SELECT count(*) AS c FROM v WHERE {w} GROUP BY {g})" for n, w, g in (("by_year", "year IS NOT NULL", "agency, year"), ("by_state", "site_state <> ''", "agency, site_state, year"), ("by_standard", "standard <> ''", "agency, standard, year"), ("by_company", f"{KEY} <> ''", f"agency, {KEY}")))))
 def _(s, d):
-    paths = summaries.refresh(v(s, d).drop(*ROWKEY[:4]).persist(), store.scratch(s, "summaries"))
+    paths = summaries.refresh(store.written(v(s, d).drop(*ROWKEY[:4]), "violations"), store.scratch(s, "summaries"))
     out = None
     for name, path in paths.items():
         one = s.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"), F.sum("violation_count").alias("violations")).select(F.lit(name).alias("summary"), "*")
@@ -343,7 +343,15 @@ over_v("x01_strings", lambda df: df.select(F.upper(F.trim("company_name")).alias
 over_v("x06_dates", lambda df: n_rows(df.select(S.parsed_date(F.when(F.col("l_linenumber") == 1, F.date_format("violation_date", "MM/dd/yyyy")).when(F.col("l_linenumber") == 2, "not a date").otherwise(F.col("violation_date").cast("string"))).alias("day")), "day"), sql("SELECT CASE WHEN l_linenumber <> 2 THEN violation_date END AS day, count(*) AS row_count FROM v GROUP BY ALL"))
 over_v("x07_date_arithmetic", lambda df: df.select("violation_date", F.year("violation_date").alias("y"), F.date_add("violation_date", 365).alias("later"), F.datediff(F.lit("2002-01-01").cast("date"), "violation_date").alias("days"), S.iso_date("violation_date").alias("text")).distinct(), sql("SELECT DISTINCT violation_date, year(violation_date)::INTEGER AS y, (violation_date + 365)::DATE AS later, (DATE '2002-01-01' - violation_date)::INTEGER AS days, strftime(violation_date, '%Y-%m-%d') AS text FROM v"))
 over_v("x13_safe_ratio", lambda df: df.groupBy("standard").agg(F.round(S.per(F.count(S.positive("current_penalty")), F.count(F.when(F.col("viol_type") == "R", 1))), 6).alias("ratio")), sql("SELECT standard, coalesce(round(count(*) FILTER (current_penalty > 0) / nullif(count(*) FILTER (viol_type = 'R'), 0)::DOUBLE, 6), 0) AS ratio FROM v GROUP BY standard"))
-over_v("x16_soundex", lambda df: df.select(KEY).distinct().groupBy(F.soundex(F.regexp_replace(KEY, " ", "")).alias("code")).agg(F.count(F.lit(1)).alias("names")))
+#: Runs of one code are one digit; H and W don't end a run, vowels do.
+_SOUNDEX = rf"""
+SELECT f || rpad(substr(digits, 1, 3), 3, '0') AS code, count(*) AS names FROM (
+  SELECT f, array_to_string(list_filter(d, lambda x, i: i > 1 AND x <> '0' AND x <> d[i - 1]), '') AS digits FROM (
+    SELECT substr(s, 1, 1) AS f, string_split(translate(substr(s, 1, 1) || regexp_replace(substr(s, 2), '[HW]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623010702'), '') AS d
+    FROM (SELECT DISTINCT {KEY}, replace({KEY}, ' ', '') AS s FROM v)))
+GROUP BY 1
+"""
+over_v("x16_soundex", lambda df: df.select(KEY).distinct().groupBy(F.soundex(F.regexp_replace(KEY, " ", "")).alias("code")).agg(F.count(F.lit(1)).alias("names")), sql(_SOUNDEX))
 
 # --- names -----------------------------------------------------------------
 over_v("f01_normalize", lambda df: df.select("company_name", KEY).distinct(), sql(f"SELECT DISTINCT company_name, {KEY} FROM v"))
@@ -502,6 +510,7 @@ over_v("w09_row_numbers", lambda df: A.ranked(df, ROWKEY).filter("row_number <=
 over_v("t01_order_by_aggregate", lambda df: A.top_violations(df, 5, 1999), sql(f"SELECT standard, count(*) AS citation_count, coalesce({MEAN}, 0) AS avg_penalty FROM v WHERE year = 1999 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
 over_v("t02_page", lambda df: _show(search.page(df, ROWKEY, 50, 1000)), sql(f"SELECT {SEARCHED} FROM v ORDER BY {ORDER} NULLS FIRST LIMIT 50 OFFSET 1000"))
 over_v("t03_by_similarity", lambda df: R.find_matches(R.distinct_names(df), "plate", 30, 50))
+over_v("t06_sample", lambda df: search.sample(df, ROWKEY[:4], 1000, 42).select(*ROWKEY[:4]), sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM v ORDER BY md5(concat_ws('|', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000"))
 over_i("t05_head", lambda df: search.page(df, ["activity_nr"], 25), sql(f"SELECT {I_COLS} FROM i ORDER BY activity_nr LIMIT 25"))
 over_v("u02_merge_sectors", lambda df: A.by_industry_classified(df, n=100).select("naics_sector", "violation_count"), sql("SELECT sector AS naics_sector, sum(c)::BIGINT AS violation_count FROM (SELECT sector, c FROM kn2 UNION ALL SELECT sector, c FROM cs) GROUP BY 1", **_CLS))
 over_v("u05_missing_columns", lambda df: V.structure(df.select("agency", "year"), ["year", "company_name", "penalty"]).filter("check = 'missing_column'").select("check", "column", "total_rows"), sql("SELECT 'missing_column' AS \"check\", c AS \"column\", (SELECT count(*) FROM v) AS total_rows FROM (VALUES ('company_name'), ('penalty')) t(c)"))
@@ -524,8 +533,8 @@ over_v("i05_impact_labels", lambda df: n_rows(I.analyses(df), "analysis_type", "
 @add("st7_progress", "SELECT count(*) AS input_rows FROM events")
 def _(s, d):
     path, e = _event_files(s, d)
-    query = ST.run_to_parquet(ST.files(s, path, e.schema, per_batch=1), store.scratch(s, "progress"), store.scratch(s, "progress-state"))
-    return s.createDataFrame([(sum(p["rows"] for p in ST.progress(query)),)], "input_rows long")
+    found = ST.load_progress(ST.files(s, path, e.schema, per_batch=1), store.scratch(s, "progress"), store.scratch(s, "progress-state"))
+    return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("input_rows"))
 
 
 def queries() -> dict[str, Query]:

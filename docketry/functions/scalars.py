@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,3 +113,15 @@ def peer_label(mine: Column, mean: Column) -> Column:
 
 def iso_date(x: Column | str) -> Column:
     return F.date_format(c(x), "yyyy-MM-dd")
+
+
+def free(taken: Iterable[str], *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores in front as make it unlike all of ``taken`` (cases don't count)."""
+    used = {x.lower() for x in taken}
+
+    def one(name: str) -> str:
+        while name.lower() in used:
+            name = f"_{name}"
+        return name
+
+    return tuple(map(one, names))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import scalars as S
+from docketry.sources.store import written
 
 
 def _n() -> Column:
@@ -219,6 +221,36 @@ def first_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return out.select(*[F.col(key) if x == key else F.col(f"r.{x}").alias(x) for x in df.columns])
 
 
+def sums_before(df: DataFrame, order: Sequence[Column | str], name: str, by: Sequence[str] = (), value: str | None = None) -> DataFrame:
+    """Each row with the sum of ``value`` (or the number of rows) that come before it inside ``by``.
+
+    Rows are dealt out by ranges of the order; a row's sum is that of the ranges before its own
+    plus one inside it, so no task holds a whole group.
+    """
+    amount, part, start = S.free([*df.columns, name], "amount", "part", "start")
+    ranged = df.withColumn(amount, F.col(value) if value else F.lit(1).cast("long")).repartitionByRange(*by, *order)
+    ranged = written(ranged.withColumn(part, F.spark_partition_id()), "ranged")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, part).agg(F.sum(amount).alias(start))
+    starts = starts.withColumn(start, F.coalesce(F.sum(start).over(before(Window.partitionBy(*by).orderBy(part))), F.lit(0)))
+    inside = F.coalesce(F.sum(amount).over(before(Window.partitionBy(*by, part).orderBy(*order))), F.lit(0))
+    their = S.free([*ranged.columns, name, start], *[f"{k}_{b}" for k, b in enumerate([*by, part])])
+    starts = starts.select(*[F.col(b).alias(t) for b, t in zip([*by, part], their, strict=True)], start)
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(t)) for b, t in zip([*by, part], their, strict=True)])
+    out = ranged.withColumn(name, inside).join(starts, same)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], (F.col(name) + F.col(start)).alias(name))
+
+
 def ranked(df: DataFrame, order: Sequence[Column | str], name: str = "row_number") -> DataFrame:
-    """Rows numbered inside their agency."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy("agency").orderBy(*order)))
+    """Rows numbered inside their agency (null is one of them)."""
+    found = sums_before(df, order, name, ["agency"])
+    return found.withColumn(name, (F.col(name) + 1).cast("int"))
+
+
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row, ``median``: of the values counted and put in order by ranges; null without values."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = sums_before(counted, ["value"], "before", value="n")
+    total = placed.agg(F.sum("n")).scalar()
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value")))
+    return placed.withColumn("lo", F.floor((total - 1) / 2)).withColumn("hi", F.floor(total / 2)).agg(((at(F.col("lo")) + at(F.col("hi"))) / 2).alias("median"))

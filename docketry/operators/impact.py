@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions import scalars as S
+from docketry.sources.store import written
 
 DAYS = 365
 KEY = "company_name_normalized"
@@ -20,6 +21,11 @@ def dated(df: DataFrame) -> DataFrame:
     return df.filter(S.filled(KEY) & F.col("violation_date").isNotNull())
 
 
+def projected(df: DataFrame) -> DataFrame:
+    """What the analyses use of the dated rows, stored, as they read it several times."""
+    return written(dated(df).select(KEY, "violation_date", *[c for c in ("current_penalty", "agency") if c in df.columns]), "dated")
+
+
 def anchors(df: DataFrame) -> DataFrame:
     """``key, analysis_type, anchor`` (a date): up to three anchors a company.
 
@@ -30,7 +36,11 @@ def anchors(df: DataFrame) -> DataFrame:
     * first_high_penalty: the first with a penalty of at least the upper quartile;
     * first_multi_agency: the first date on which two agencies cited the company.
     """
-    rows = dated(df)
+    return anchors_of(projected(df))
+
+
+def anchors_of(rows: DataFrame) -> DataFrame:
+    """The anchors of dated rows; see ``anchors``."""
     stats = rows.groupBy(KEY).agg(
         F.median("current_penalty").alias("med"), F.percentile("current_penalty", 0.75).alias("q75"), F.min("violation_date").alias("first"), F.max("violation_date").alias("last"), F.count(F.lit(1)).alias("n")
     )
@@ -137,7 +147,8 @@ def analyses(df: DataFrame, anchor: DataFrame | None = None, days: int = DAYS, l
     With fewer than ``least`` dated violations nothing can be analysed.  If one
     side is empty p is 0.01 by decree, if both are it is 1; ``p_method`` tells.
     """
-    anchor = anchors(df) if anchor is None else anchor
+    df = projected(df)
+    anchor = written(anchors_of(df) if anchor is None else anchor, "anchors")
     by = [KEY, "analysis_type", "anchor"]
     out = windows(df, anchor, days).join(rank_sums(df, anchor, days), by, "left")
     b, a = F.col("before_count"), F.col("after_count")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import scalars as S
 from docketry.functions.lookups import STATES
+from docketry.operators.aggregates import exact_median
 
 SCHEMA = "check string, severity string, column string, failing_rows long, total_rows long, message string"
 
@@ -53,7 +54,8 @@ def penalties(df: DataFrame, column: str = "current_penalty", most: float = 10_0
 
 
 def penalty_stats(df: DataFrame, column: str = "current_penalty") -> DataFrame:
-    return df.agg(F.min(column).alias("min_penalty"), F.max(column).alias("max_penalty"), S.mean2(column).alias("mean_penalty"), F.round(F.median(column), 3).alias("median_penalty"))
+    one = df.agg(F.min(column).alias("min_penalty"), F.max(column).alias("max_penalty"), S.mean2(column).alias("mean_penalty"))
+    return one.crossJoin(exact_median(df, column).select(F.round("median", 3).alias("median_penalty")))  # one row each
 
 
 def states(df: DataFrame, column: str = "site_state") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions import scalars as S
 from docketry.functions.names import measure, normalized, ratio, similarity, token_sort_ratio
 from docketry.functions.scalars import filled
 
@@ -48,8 +49,9 @@ def best_match(names: DataFrame, query: str, threshold: float = 75) -> DataFrame
 
 def match_rows(df: DataFrame, query: str, threshold: float = 75, column: str = "company_name", limit: int | None = None) -> DataFrame:
     """Rows whose name matches, with the similarity; those of the ``limit`` best names if given."""
-    hits = find_matches(distinct_names(df, column), query, threshold, limit).withColumnRenamed("name", "__name")
-    return df.join(hits, F.col(column) == F.col("__name")).drop("__name")
+    (found,) = S.free([*df.columns, "similarity"], "found")
+    hits = find_matches(distinct_names(df, column), query, threshold, limit).withColumnRenamed("name", found)
+    return df.join(hits, F.col(column) == F.col(found)).drop(found)
 
 
 def _blocked_pairs(names: DataFrame, keys) -> DataFrame:

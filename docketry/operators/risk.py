@@ -49,7 +49,8 @@ def latest(df: DataFrame) -> date | None:
 
 def risk_scores(df: DataFrame, key: str = "company_name_normalized", as_of: date | None = None, weights: Weights = Weights()) -> DataFrame:
     """A row for each ``key``: component scores, composite score, level, and what they are made from."""
-    w, day = weights, F.lit(as_of or latest(df)).cast("date")
+    w = weights
+    day = F.lit(as_of).cast("date") if as_of else df.agg(F.max("violation_date")).scalar()
     rows = df.filter(S.filled(key))
     p = F.coalesce("current_penalty", F.lit(0.0))
     each = rows.groupBy(key, "standard").agg(
@@ -81,16 +82,19 @@ def risk_scores(df: DataFrame, key: str = "company_name_normalized", as_of: date
 def against_peers(scores: DataFrame) -> DataFrame:
     """Scores beside the mean, median and percentile of their sector (companies with a sector only).
 
-    A sector is one window partition, of companies rather than violations.
+    Scores have two places, so companies are counted by sector and score first: a sector
+    has 10,001 counts at most, and windows run over those instead of companies.
     """
+    known = scores.filter(F.col("naics_sector").isNotNull()).withColumn("points", F.round(F.col("composite_score") * 100).cast("long"))
     w = Window.partitionBy("naics_sector")
-    below = F.rank().over(w.orderBy("composite_score")) - 1
-    out = scores.filter(F.col("naics_sector").isNotNull()).withColumns({
-        "peer_count": F.count(F.lit(1)).over(w),
-        "peer_mean": F.round(F.sum(F.round(F.col("composite_score") * 100).cast("long")).over(w) / F.count(F.lit(1)).over(w) / 100, 4),
-        "peer_median": F.round(F.median("composite_score").over(w), 3),
-        "below": below,
-    })
+    upto = w.orderBy("points").rowsBetween(Window.unboundedPreceding, -1)
+    n, s, low = F.col("peer_count"), F.col("points"), F.col("below")
+    counts = known.groupBy("naics_sector", "points").agg(F.count(F.lit(1)).alias("here"))
+    counts = counts.withColumns({"below": F.coalesce(F.sum("here").over(upto), F.lit(0)), "peer_count": F.sum("here").over(w), "peer_sum": F.sum(F.col("here") * s).over(w)})
+    middle = lambda at: F.max(F.when((low <= at) & (at < low + F.col("here")), s)).over(w)
+    median = F.round((middle(F.floor((n - 1) / 2)) + middle(F.floor(n / 2))) / 200, 3)
+    counts = counts.select("naics_sector", "points", "below", "peer_count", F.round(F.col("peer_sum") / n / 100, 4).alias("peer_mean"), median.alias("peer_median"))
+    out = known.join(F.broadcast(counts), ["naics_sector", "points"])  # sectors are a fixed list
     return out.select(
         *[c for c in ("company_name_normalized",) if c in scores.columns], "naics_sector", "composite_score", "peer_count", "peer_mean", "peer_median",
         F.round(100 * F.col("below") / F.col("peer_count"), 4).alias("percentile"), S.peer_label(F.col("composite_score"), F.col("peer_mean")).alias("comparison"),

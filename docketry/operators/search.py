@@ -95,3 +95,9 @@ def distinct_values(df: DataFrame, column: str, least: int | None = None) -> Dat
     """Sorted distinct values of a column, none empty, none under ``least``."""
     values = df.filter(F.col(column) >= least if least is not None else filled(column)).select(column).distinct()
     return values.orderBy(column)
+
+
+def sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` random rows, those with the smallest hashes of seed and key; the same on every run."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return df.orderBy(order, *key).limit(n)

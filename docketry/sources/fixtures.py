@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docketry.functions.names import normalized
 
+_NAME = """concat(CASE WHEN p.p_partkey % 7 = 0 THEN 'The ' ELSE '' END, p.p_name, ' ', lower(p.p_type),
+    CASE p.p_partkey % 6 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Corp'
+                         WHEN 3 THEN ' Holdings' WHEN 4 THEN ' Co.' ELSE '' END)"""
 VIOLATIONS = """
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
   CASE l.l_suppkey % 10 WHEN 7 THEN 'EPA' WHEN 8 THEN 'MSHA' WHEN 9 THEN 'FDA' ELSE 'OSHA' END AS agency,
-  concat(CASE WHEN p.p_partkey % 7 = 0 THEN 'The ' ELSE '' END, p.p_name, ' ', lower(p.p_type),
-    CASE p.p_partkey % 6 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' LLC' WHEN 2 THEN ' Corp'
-                         WHEN 3 THEN ' Holdings' WHEN 4 THEN ' Co.' ELSE '' END) AS company_name,
+  {name} AS company_name,
   CAST(l.l_orderkey AS STRING) AS activity_nr,
   concat('1910.', substr(p.p_brand, 7)) AS standard,
   l.l_returnflag AS viol_type,
@@ -29,7 +30,7 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 JOIN {part} p ON l.l_partkey = p.p_partkey
-"""
+""".replace("{name}", _NAME)
 
 INSPECTIONS = """
 SELECT CAST(o.o_orderkey AS STRING) AS activity_nr, c.c_name AS estab_name,
@@ -51,13 +52,19 @@ FROM {events} WHERE event_type = 'error'
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
-def _read(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql})
+def _read(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    return spark.sql(sql, **{t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql})
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations with the normalised company name."""
-    return _read(spark, sf_dir, VIOLATIONS).withColumn("company_name_normalized", normalized("company_name"))
+    """Violations with the normalised company name.
+
+    A name is a part's, so each part's is normalised once, before its violations are joined.
+    """
+    parts = spark.sql(f"SELECT p.*, {_NAME} AS p_company FROM {{part}} p", part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    parts = parts.withColumn("p_normalized", normalized("p_company"))
+    query = VIOLATIONS.replace(f"{_NAME} AS company_name", "p.p_company AS company_name").replace("year(o.o_orderdate) AS year", "year(o.o_orderdate) AS year, p.p_normalized AS company_name_normalized")
+    return _read(spark, sf_dir, query, part=parts)
 
 
 def inspections(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,26 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions.scalars import free
+
 TABLES = ("inspections", "violations", "accidents")
-_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where that isn't set, a session on one machine uses the warehouse; on a cluster it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="docketry-"))
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docketry-scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, so that what follows doesn't run the plan again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def has_rows(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.parquet(path).limit(1).isEmpty()
@@ -83,6 +95,7 @@ def newer_than(df: DataFrame, column: str, last) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str], version: str) -> DataFrame:
     """Old and new rows, the latest version of each key."""
-    w = Window.partitionBy(*key).orderBy(F.desc(version), F.desc("__new"))
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "__new")
+    fresh, place = free([*old.columns, *new.columns], "fresh", "place")
+    w = Window.partitionBy(*key).orderBy(F.desc(version), F.desc(fresh))
+    both = old.withColumn(fresh, F.lit(0)).unionByName(new.withColumn(fresh, F.lit(1)), allowMissingColumns=True)
+    return both.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place, fresh)

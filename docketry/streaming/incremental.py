@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import scalars as S
-from docketry.sources.store import scratch
+from docketry.sources.store import has_rows, scratch
 
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
@@ -63,7 +63,8 @@ def upsert_summary(stream: DataFrame, path: str, checkpoint: str, keys: list[str
     """Keeps counts and sums by ``keys``; each batch reads, merges and writes a new version.
 
     A batch writes ``path/v=<batch + 1>`` from ``path/v=<batch>``, so running a batch again
-    gives the same version and readers never see a half-written one.
+    gives the same version and readers never see a half-written one.  The newest version is given
+    back, also where a resumed stream finds nothing new; versions before it may be removed.
     """
     spark = stream.sparkSession
 
@@ -74,12 +75,13 @@ def upsert_summary(stream: DataFrame, path: str, checkpoint: str, keys: list[str
             now = now.unionByName(s.read.parquet(f"{path}/v={batch_id}"))
             now = now.groupBy(*keys).agg(F.sum("violation_count").alias("violation_count"), F.sum("cents").alias("cents"))
         now.write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
-        last[0] = batch_id + 1
 
-    last = [0]
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/v={last[0]}"), query
+    if not has_rows(spark, path):
+        return spark.createDataFrame([], stream.select(*keys).schema.add("violation_count", "long").add("cents", "long")), query
+    newest = spark.read.parquet(path).agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{path}/v={newest}"), query
 
 
 def windowed_summary(stream: DataFrame, path: str, checkpoint: str, time: str, keys: list[str], value: str, every: str = "1 day") -> DataFrame:
@@ -97,5 +99,17 @@ def alerts(stream: DataFrame, column: str, threshold: float) -> DataFrame:
 
 
 def progress(query) -> list[dict]:
-    """Rows and rate of each batch of a query."""
+    """Rows and rate of the newest batches of a query, as many as Spark keeps (spark.sql.streaming.numRecentProgressUpdates)."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress]
+
+
+def load_progress(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Appends all that is there to Parquet; ``batch, rows`` of every batch that the folder holds, however many."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    if not has_rows(stream.sparkSession, path):
+        return stream.sparkSession.createDataFrame([], "batch int, rows long")
+    return stream.sparkSession.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))

@@ -1,3 +1,4 @@
+import random
 from datetime import date
 
 import pytest
@@ -142,3 +143,55 @@ def test_impact_queries_take_companies_without_penalties(spark, monkeypatch, nam
         assert got == [{"u1": 1.0, "n1": 1, "n2": 1}]
     else:
         assert {(r["company_name_normalized"], r["analysis_type"]) for r in got} == {("A", "significant_violation")}
+
+
+def test_sums_before_in_ranges(spark):
+    from docketry.operators import aggregates
+
+    rng = random.Random(6)
+    rows = [(rng.choice("aaab"), rng.randrange(100), k, rng.randrange(5), "x") for k in range(400)] + [(None, None, 400, 1, "x")]
+    df = spark.createDataFrame(rows, "agency string, d int, k int, n int, part string")
+    got = {r["k"]: (r["s"], r["part"]) for r in aggregates.sums_before(df, ["d", "k"], "s", ["agency"], "n").collect()}
+    assert got == {r[2]: (sum(q[3] for q in rows if q[0] == r[0] and (q[1], q[2]) < (r[1], r[2])) if r[0] else 0, "x") for r in rows}
+    numbered = aggregates.ranked(df, ["d", "k"]).collect()
+    for agency in "ab":
+        mine = sorted((r["d"], r["k"], r["row_number"]) for r in numbered if r["agency"] == agency)
+        assert [r[2] for r in mine] == list(range(1, len(mine) + 1))
+    assert len(numbered) == 401
+
+
+def test_exact_median(spark):
+    import statistics
+
+    from docketry.operators import aggregates, quality
+
+    for values in ([1.0], [2.0, 1.0], [5.0, 1.0, 1.0, None, 9.0], [float(k % 7) for k in range(100)]):
+        df = spark.createDataFrame([(v,) for v in values], "current_penalty double")
+        want = statistics.median(v for v in values if v is not None)
+        assert aggregates.exact_median(df, "current_penalty").first()[0] == want
+        assert quality.penalty_stats(df).first()["median_penalty"] == want
+    assert quality.penalty_stats(df.filter("false")).first()["median_penalty"] is None
+
+
+def test_peers_by_counts(spark):
+    import statistics
+
+    from docketry.operators import risk
+
+    rng = random.Random(9)
+    rows = [(f"c{k}", round(rng.randrange(3000, 3040) / 100, 2), rng.choice(["11", "22", None])) for k in range(150)]
+    df = spark.createDataFrame(rows, "company_name_normalized string, composite_score double, naics_sector string")
+    got = risk.against_peers(df).collect()
+    assert len(got) == sum(r[2] is not None for r in rows)
+    for r in got:
+        peers = [q[1] for q in rows if q[2] == r["naics_sector"]]
+        assert r["peer_count"] == len(peers) and abs(r["peer_mean"] - statistics.mean(peers)) < 1e-4 and abs(r["peer_median"] - statistics.median(peers)) <= 5.1e-4
+        assert abs(r["percentile"] - 100 * sum(p < r["composite_score"] for p in peers) / len(peers)) < 1e-4
+
+
+def test_sample_is_seeded(spark):
+    from docketry.operators import search
+
+    df = spark.range(500).withColumnRenamed("id", "k")
+    one, two, other = ([r["k"] for r in search.sample(df.repartition(p), ["k"], 40, seed).collect()] for p, seed in ((2, 1), (5, 1), (2, 2)))
+    assert one == two and one != other and len(set(one)) == 40 and search.sample(df.limit(3), ["k"], 40).count() == 3

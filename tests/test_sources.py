@@ -83,3 +83,50 @@ def test_windows_are_whole_whatever_the_order(spark, tmp_path):
     got = ST.windowed_summary(ST.files(spark, path, df.schema, per_batch=1), f"file://{tmp_path}/w", f"file://{tmp_path}/s", "ts", ["g"], "value")
     want = df.groupBy(F.window("ts", "1 day").start.alias("window_start"), "g").agg(F.count("*").alias("violation_count"), F.sum("value").alias("total"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_resumed_summary_and_progress(spark, tmp_path):
+    from docketry.streaming import incremental as ST
+
+    df = spark.createDataFrame([(k % 3, float(k)) for k in range(60)], "g int, value double")
+    path, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    df.repartition(3).write.parquet(path)
+    run = lambda: ST.upsert_summary(ST.files(spark, path, df.schema, per_batch=1), out, state, ["g"], "value")[0]
+    first = sorted(map(tuple, run().collect()))
+    assert sorted(map(tuple, run().collect())) == first and sum(r[1] for r in first) == 60  # nothing new
+    df.limit(6).coalesce(1).write.mode("append").parquet(path)
+    assert sum(r["violation_count"] for r in run().collect()) == 66
+    empty = f"file://{tmp_path}/empty"
+    df.filter("false").coalesce(1).write.parquet(empty)
+    assert ST.upsert_summary(ST.files(spark, empty, df.schema), f"{out}-e", f"{state}-e", ["g"], "value")[0].filter("violation_count > 0").count() == 0
+    done = ST.load_progress(ST.files(spark, path, df.schema, per_batch=1), f"{out}-p", f"{state}-p")
+    assert done.count() >= 3 and done.agg({"rows": "sum"}).first()[0] == 66
+
+
+def test_progress_of_more_batches_than_spark_remembers(spark, tmp_path):
+    from docketry.streaming import incremental as ST
+
+    path = f"file://{tmp_path}/many"
+    spark.range(12).repartition(12).write.parquet(path)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        done = ST.load_progress(ST.files(spark, path, spark.range(1).schema, per_batch=1), f"{path}-o", f"{path}-s")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert done.agg({"rows": "sum"}).first()[0] == 12 and done.count() > 2
+
+
+def test_clashing_names(spark):
+    old = spark.createDataFrame([(1, 1, "a", 7)], "k int, ver int, fresh string, place int")
+    new = spark.createDataFrame([(1, 1, "c", 8)], "k int, ver int, fresh string, place int")
+    assert [tuple(r) for r in store.upserted(old, new, ["k"], "ver").collect()] == [(1, 1, "c", 8)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    context = SimpleNamespace(getConf=lambda: {}, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        store.scratch(SimpleNamespace(sparkContext=context), "x")
