@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import held_out, table
+from docketry.llm.common import free, held_out, table
 
 UNKNOWN = "und"
 DIM = 512
@@ -182,8 +182,9 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray, encoder:
                 score[lo + known] = np.clip(cos[np.arange(len(best)), best], 0, 1)
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "__lang")]
-    return docs.select(*kept, predict("text").alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    (name,) = free([*docs.columns, "lang_pred", "score"], "found")
+    return docs.select(*kept, predict("text").alias(name)).select(*kept, F.col(f"{name}.lang_pred"), F.col(f"{name}.score"))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

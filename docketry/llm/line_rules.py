@@ -15,9 +15,10 @@ the base rules (under 50 words, or over half of the words in repeated
 three-word windows).
 
 Nulls and empty texts have no words: all counts are 0, the base rules fail.
-Repeated rows each get their own result; other columns are kept by
-:func:`clean_lines` unless their names are those of its results, which
-replace them.  Long texts cost n log n in their words.
+Repeated rows each get their own result; an empty table gives an empty result; other
+columns are kept by :func:`clean_lines` unless their names are those of its results, which
+replace them.  Long texts are judged whole and cost n log n in their words.  The phrases of
+``BOILERPLATE`` are English; the other rules know no language.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import SPACE, let, words
+from docketry.llm.common import SPACE, free, let, words
 
 SYMBOLS = "#*$%&|<>"
 MARKS = r"[.!?:;,\"')\]»”…]$"
@@ -110,8 +111,9 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     # one generated row holds everything that is computed once a document
-    out = out.select(*kept, F.explode(F.array(found)).alias("__found"))
-    f = F.col("__found")
+    (name,) = free([*out.columns, *RESULTS], "found")
+    out = out.select(*kept, F.explode(F.array(found)).alias(name))
+    f = F.col(name)
     joined = F.array_join(f["l"]["good"], "\n")
     base = (f["w"]["n_words"] < MIN_WORDS) | (100 * f["w"]["n_repeat_words"] > 50 * f["w"]["n_words"])
     lost = f["word_chars"] - _chars(joined).cast("long")

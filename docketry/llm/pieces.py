@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import table
+from docketry.llm.common import free, table
 
 MARK = "▁"
 LONG = 48
@@ -296,7 +296,7 @@ def encode_texts(docs: DataFrame, model_path: str, results: tuple[str, ...] = ("
         finally:
             enc.forget()
 
-    source = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in kept])
+    source = docs.select(F.col("text").alias(free(kept, "whole")[0]), *[F.col(f"`{c}`") for c in kept])
     return source.mapInArrow(run, schema)
 
 

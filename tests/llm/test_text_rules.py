@@ -8,7 +8,7 @@ from docketry.llm import components as components_module
 from docketry.llm import line_rules, minhash, mixing
 from tests.llm.helpers import components, shingle_set, words
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, key string, cut string, _of string, Of string, here string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, key string, cut string, _of string, Of string, here string, found string"
 
 
 def prose(rng, n, vocab=400):
@@ -30,7 +30,7 @@ def test_line_rules(spark):
         None, "", " \t\n", "one two", good, f"{menu}\n{good}\nAll rights reserved 2024.\nshort bit", "\n".join([menu + " | a | b"] * 40 + [good[:60] + "."]), "a b c " * 100, "x\ny.\nx\n\n \nx",
         "A!! " * 60, " ".join(f"t{i}###" for i in range(80)), "é\x0bü z　q " + good, good + " " + good, "w " * 20_000, prose(rng, 30_000, 10**7),
     ]
-    rows = [(k, t, None, None, None, None, "s", *"abcde") for k, t in enumerate(texts)] + [(4, good, None, None, None, None, "s", *"abcde")]
+    rows = [(k, t, None, None, None, None, "s", *"abcdef") for k, t in enumerate(texts)] + [(4, good, None, None, None, None, "s", *"abcdef")]
     got = line_rules.clean_lines(spark.createDataFrame(rows, DOCS)).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -66,8 +66,8 @@ def targets(sizes, weights=(5, 2, 1)):
 @pytest.mark.parametrize(("seed", "ranges"), [(1, 1), (2, 64), (2, 1 << 14)])
 def test_mix(spark, seed, ranges):
     rng = random.Random(seed)
-    rows = [(k, prose(rng, rng.randrange(0, 60)), None, rng.choice(["a", "b", "c", "é", "z", None] + ["a"] * 10), None, None, "s", *"abcde") for k in range(600)]
-    rows += [(1000, None, None, "a", None, None, "s", *"abcde"), (1001, "", None, "only-empty", None, None, "s", *"abcde"), (None, "q r", None, "b", None, None, "s", *"abcde"), (5, "same same", None, "c", None, None, "s", *"abcde"), (5, "same same", None, "c", None, None, "s", *"abcde")]
+    rows = [(k, prose(rng, rng.randrange(0, 60)), None, rng.choice(["a", "b", "c", "é", "z", None] + ["a"] * 10), None, None, "s", *"abcdef") for k in range(600)]
+    rows += [(1000, None, None, "a", None, None, "s", *"abcdef"), (1001, "", None, "only-empty", None, None, "s", *"abcdef"), (None, "q r", None, "b", None, None, "s", *"abcdef"), (5, "same same", None, "c", None, None, "s", *"abcdef"), (5, "same same", None, "c", None, None, "s", *"abcdef")]
     df = spark.createDataFrame(rows, DOCS)
     got = mixing.mix_sources(df, ranges=ranges).collect()
     assert len(got) == len(rows)
