@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: White space that separates words, in Java and RE2 syntax.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Temporary folders of sessions that run in one process.
+_own: dict[str, str] = {}
+
 
 def words(text: Column | str) -> Column:
     """Array of the words of a text; empty for null."""
@@ -50,17 +54,19 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where that isn't set, a session on one machine gets a folder in the warehouse; on
-    a cluster it is an error, as no folder is known to be shared.
+    Where that isn't set, a session in one process gets a temporary folder; on a cluster it
+    is an error, as no folder is known to be shared.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docketry-shared"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="docketry-shared-")
+        spark.sparkContext.setCheckpointDir(_own[app])
+    return _own[app]
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -182,3 +182,14 @@ def test_components(spark, monkeypatch, limit):
     assert components_module.components(df.filter("false")).count() == 0
     with pytest.raises(RuntimeError):
         components_module.components(df, max_rounds=1)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from docketry.llm import common
+
+    context = SimpleNamespace(getConf=lambda: {}, master="local-cluster[2,1,1024]")
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(sparkContext=context))
+    assert common.free(["a", "_A", "b"], "a", "c") == ("__a", "c")
