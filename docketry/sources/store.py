@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -11,19 +12,21 @@ from pyspark.sql import functions as F
 from docketry.functions.scalars import free
 
 TABLES = ("inspections", "violations", "accidents")
+#: Temporary folders of sessions that run in one process.
+_own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir.
 
-    Where that isn't set, a session on one machine uses the warehouse; on a cluster it is an error.
+    Where that isn't set, a session in one process uses a temporary folder; on a cluster it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docketry-scratch"
+        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="docketry-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
