@@ -6,6 +6,7 @@ where it is the feature.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from docketry.operators import quality as V
 from docketry.operators import resolve as R
 from docketry.operators import risk, search, summaries
 from docketry.plans import company
-from docketry.plans.oracle import MEAN, STATS, TOTAL, VALID, C, norm, sector_name, sector_words, sql, standard_text
+from docketry.plans.oracle import MEAN, STATS, TOTAL, VALID, C, impacts, norm, recursive, scored, sector_name, sector_words, sql, standard_text
 from docketry.sources import conform, fixtures, schemas, store
 from docketry.streaming import incremental as ST
 
@@ -318,7 +319,6 @@ over_v("a19_company_breakdown", lambda df: A.company_breakdown(df).select(KEY, F
 over_v("a20_type_histogram", lambda df: A.type_histogram(df).select(KEY, "agency", F.explode("violation_types").alias("viol_type", "n")), sql(f"SELECT {KEY}, agency, viol_type, count(*) AS n FROM v WHERE {KEY} <> '' AND viol_type IS NOT NULL GROUP BY ALL"))
 _CROSS = ", ".join(f"CASE WHEN count(*) FILTER (agency = '{x}') >= 3 THEN count(*) FILTER (agency = '{x}') ELSE 0 END AS \"{x}\"" for x in ("OSHA", "EPA", "MSHA", "FDA"))
 over_v("a21_cross_agency", lambda df: A.cross_agency(df, ["OSHA", "EPA", "MSHA", "FDA"], 3), sql(f"SELECT * FROM (SELECT {KEY}, {_CROSS} FROM v WHERE {KEY} <> '' GROUP BY 1) WHERE (OSHA > 0)::INT + (EPA > 0)::INT + (MSHA > 0)::INT + (FDA > 0)::INT > 1"))
-over_v("a22_top_matched_names", lambda df: R.find_matches(R.distinct_names(df), NAME, 0, 5).select(F.col("name").alias("company_name"), F.col("similarity").alias("best")))
 over_v("a23_matches_by_agency", lambda df: n_rows(search.matching(df, company=NAME), "agency"), sql(f"SELECT agency, count(*) AS row_count FROM v WHERE {_named} GROUP BY agency"))
 over_v("a24_repeat_standards", A.repeat_standards, sql(f"SELECT {KEY}, count(*) FILTER (n > 1) AS repeat_standards FROM (SELECT {KEY}, standard, count(*) AS n FROM v WHERE {KEY} <> '' AND standard IS NOT NULL GROUP BY 1, 2) GROUP BY 1"))
 over_v("a25_shared_dates", A.shared_dates, sql(f"SELECT {KEY}, violation_date, count(DISTINCT agency) AS agencies FROM v WHERE {KEY} <> '' GROUP BY 1, 2 HAVING count(DISTINCT agency) > 1"))
@@ -355,18 +355,32 @@ over_v("x16_soundex", lambda df: df.select(KEY).distinct().groupBy(F.soundex(F.r
 
 # --- names -----------------------------------------------------------------
 over_v("f01_normalize", lambda df: df.select("company_name", KEY).distinct(), sql(f"SELECT DISTINCT company_name, {KEY} FROM v"))
+#: Distinct names, and the measures of all of them against one.
+_DN = {"dn": f"SELECT DISTINCT company_name AS name, {KEY} AS norm FROM v WHERE company_name <> '' AND {KEY} <> ''"}
+
+
+def _like(*queries: str) -> dict[str, str]:
+    asked = " UNION ALL ".join(f"SELECT '{q}' AS query, {norm(chr(39) + q + chr(39))} AS t" for q in queries)
+    return {**_DN, "asked": asked, **scored("SELECT DISTINCT t, norm AS n FROM asked CROSS JOIN dn"), "hits": "SELECT query, name, weighted AS similarity FROM asked JOIN sm USING (t) JOIN dn ON norm = n"}
+
+
+def _best(query: str, threshold: float, limit: int, columns: str = "name, similarity") -> str:
+    return sql(f"SELECT {columns} FROM hits WHERE similarity >= {threshold} ORDER BY similarity DESC, name LIMIT {limit}", **_like(query))
+
+
 _pairs = lambda df: R.candidate_pairs(R.distinct_names(df), 4)
 for _k, _id in (("simple", "f02"), ("partial", "f03"), ("token_sort", "f04"), ("token_set", "f05"), ("weighted", "f06")):
-    over_v(f"{_id}_{_k}_ratio", lambda df, k=_k: df.select(F.col(KEY).alias("name")).distinct().withColumn("score", measure(k, "name", F.lit("RED PLATE PROMO"))))
+    over_v(f"{_id}_{_k}_ratio", lambda df, k=_k: df.select(F.col(KEY).alias("name")).distinct().withColumn("score", measure(k, "name", F.lit("RED PLATE PROMO"))), sql(f'SELECT n AS name, "{_k}" AS score FROM sm', **scored(f"SELECT DISTINCT 'RED PLATE PROMO' AS t, {KEY} AS n FROM v")))
 over_v("f04_token_keys", lambda df: df.select(KEY, token_key(KEY).alias("token_key")).distinct(), sql(f"SELECT DISTINCT {KEY}, array_to_string(list_sort(list_distinct(string_split({KEY}, ' '))), ' ') AS token_key FROM v"))
-over_v("f07_find_matches", lambda df: R.find_matches(R.distinct_names(df), "Red Plate Promo", 75, 20))
-over_v("f08_match_rows", lambda df: n_rows(R.match_rows(df, "red plate promo", 75), "company_name", "similarity"))
+over_v("a22_top_matched_names", lambda df: R.find_matches(R.distinct_names(df), NAME, 0, 5).select(F.col("name").alias("company_name"), F.col("similarity").alias("best")), _best(NAME, 0, 5, "name AS company_name, similarity AS best"))
+over_v("f07_find_matches", lambda df: R.find_matches(R.distinct_names(df), "Red Plate Promo", 75, 20), _best("Red Plate Promo", 75, 20))
+over_v("f08_match_rows", lambda df: n_rows(R.match_rows(df, "red plate promo", 75), "company_name", "similarity"), sql("SELECT company_name, similarity, count(*) AS row_count FROM v JOIN hits ON company_name = name WHERE similarity >= 75 GROUP BY 1, 2", **_like("red plate promo")))
 over_v("f09_group_similar", lambda df: R.group_similar(R.distinct_names(df), 85))
 over_v("f10_search_one_agency", lambda df: company.search_company(df, NAME, ["OSHA"], fuzzy=False, limit=500).select("agency", "company_name", "activity_nr"), sql(f"SELECT agency, company_name, activity_nr FROM v WHERE {_named} AND agency = 'OSHA' ORDER BY company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty LIMIT 500"))
-over_v("f11_search_company", lambda df: company.search_company(df, NAME, threshold=50, limit=200, prefilter=None).select("agency", "company_name", "activity_nr", "similarity"))
+over_v("f11_search_company", lambda df: company.search_company(df, NAME, threshold=50, limit=200, prefilter=None).select("agency", "company_name", "activity_nr", "similarity"), sql(f"SELECT agency, company_name, activity_nr, weighted AS similarity FROM v JOIN sm ON n = {KEY} WHERE weighted >= 50 ORDER BY weighted DESC, company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST LIMIT 200", **scored(f"SELECT DISTINCT {norm(chr(39) + NAME + chr(39))} AS t, {KEY} AS n FROM v")))
 over_v("f12_resolve", lambda df: n_rows(R.resolved(df, R.group_similar(R.distinct_names(df), 85)), "representative"))
-over_v("f12_watch_list", lambda df: R.watch_list(R.distinct_names(df), ["Red Plate Promo", "Blue Lamp LLC"], 70))
-over_v("f13_best_match", lambda df: R.best_match(R.distinct_names(df), "The Red Plate Promo, Inc.", 75))
+over_v("f12_watch_list", lambda df: R.watch_list(R.distinct_names(df), ["Red Plate Promo", "Blue Lamp LLC"], 70), sql("SELECT query, name, similarity FROM hits WHERE similarity >= 70", **_like("Red Plate Promo", "Blue Lamp LLC")))
+over_v("f13_best_match", lambda df: R.best_match(R.distinct_names(df), "The Red Plate Promo, Inc.", 75), _best("The Red Plate Promo, Inc.", 75, 1))
 
 # --- risk --------------------------------------------------------------------
 _RISK = {
@@ -387,7 +401,9 @@ over_v("r07_against_peers", lambda df: risk.against_peers(risk.risk_scores(df)),
   FROM (SELECT *, round(s::DOUBLE / peer_count / 100, 4) AS pm FROM (SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, count(*) OVER w AS peer_count, sum(round(composite_score * 100)::BIGINT) OVER w AS s, quantile_cont(composite_score, 0.5) OVER w AS med, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below FROM r WHERE code IS NOT NULL WINDOW w AS (PARTITION BY substr(code, 1, 2))))""", **_RISK))
 _ONE = {"vv": f"SELECT * REPLACE ('{NAME}' AS {KEY}) FROM v WHERE {_named}"} | {k: q.replace("FROM v WHERE", "FROM vv WHERE") for k, q in _RISK.items()}
 over_v("r08_company_risk", lambda df: company.company_risk(df, NAME).withColumnRenamed(KEY, "company").select("company", "violation_count", "total_penalties", "agencies", "composite_score", "risk_level"), sql(f"SELECT {KEY} AS company, violation_count, total_penalties, agencies, composite_score, risk_level FROM ({_SCORES})", **_ONE))
-over_v("r09_company_report", lambda df: company.company_report(df, NAME).withColumn("agencies_json", F.to_json("types")).select("company", "agencies_json", "violation_count", "composite_score"))
+over_v("r09_company_report", lambda df: company.company_report(df, NAME).withColumn("agencies_json", F.to_json("types")).select("company", "agencies_json", "violation_count", "composite_score"), sql(
+    f"""SELECT {KEY} AS company, '[' || string_agg('{{"agency":"' || agency || '","types":"{{' || types || '}}"}}', ',' ORDER BY agency) || ']' AS agencies_json, any_value(violation_count) AS violation_count, any_value(composite_score) AS composite_score
+    FROM ({_SCORES}) JOIN (SELECT {KEY}, agency, string_agg('\\"' || viol_type || '\\":' || n, ',' ORDER BY viol_type) AS types FROM (SELECT {KEY}, agency, viol_type, count(*) AS n FROM vv WHERE viol_type IS NOT NULL GROUP BY ALL) GROUP BY ALL) USING ({KEY}) GROUP BY 1""", **_ONE))
 
 # --- impact ------------------------------------------------------------------
 _DATED = f"{KEY} <> '' AND violation_date IS NOT NULL"
@@ -409,9 +425,12 @@ _GAP = {
     "rk": f"SELECT *, rank() OVER (PARTITION BY {KEY}, analysis_type, anchor ORDER BY g) + (count(*) OVER (PARTITION BY {KEY}, analysis_type, anchor, g) - 1) / 2::DOUBLE AS r, count(*) OVER (PARTITION BY {KEY}, analysis_type, anchor, g) AS t FROM gg",
 }
 over_v("i04_rank_sums", lambda df: I.rank_sums(df, I.anchors(df)), sql(f"SELECT {KEY}, analysis_type, anchor, coalesce(sum(r) FILTER (side = 'b'), 0) - count(*) FILTER (side = 'b') * (count(*) FILTER (side = 'b') + 1) / 2::DOUBLE AS u1, count(*) FILTER (side = 'b') AS n1, count(*) FILTER (side = 'a') AS n2, sum(t * t - 1)::DOUBLE AS ties FROM rk GROUP BY 1, 2, 3", **_GAP))
-over_v("i06_impact", I.analyses)
-over_v("i07_impact_summary", lambda df: I.summary(I.analyses(df)))
-over_v("i08_company_impact", lambda df: company.company_impact(df, NAME).withColumnRenamed(KEY, "company"))
+_RES = {**_GAP, **impacts(KEY)}
+_SUM = f"SELECT {KEY}, count(*) AS total_analyses, count(*) FILTER (impact = 'Increased') AS increased, count(*) FILTER (impact = 'Reduced') AS reduced, count(*) FILTER (impact IN ('No Change', 'No Significant Change')) AS no_change, count(*) FILTER (significant) AS statistically_significant, CASE WHEN s < 0 THEN -1 ELSE 1 END * ((2 * abs(s) + n) // (2 * n))::DOUBLE / 100 AS avg_rate_change_pct FROM (SELECT *, sum(round(rate_change_pct * 100)::BIGINT) OVER w::BIGINT AS s, count(*) OVER w AS n FROM res WINDOW w AS (PARTITION BY {KEY})) GROUP BY {KEY}, s, n"
+_RED = {"vv": f"SELECT * REPLACE ('{NAME}' AS {KEY}) FROM v WHERE {_named}"} | {k: re.sub(r"\b(FROM|JOIN) v\b", r"\1 vv", q) for k, q in _RES.items()}
+over_v("i06_impact", I.analyses, recursive(sql("SELECT * FROM res", **_RES)))
+over_v("i07_impact_summary", lambda df: I.summary(I.analyses(df)), recursive(sql(_SUM, **_RES)))
+over_v("i08_company_impact", lambda df: company.company_impact(df, NAME).withColumnRenamed(KEY, "company"), recursive(sql(f"SELECT {KEY} AS company, * EXCLUDE ({KEY}) FROM res", **_RED)))
 over_v("i09_timeline", lambda df: n_rows(I.timeline(df, I.anchors(df)), KEY, "analysis_type", "period"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN violation_date < anchor THEN 'Before' WHEN violation_date = anchor THEN 'Impact' ELSE 'After' END AS period, count(*) AS row_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL) GROUP BY ALL", **_IMP))
 
 # --- data quality --------------------------------------------------------------
@@ -498,7 +517,7 @@ over_v("j09_industry_and_nation", lambda df: A.industry_benchmark(df, "62").sele
 _PEERS = f"SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below, count(*) OVER (PARTITION BY substr(code, 1, 2)) AS n FROM r WHERE code IS NOT NULL"
 over_v("j10_company_and_peers", lambda df: risk.against_peers(risk.risk_scores(df)).select(KEY, "naics_sector", "peer_count"), sql(f"SELECT {KEY}, naics_sector, n AS peer_count FROM ({_PEERS})", **_RISK))
 over_v("w04_peer_percentile", lambda df: risk.against_peers(risk.risk_scores(df)).select(KEY, "percentile"), sql(f"SELECT {KEY}, round(100 * (below / n::DOUBLE), 4) AS percentile FROM ({_PEERS})", **_RISK))
-over_v("a27_impact_counts", lambda df: I.summary(I.analyses(df)).select(KEY, "total_analyses", "increased", "reduced", "no_change"))
+over_v("a27_impact_counts", lambda df: I.summary(I.analyses(df)).select(KEY, "total_analyses", "increased", "reduced", "no_change"), recursive(sql(f"SELECT {KEY}, total_analyses, increased, reduced, no_change FROM ({_SUM})", **_RES)))
 over_v("w01_first_high_penalty", lambda df: I.anchors(df).filter("analysis_type = 'first_high_penalty'").select(KEY, "anchor"), sql(f"SELECT {KEY}, h AS anchor FROM pk WHERE h IS NOT NULL", **_IMP))
 over_v("w05_mean_ranks", lambda df: I.rank_sums(df, I.anchors(df), 180).agg(F.sum("u1").alias("u1"), F.sum("n1").alias("n1"), F.sum("n2").alias("n2")), sql("SELECT sum(u1) AS u1, sum(n1)::BIGINT AS n1, sum(n2)::BIGINT AS n2 FROM (SELECT coalesce(sum(r) FILTER (side = 'b'), 0) - count(*) FILTER (side = 'b') * (count(*) FILTER (side = 'b') + 1) / 2::DOUBLE AS u1, count(*) FILTER (side = 'b') AS n1, count(*) FILTER (side = 'a') AS n2 FROM rk GROUP BY company_name_normalized, analysis_type, anchor)", **{k: q.replace("anchor - 365", "anchor - 180").replace("anchor + 365", "anchor + 180") for k, q in _GAP.items()}))
 _bare = lambda df: df.withColumn("current_penalty", F.lit(None).cast("double"))
@@ -509,7 +528,7 @@ over_v("w07_middle_row", lambda df: I.anchors(_early(df)).filter("analysis_type
 over_v("w09_row_numbers", lambda df: A.ranked(df, ROWKEY).filter("row_number <= 20").select("agency", "row_number", *ROWKEY[:4]), sql(f"SELECT agency, r::INTEGER AS row_number, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST) AS r FROM v) WHERE r <= 20"))
 over_v("t01_order_by_aggregate", lambda df: A.top_violations(df, 5, 1999), sql(f"SELECT standard, count(*) AS citation_count, coalesce({MEAN}, 0) AS avg_penalty FROM v WHERE year = 1999 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
 over_v("t02_page", lambda df: _show(search.page(df, ROWKEY, 50, 1000)), sql(f"SELECT {SEARCHED} FROM v ORDER BY {ORDER} NULLS FIRST LIMIT 50 OFFSET 1000"))
-over_v("t03_by_similarity", lambda df: R.find_matches(R.distinct_names(df), "plate", 30, 50))
+over_v("t03_by_similarity", lambda df: R.find_matches(R.distinct_names(df), "plate", 30, 50), _best("plate", 30, 50))
 over_v("t06_sample", lambda df: search.sample(df, ROWKEY[:4], 1000, 42).select(*ROWKEY[:4]), sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM v ORDER BY md5(concat_ws('|', 42, l_orderkey, l_linenumber, l_partkey, l_suppkey)), l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000"))
 over_i("t05_head", lambda df: search.page(df, ["activity_nr"], 25), sql(f"SELECT {I_COLS} FROM i ORDER BY activity_nr LIMIT 25"))
 over_v("u02_merge_sectors", lambda df: A.by_industry_classified(df, n=100).select("naics_sector", "violation_count"), sql("SELECT sector AS naics_sector, sum(c)::BIGINT AS violation_count FROM (SELECT sector, c FROM kn2 UNION ALL SELECT sector, c FROM cs) GROUP BY 1", **_CLS))
@@ -527,7 +546,7 @@ over_v("x15_maps", lambda df: A.type_histogram(df).select(KEY, "agency", F.try_e
 for _id, _label, _col in (("r01", "violation", "vs"), ("r02", "penalty", "ps"), ("r03", "recency", "rs"), ("r04", "severity", "ss"), ("r05", "agency", "as_")):
     over_v(f"{_id}_{_label}_score", lambda df, x=_label: risk.risk_scores(df).select(KEY, f"{x}_score"), sql(f"SELECT {KEY}, {_col} AS {_label}_score FROM q", **_RISK))
 over_v("i03_rate_change", lambda df: I.windows(df, I.anchors(df)).select(KEY, "analysis_type", "rate_change_pct"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn WHERE {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL)", **_IMP))
-over_v("i05_impact_labels", lambda df: n_rows(I.analyses(df), "analysis_type", "impact", "impact_strength"))
+over_v("i05_impact_labels", lambda df: n_rows(I.analyses(df), "analysis_type", "impact", "impact_strength"), recursive(sql("SELECT analysis_type, impact, impact_strength, count(*) AS row_count FROM res GROUP BY ALL", **_RES)))
 
 
 @add("st7_progress", "SELECT count(*) AS input_rows FROM events")

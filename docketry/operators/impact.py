@@ -167,11 +167,11 @@ def analyses(df: DataFrame, anchor: DataFrame | None = None, days: int = DAYS, l
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Counts of impact types by company, and the mean change."""
+    """Counts of impact types by company, and the mean change, half a hundredth rounded away from 0."""
     kind = F.col("impact")
     return found.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("total_analyses"), F.count_if(kind == "Increased").alias("increased"), F.count_if(kind == "Reduced").alias("reduced"),
-        F.count_if(kind.isin("No Change", "No Significant Change")).alias("no_change"), F.count_if("significant").alias("statistically_significant"), F.round(F.avg("rate_change_pct"), 2).alias("avg_rate_change_pct"),
+        F.count_if(kind.isin("No Change", "No Significant Change")).alias("no_change"), F.count_if("significant").alias("statistically_significant"), F.round(F.avg(F.col("rate_change_pct").cast("decimal(18,2)")), 2).cast("double").alias("avg_rate_change_pct"),
     )
 
 
