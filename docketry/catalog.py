@@ -364,6 +364,18 @@ def _like(*queries: str) -> dict[str, str]:
     return {**_DN, "asked": asked, **scored("SELECT DISTINCT t, norm AS n FROM asked CROSS JOIN dn"), "hits": "SELECT query, name, weighted AS similarity FROM asked JOIN sm USING (t) JOIN dn ON norm = n"}
 
 
+def _alike(threshold: float) -> dict[str, str]:
+    """``pr``, all pairs of names at or over the threshold, and ``gs``, their groups: in order, each name that is like no earlier leader leads."""
+    found = {**_DN, **scored("SELECT x.norm AS t, y.norm AS n FROM (SELECT DISTINCT norm FROM dn) x JOIN (SELECT DISTINCT norm FROM dn) y ON x.norm < y.norm"), "pr": f"SELECT t AS a, n AS b, weighted AS similarity FROM sm WHERE weighted >= {threshold}"}
+    return found | {
+        "od": "SELECT norm, row_number() OVER (ORDER BY norm) AS place, before FROM (SELECT norm, coalesce(list(a) FILTER (a IS NOT NULL), []) AS before FROM (SELECT DISTINCT norm FROM dn) LEFT JOIN pr ON b = norm GROUP BY norm)",
+        "ld": "SELECT 0::BIGINT AS place, []::VARCHAR[] AS leaders UNION ALL SELECT od.place, CASE WHEN list_has_any(leaders, before) THEN leaders ELSE list_append(leaders, norm) END FROM ld JOIN od ON od.place = ld.place + 1",
+        "le": "SELECT unnest(leaders) AS leader FROM (SELECT leaders FROM ld ORDER BY place DESC LIMIT 1)",
+        "mb": "SELECT b AS norm, min(a) AS leader, arg_min(similarity, a) AS similarity FROM pr JOIN le ON leader = a GROUP BY b",
+        "gs": "SELECT * FROM mb UNION ALL SELECT DISTINCT leader, leader, 100 FROM mb",
+    }
+
+
 def _best(query: str, threshold: float, limit: int, columns: str = "name, similarity") -> str:
     return sql(f"SELECT {columns} FROM hits WHERE similarity >= {threshold} ORDER BY similarity DESC, name LIMIT {limit}", **_like(query))
 
@@ -375,10 +387,10 @@ over_v("f04_token_keys", lambda df: df.select(KEY, token_key(KEY).alias("token_k
 over_v("a22_top_matched_names", lambda df: R.find_matches(R.distinct_names(df), NAME, 0, 5).select(F.col("name").alias("company_name"), F.col("similarity").alias("best")), _best(NAME, 0, 5, "name AS company_name, similarity AS best"))
 over_v("f07_find_matches", lambda df: R.find_matches(R.distinct_names(df), "Red Plate Promo", 75, 20), _best("Red Plate Promo", 75, 20))
 over_v("f08_match_rows", lambda df: n_rows(R.match_rows(df, "red plate promo", 75), "company_name", "similarity"), sql("SELECT company_name, similarity, count(*) AS row_count FROM v JOIN hits ON company_name = name WHERE similarity >= 75 GROUP BY 1, 2", **_like("red plate promo")))
-over_v("f09_group_similar", lambda df: R.group_similar(R.distinct_names(df), 85))
+over_v("f09_group_similar", lambda df: R.group_similar(R.distinct_names(df), 85), recursive(sql("SELECT * FROM gs", **_alike(85)), "dn", "pr", "od", "le", "mb"))
 over_v("f10_search_one_agency", lambda df: company.search_company(df, NAME, ["OSHA"], fuzzy=False, limit=500).select("agency", "company_name", "activity_nr"), sql(f"SELECT agency, company_name, activity_nr FROM v WHERE {_named} AND agency = 'OSHA' ORDER BY company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty LIMIT 500"))
 over_v("f11_search_company", lambda df: company.search_company(df, NAME, threshold=50, limit=200, prefilter=None).select("agency", "company_name", "activity_nr", "similarity"), sql(f"SELECT agency, company_name, activity_nr, weighted AS similarity FROM v JOIN sm ON n = {KEY} WHERE weighted >= 50 ORDER BY weighted DESC, company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST LIMIT 200", **scored(f"SELECT DISTINCT {norm(chr(39) + NAME + chr(39))} AS t, {KEY} AS n FROM v")))
-over_v("f12_resolve", lambda df: n_rows(R.resolved(df, R.group_similar(R.distinct_names(df), 85)), "representative"))
+over_v("f12_resolve", lambda df: n_rows(R.resolved(df, R.group_similar(R.distinct_names(df), 85)), "representative"), recursive(sql(f"SELECT coalesce(leader, {KEY}) AS representative, count(*) AS row_count FROM v LEFT JOIN gs ON norm = {KEY} GROUP BY 1", **_alike(85)), "dn", "pr", "od", "le", "mb"))
 over_v("f12_watch_list", lambda df: R.watch_list(R.distinct_names(df), ["Red Plate Promo", "Blue Lamp LLC"], 70), sql("SELECT query, name, similarity FROM hits WHERE similarity >= 70", **_like("Red Plate Promo", "Blue Lamp LLC")))
 over_v("f13_best_match", lambda df: R.best_match(R.distinct_names(df), "The Red Plate Promo, Inc.", 75), _best("The Red Plate Promo, Inc.", 75, 1))
 
@@ -511,7 +523,7 @@ def _(s, d):
 add("j02_lookup_join", sql("SELECT v.agency, inspection_type, count(*) AS row_count, count(estab_name) AS found FROM v LEFT JOIN i USING (activity_nr) GROUP BY 1, 2"))(
     lambda s, d: A.joined_inspections(v(s, d), i(s, d)).groupBy("agency", "inspection_type").agg(F.count(F.lit(1)).alias("row_count"), F.count("estab_name").alias("found"))
 )
-over_v("j07_name_pairs", lambda df: R.similar_pairs(R.distinct_names(df), 90))
+over_v("j07_name_pairs", lambda df: R.similar_pairs(R.distinct_names(df), 90), recursive(sql("SELECT * FROM pr", **_alike(90)), "dn", "pr"))
 over_v("j08_interval_membership", lambda df: I.windows(df, I.anchors(df), 180).select(KEY, "analysis_type", "anchor", "before_count", "after_count"), sql(f"SELECT {KEY}, analysis_type, anchor, count(*) FILTER (violation_date < anchor AND violation_date >= anchor - 180) AS before_count, count(*) FILTER (violation_date > anchor AND violation_date <= anchor + 180) AS after_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL) GROUP BY 1, 2, 3", **_IMP))
 over_v("j09_industry_and_nation", lambda df: A.industry_benchmark(df, "62").select("industry_violations", "national_violations"), sql("SELECT count(*) FILTER (substr(naics_code, 1, 2) = '62') AS industry_violations, count(*) AS national_violations FROM v"))
 _PEERS = f"SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below, count(*) OVER (PARTITION BY substr(code, 1, 2)) AS n FROM r WHERE code IS NOT NULL"

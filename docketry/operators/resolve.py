@@ -142,16 +142,19 @@ def _leaders(pairs: DataFrame) -> DataFrame:
 
     A name leads as soon as no undecided smaller name is like it; what is like a
     leader is decided.  A round does that for all names at once, with joins; the
-    number of rounds follows the longest chain of decisions, not the rows.
+    number of rounds follows the longest chain of decisions, not the rows.  In the
+    end every name that no leader took leads, also one whose own pairs were all
+    decided from their other ends.
     """
-    left, found = pairs.select("a", "b"), None
+    left, led = pairs.select("a", "b"), None
     while not left.isEmpty():
         heads = _kept(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
-        taken = left.join(heads, "a").select("b").distinct()
+        taken = _kept(left.join(heads, "a").select("b").distinct())
         left = left.join(heads, "a", "left_anti").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").join(taken, "b", "left_anti")
         left = _kept(left.select("a", "b"))
-        found = heads if found is None else found.union(heads)
-    return pairs.select("a").filter("false") if found is None else found
+        led = taken if led is None else led.union(taken)
+    found = pairs.select("a").distinct()
+    return found if led is None else found.join(led.withColumnRenamed("b", "a"), "a", "left_anti")
 
 
 def group_similar(names: DataFrame, threshold: float = 85) -> DataFrame:

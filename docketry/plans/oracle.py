@@ -51,8 +51,10 @@ def sql(body: str, **more: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({q})" for k, q in parts.items()) + f" {body}" if parts else body
 
 
-def recursive(text: str) -> str:
-    """The SQL with common table expressions that may name themselves."""
+def recursive(text: str, *kept: str) -> str:
+    """The SQL with common table expressions that may name themselves; those ``kept`` are computed once, not in each round."""
+    for name in kept:
+        text = text.replace(f" {name} AS (", f" {name} AS MATERIALIZED (", 1)
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 

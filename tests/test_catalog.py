@@ -11,7 +11,7 @@ from docketry import catalog
 SF = "/root/testdata/sf0.001"
 SOME = [
     "a01_top_violations", "a04_by_industry_classified", "a09_industry_benchmark", "a18_all_years", "a20_type_histogram", "a21_cross_agency", "a30_citation_pairs",
-    "f01_normalize", "i02_windows", "i04_rank_sums", "j01_violations_inspections", "p01_search", "r06_risk_scores", "r07_against_peers", "s06_conform_violations",
+    "f01_normalize", "f03_partial_ratio", "f06_weighted_ratio", "f09_group_similar", "f12_watch_list", "i02_windows", "i04_rank_sums", "i06_impact", "i07_impact_summary", "j01_violations_inspections", "p01_search", "r06_risk_scores", "r07_against_peers", "r09_company_report", "s06_conform_violations",
     "s12_deduplicate", "s25_upsert", "st5_upsert_summary", "v06_comprehensive", "w03_before_after",
 ]
 

@@ -195,3 +195,10 @@ def test_sample_is_seeded(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
     one, two, other = ([r["k"] for r in search.sample(df.repartition(p), ["k"], 40, seed).collect()] for p, seed in ((2, 1), (5, 1), (2, 2)))
     assert one == two and one != other and len(set(one)) == 40 and search.sample(df.limit(3), ["k"], 40).count() == 3
+
+
+def test_a_name_leads_though_a_later_leader_took_its_pairs(spark):
+    from docketry.operators.resolve import _leaders
+
+    pairs = spark.createDataFrame([("A", "B"), ("B", "M"), ("M", "R"), ("N", "R")], "a string, b string")
+    assert sorted(r[0] for r in _leaders(pairs).collect()) == ["A", "M", "N"]
