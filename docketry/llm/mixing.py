@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import free, n_words, stored
+from docketry.llm.common import SPACE, free, n_words, stored
 
 WEIGHTS = (5, 2, 1)
 RESULTS = ("size", "source_size", "target", "taken")
 #: Ranges of keys; a power of two.
 RANGES = 1 << 12
+#: Bits of a key, from the front of an MD5, so that SQL engines agree on it.
+KEY_BITS = 60
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -63,9 +65,10 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> D
 
 
 def _hashed(docs: DataFrame, columns: list[str], seed: int):
-    """A random number for a row, the same for rows that are equal in all columns that can be hashed."""
+    """A random number of ``KEY_BITS`` bits for a row, the same for rows that are equal in all columns that can be hashed."""
     plain = [c for c in columns if not any(k in docs.schema[c].dataType.simpleString() for k in ("map<", "variant", "interval"))]
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in plain])
+    each = [F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("-")) for c in plain]
+    return F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), *each)), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 17, ranges: int = RANGES) -> DataFrame:
@@ -79,7 +82,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     key, of = free([*own, *RESULTS], "key", "of")
     bits = ranges.bit_length() - 1
     size, hashed = n_words("text").alias("size"), _hashed(docs, own, seed).alias(key)
-    span = F.shiftright(F.col(key), 64 - bits) if bits else F.lit(0).cast("long")  # equal ranges, in the order of the keys
+    span = F.shiftright(F.col(key), KEY_BITS - bits)  # equal ranges, in the order of the keys
     narrow = docs.select("source", size, hashed)
 
     sums = stored(narrow.groupBy("source", span.alias("span")).agg(F.sum("size").alias("s")), "ranges")
@@ -133,3 +136,28 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+#: Targets by filling the smallest caps first, then one running sum of a source's documents in key order.
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE.replace("[", "[^", 1)}'))::BIGINT AS size,
+    ('0x' || substr(md5('17' || coalesce(md5(doc_id::VARCHAR), '-') || coalesce(md5(source), '-') || coalesce(md5(text), '-')), 1, {KEY_BITS // 4}))::BIGINT AS key
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+f AS (
+  SELECT *, sum(source_size) OVER () AS words, sum(weight) OVER () AS weights,
+    coalesce(sum(cap) OVER lower, 0) AS caps_before, coalesce(sum(weight) OVER lower, 0) AS weights_before
+  FROM w WINDOW lower AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, cap * (weights - weights_before) <= weight * (words - caps_before) AS is_full FROM f),
+r AS (
+  SELECT *, words - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS rest, weights - coalesce(sum(weight) FILTER (is_full) OVER (), 0) AS rest_weight FROM g),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE (rest * weight)::DOUBLE / rest_weight::DOUBLE END AS target FROM r),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target)::BIGINT // source_size) ELSE 0 END AS epochs FROM t),
+p AS (
+  SELECT d.doc_id, d.source, size, source_size, target, epochs, floor(target)::BIGINT - epochs * source_size AS part,
+    sum(size) OVER (PARTITION BY d.source ORDER BY key, d.doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, part - start)))::BIGINT AS taken, source FROM p
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op5_chat_format": chat.OP5_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op5_chat_format": chat.OP5_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}

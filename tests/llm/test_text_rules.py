@@ -90,6 +90,16 @@ def test_mix(spark, seed, ranges):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_matches_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = mixing.op9_mix_sources(spark, "/root/testdata/sf0.001").select("doc_id", "size", "source_size", "target", "taken", "source").collect()
+    want = con.sql(f"SELECT doc_id, size, source_size, target, taken, source FROM ({mixing.OP9_SQL})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_mix_keeps_few_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, "t")], "doc_id long, text string, source string")
     assert mixing.mix_sources(df).columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
