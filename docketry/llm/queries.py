@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import chat, html_blocks, langid, line_rules, minhash, mixing, mtree, pieces, quality_mil, warc
+from docketry.llm import chat, html_blocks, langid, lexical, line_rules, minhash, mixing, mtree, periodic, pieces, quality_mil, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,18 @@ def queries() -> dict:
         "op8_exact_top_k": mtree.op8_exact_top_k,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_ranked_lexical": lexical.op12_ranked_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op5_chat_format": chat.OP5_SQL, "op6_line_quality": line_rules.OP6_SQL, "op8_exact_top_k": mtree.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}
+    return {
+        "op1_warc": warc.OP1_SQL,
+        "op5_chat_format": chat.OP5_SQL,
+        "op6_line_quality": line_rules.OP6_SQL,
+        "op8_exact_top_k": mtree.OP8_SQL,
+        "op9_mix_sources": mixing.OP9_SQL,
+        "op10_minhash_near_dedup": minhash.OP10_SQL,
+        "op12_ranked_lexical": lexical.OP12_SQL,
+    }
