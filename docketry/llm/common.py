@@ -82,5 +82,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows and bytes of texts up to which a table is sent to every task.
+SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
+
+
+def sent(few: DataFrame) -> DataFrame:
+    """The rows, sent to every task of a join if they are counted to be few, else left to a shuffle."""
+    size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in few.schema if f.dataType.simpleString() == "string"), F.lit(8 * len(few.columns)))
+    rows, held = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(few) if rows <= SENT_ROWS and held <= SENT_BYTES else few
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

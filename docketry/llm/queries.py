@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import chat, html_blocks, langid, lexical, line_rules, minhash, mixing, mtree, periodic, pieces, quality_mil, warc
+from docketry.llm import chat, html_blocks, langid, lexical, line_rules, minhash, mixing, mtree, periodic, pieces, quality_mil, url_templates, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
         "op11_periodic_runs": periodic.op11_periodic_runs,
         "op12_ranked_lexical": lexical.op12_ranked_lexical,
+        "op13_url_templates": url_templates.op13_url_templates,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_mix_sources": mixing.OP9_SQL,
         "op10_minhash_near_dedup": minhash.OP10_SQL,
         "op12_ranked_lexical": lexical.OP12_SQL,
+        "op13_url_templates": url_templates.OP13_SQL,
     }
