@@ -380,7 +380,6 @@ def _best(query: str, threshold: float, limit: int, columns: str = "name, simila
     return sql(f"SELECT {columns} FROM hits WHERE similarity >= {threshold} ORDER BY similarity DESC, name LIMIT {limit}", **_like(query))
 
 
-_pairs = lambda df: R.candidate_pairs(R.distinct_names(df), 4)
 for _k, _id in (("simple", "f02"), ("partial", "f03"), ("token_sort", "f04"), ("token_set", "f05"), ("weighted", "f06")):
     over_v(f"{_id}_{_k}_ratio", lambda df, k=_k: df.select(F.col(KEY).alias("name")).distinct().withColumn("score", measure(k, "name", F.lit("RED PLATE PROMO"))), sql(f'SELECT n AS name, "{_k}" AS score FROM sm', **scored(f"SELECT DISTINCT 'RED PLATE PROMO' AS t, {KEY} AS n FROM v")))
 over_v("f04_token_keys", lambda df: df.select(KEY, token_key(KEY).alias("token_key")).distinct(), sql(f"SELECT DISTINCT {KEY}, array_to_string(list_sort(list_distinct(string_split({KEY}, ' '))), ' ') AS token_key FROM v"))

@@ -31,17 +31,42 @@ def normalized(name: Column | str) -> Column:
     return F.array_join(F.filter(F.split(F.trim(spaced), " "), lambda w: ~w.isin(*ARTICLES) & (w != "")), " ")
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of ``a``."""
+def _marks(a: str) -> dict[str, int]:
+    """For each character a bit for each place in ``a``."""
     at: dict[str, int] = {}
     for i, ch in enumerate(a):
         at[ch] = at.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
+    return at
+
+
+def shared_in_order(a: str):
+    """A function that gives the length of the longest common subsequence with ``a``, a bit for each character of it."""
+    at, full, n = _marks(a), (1 << len(a)) - 1, len(a)
+
+    def length(b: str) -> int:
+        s = full
+        for ch in b:
+            u = s & at.get(ch, 0)
+            s = (s + u | s - u) & full
+        return n - s.bit_count()
+
+    return length
+
+
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return shared_in_order(a)(b)
+
+
+def _lcs_of_starts(a: str, b: str) -> list[int]:
+    """Lengths for every beginning of ``b`` of one character or more, from one pass."""
+    at, full = _marks(a), (1 << len(a)) - 1
+    s, out = full, []
     for ch in b:
         u = s & at.get(ch, 0)
         s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+        out.append(len(a) - s.bit_count())
+    return out
 
 
 def ratio(a: str, b: str) -> float:
@@ -54,14 +79,21 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    best = max(_windows(a, b))
-    return max(best, max(_windows(b, a))) if len(a) == len(b) else best
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
 
 
-def _windows(a: str, b: str):
+def _best_window(a: str, b: str) -> float:
     n = len(a)
-    for end in range(1, len(b) + n):
-        yield ratio(a, b[max(0, end - n) : min(end, len(b))])
+    starts, ends = _lcs_of_starts(a, b[:n]), _lcs_of_starts(a[::-1], b[: -n - 1 : -1])
+    best = max(200.0 * common / (n + k + 1) for side in (starts, ends) for k, common in enumerate(side))
+    # a window moved by one shares one character more at most, so windows that can't be best are passed over
+    length, at, most = shared_in_order(a), 1, max(starts[-1], ends[-1]) if len(b) >= n else 0
+    while at < len(b) - n:
+        common = length(b[at : at + n])
+        most = max(most, common)
+        at += max(1, most - common + 1)
+    return max(best, 200.0 * most / (2 * n))
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -86,7 +118,12 @@ def similarity(a: str, b: str) -> float:
     """Weighted mean of the measures of two normalised names; 0 if one is empty."""
     if not a or not b:
         return 0.0
-    return 0.2 * ratio(a, b) + 0.2 * partial_ratio(a, b) + 0.3 * token_sort_ratio(a, b) + 0.3 * token_set_ratio(a, b)
+    return similarity_of(ratio(a, b), partial_ratio(a, b), token_sort_ratio(a, b), token_set_ratio(a, b))
+
+
+def similarity_of(simple: float, partial: float, token_sort: float, token_set: float) -> float:
+    """The weighted mean of the four measures."""
+    return 0.2 * simple + 0.2 * partial + 0.3 * token_sort + 0.3 * token_set
 
 
 MEASURES = {"simple": ratio, "partial": partial_ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "weighted": similarity}

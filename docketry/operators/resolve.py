@@ -1,27 +1,27 @@
 """Company-name resolution: scoring, searching and grouping distinct names.
 
-Scores are computed for distinct names or pairs of them only.  Pairs are made by
-splitting names into chunks and comparing chunk with chunk, so that no task holds
-all.  ``similar_pairs`` compares all names whose lengths allow the threshold and
-scores those whose characters do; both bounds hold for every pair, so none is lost.
-Its work grows with the square of the distinct names.
+Scores are computed for distinct names or pairs of them only; ``similar`` has the join that finds
+all pairs over a threshold, ``graph`` the components that groups are made in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketry.functions import scalars as S
-from docketry.functions.names import measure, normalized, ratio, similarity, token_sort_ratio
+from docketry.functions.names import measure, normalized, similarity
 from docketry.functions.scalars import filled
+from docketry.operators.graph import components
+from docketry.operators.similar import similar_pairs
+from docketry.sources.store import written
 
 KEY = "company_name_normalized"
-CHUNK = 256
+#: Pairs of a component that one task decides; a larger one is decided by rounds of joins.
+COMPONENT = 500_000
 
 
 def distinct_names(df: DataFrame, column: str = "company_name") -> DataFrame:
@@ -54,89 +54,6 @@ def match_rows(df: DataFrame, query: str, threshold: float = 75, column: str = "
     return df.join(hits, F.col(column) == F.col(found)).drop(found)
 
 
-def _blocked_pairs(names: DataFrame, keys) -> DataFrame:
-    """Distinct pairs (a < b) of names that share a block key.
-
-    Blocks are cut into chunks of about ``CHUNK`` names by hash; each pair of chunks
-    of a block is a join key of its own.
-    """
-    keyed = names.select("norm", F.explode(keys).alias("block")).distinct()
-    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = keyed.join(sizes, "block").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int"))
-    keyed = keyed.withColumn("part", F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = keyed.select(F.col("norm").alias("a"), "block", F.col("part").alias("pa"), F.explode(every).alias("pb"))
-    right = keyed.select(F.col("norm").alias("b"), "block", F.col("part").alias("pb"), F.explode(every).alias("pa"))
-    return left.join(right, ["block", "pa", "pb"]).filter("a < b").select("a", "b").distinct()
-
-
-def candidate_pairs(names: DataFrame, prefix: int = 4) -> DataFrame:
-    """Distinct pairs (a < b) of normalised names that share a sorted-token key's or a token's beginning, or sound alike."""
-    tokens = F.filter(F.split("norm", " "), lambda t: F.length(t) >= prefix)
-    starts = F.transform(tokens, lambda t: F.concat(F.lit("t"), F.substring(t, 1, prefix)))
-    whole = F.concat(F.lit("w"), F.substring(F.regexp_replace("norm", " ", ""), 1, prefix))
-    sound = F.concat(F.lit("s"), F.soundex(F.regexp_replace("norm", " ", "")))
-    return _blocked_pairs(names.select("norm").distinct(), F.array_distinct(F.concat(starts, F.array(whole, sound))))
-
-
-def _most(shared: Column | np.ndarray, total: Column | np.ndarray):
-    """No similarity is larger: the simple and sorted ratios count shared characters, the other measures reach 100."""
-    return 100.0 * shared / total + 50
-
-
-def _counts(names: Sequence[str]) -> np.ndarray:
-    """How often each name has the characters of each of 64 classes."""
-    out = np.zeros((len(names), 64), np.int16)
-    for row, name in zip(out, names, strict=True):
-        for ch in name:
-            row[ord(ch) % 64] += 1
-    return out
-
-
-def _scored(left: Sequence[str], right: Sequence[str], threshold: float) -> list[tuple[str, str, float]]:
-    """``a, b, similarity`` (a < b) of the pairs of two chunks at or over the threshold."""
-    x, y = _counts(left), _counts(right)
-    total = x.sum(axis=1)[:, None] + y.sum(axis=1)[None]
-    out = []
-    least = threshold - 1e-6
-    for i, one in enumerate(x):
-        shared = np.minimum(one, y).sum(axis=1)
-        for j in np.flatnonzero(_most(shared, total[i]) >= least):
-            a, b = sorted((left[i], right[j]))
-            if a == b or 0.2 * ratio(a, b) + 0.3 * token_sort_ratio(a, b) + 50 < least:
-                continue
-            score = round(similarity(a, b), 6)
-            if score >= threshold:
-                out.append((a, b, score))
-    return out
-
-
-def similar_pairs(names: DataFrame, threshold: float = 85) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs of normalised names at or over the threshold."""
-    sized = names.select("norm").distinct().withColumn("n", F.length("norm"))
-    sizes = sized.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int")
-    chunks = _kept(sized.join(sizes, "n").groupBy("n", part.alias("part")).agg(F.array_sort(F.collect_list("norm")).alias("names")))
-    left = chunks.select(F.col("n").alias("na"), F.col("part").alias("pa"), F.col("names").alias("left"))
-    fits = (F.col("na") <= F.col("n")) & (_most(F.col("na"), F.col("na") + F.col("n")) >= threshold - 1e-6)
-    left = left.join(F.broadcast(sizes), fits).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = left.join(chunks, ["n", "part"]).filter("na < n or pa <= part")
-    pair = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("similarity", T.DoubleType())])
-
-    # not by Arrow: its batches would hold thousands of chunks
-    @F.udf(T.ArrayType(pair), useArrow=False)
-    def run(x, y):
-        return _scored(x, y, threshold)
-
-    # a chunk compared with itself finds each pair twice
-    return both.select(F.explode(F.array_distinct(run("left", "names"))).alias("p")).select("p.*")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """The same rows, computed once: checkpointed where the session has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
-
-
 def _leaders(pairs: DataFrame) -> DataFrame:
     """``a``: the names that lead, taken in order, so that no leader is like an earlier one.
 
@@ -148,24 +65,44 @@ def _leaders(pairs: DataFrame) -> DataFrame:
     """
     left, led = pairs.select("a", "b"), None
     while not left.isEmpty():
-        heads = _kept(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
-        taken = _kept(left.join(heads, "a").select("b").distinct())
+        heads = written(left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "heads")
+        taken = written(left.join(heads, "a").select("b").distinct(), "taken")
         left = left.join(heads, "a", "left_anti").join(taken.withColumnRenamed("b", "a"), "a", "left_anti").join(taken, "b", "left_anti")
-        left = _kept(left.select("a", "b"))
+        left = written(left.select("a", "b"), "left")
         led = taken if led is None else led.union(taken)
     found = pairs.select("a").distinct()
     return found if led is None else found.join(led.withColumnRenamed("b", "a"), "a", "left_anti")
 
 
+def _members(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one component: names in order, each unused one leads a group of later unused names like it."""
+    used, out = set(), []
+    for a, like in pdf.sort_values(["a", "b"]).groupby("a", sort=True):
+        if a in used:
+            continue
+        for b, score in zip(like["b"], like["similarity"], strict=True):
+            if b not in used:
+                used.add(b)
+                out.append((b, a, score))
+    return pd.DataFrame(out, columns=["norm", "leader", "similarity"])
+
+
 def group_similar(names: DataFrame, threshold: float = 85) -> DataFrame:
     """``norm, leader, similarity``: groups of two names or more.
 
     Names in order, each unused one leads a group of later unused names that are
-    like it: a member belongs to the first leader that it is like.
+    like it: a member belongs to the first leader that it is like.  That is decided inside a
+    component of the pairs, in one task; components of more than ``COMPONENT`` pairs are decided by rounds of joins.
     """
-    pairs = _kept(similar_pairs(names, threshold))
-    led = pairs.join(_leaders(pairs), "a")
-    members = led.groupBy(F.col("b").alias("norm")).agg(F.min("a").alias("leader"), F.min_by("similarity", "a").alias("similarity"))
+    pairs = written(similar_pairs(names, threshold), "pairs")
+    each = written(pairs.join(components(pairs).withColumnRenamed("id", "a"), "a"), "components")
+    sizes = written(each.groupBy("component").agg(F.count(F.lit(1)).alias("pairs")), "sizes")
+    small = each.join(sizes.filter(F.col("pairs") <= COMPONENT), "component", "left_semi")
+    members = written(small.groupBy("component").applyInPandas(_members, "norm string, leader string, similarity double"), "members")
+    large = each.join(sizes.filter(F.col("pairs") > COMPONENT), "component", "left_semi").select("a", "b", "similarity")
+    if not large.isEmpty():
+        led = large.join(_leaders(large), "a")
+        members = members.union(led.groupBy(F.col("b").alias("norm")).agg(F.min("a").alias("leader"), F.min_by("similarity", "a").alias("similarity")))
     heads = members.select(F.col("leader").alias("norm"), "leader").distinct().withColumn("similarity", F.lit(100.0))
     return members.union(heads)
 

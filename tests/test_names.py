@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketry import catalog
 from docketry.functions import names as N
 from docketry.operators import resolve as R
-from docketry.operators import search
+from docketry.operators import graph, search, similar
 
 
 def lcs(a, b):
@@ -45,6 +45,68 @@ def test_measures(a, b):
         assert N.similarity(a, a) == pytest.approx(100)
 
 
+def slow_partial(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 100.0 if not b else 0.0
+    windows = lambda x, y: [N.ratio(x, y[max(0, end - len(x)) : min(end, len(y))]) for end in range(1, len(y) + len(x))]
+    return max(windows(a, b) + (windows(b, a) if len(a) == len(b) else []))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("AB C", max_size=9), st.text("AB C", max_size=25))
+def test_windows_that_are_passed_over_are_never_best(a, b):
+    assert N.partial_ratio(a, b) == slow_partial(a, b)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ABC ", min_size=1, max_size=14), st.text("ABC ", min_size=1, max_size=14), st.sampled_from([60, 75, 85, 90]))
+def test_no_pair_over_the_threshold_is_passed_over(a, b, threshold):
+    a, b = " ".join(a.split()), " ".join(b.split())
+    if a and b and a != b:
+        want = round(N.similarity(a, b), 6)
+        got = similar.compared([a], [b], threshold)[0]
+        assert got == ([(min(a, b), max(a, b), want)] if want >= threshold else [])
+
+
+def test_components_and_large_ones_by_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(f"N{rng.randrange(60):02}", f"N{rng.randrange(60):02}") for _ in range(45)] + [(f"C{k:03}", f"C{k + 1:03}") for k in range(70)] + [(None, "N01")]
+    at = {x: x for e in edges[:-1] for x in e}
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in edges[:-1]:
+        x, y = sorted((root(a), root(b)))
+        at[y] = x
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect())
+    assert got == {x: root(x) for x in at}
+    names = ["ACME TOOL " + x for x in ("A", "B", "AB", "ABC", "ABCD", "ABCDE", "ABCDEF", "BCDEF")] + ["ZED", "ZEDD"]
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    want = {(m, g[0]) for g in R.brute_groups(names, 85) for m in g}
+    for most in (500_000, 3):
+        monkeypatch.setattr(R, "COMPONENT", most)
+        assert {(r["norm"], r["leader"]) for r in R.group_similar(df, 85).collect()} == want
+
+
+def test_few_pairs_are_scored(spark):
+    rng = random.Random(11)
+    parts = ["".join(rng.choices("EEEAAIIOONNRRTTSSLLCUDPMHGBFYWKVXZJQ", k=rng.randrange(4, 10))) for _ in range(900)]
+    base = [" ".join(rng.choices(parts, k=rng.randrange(2, 5))) for _ in range(1500)]
+    odd = [rng.choice("QXZ") + b[1:] for b in base[:60]] + [" ".join(reversed(b.split(" "))) for b in base[60:120]] + [b[:3] + b[4:] for b in base[120:180]]
+    names = sorted(set(base + odd))
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    got = {tuple(r) for r in similar.similar_pairs(df, 85).select("a", "b").collect()}
+    want = {(a, b) for a, b in ((min(x, y), max(x, y)) for x, y in zip(base, odd, strict=False) if x != y) if N.similarity(a, b) >= 85}
+    assert want <= got and len(want) > 50
+    counts = similar.join_counts(df, 85).first()
+    assert counts["found"] == len(got) and counts["scored"] < 0.01 * len(names) * (len(names) - 1) / 2
+
+
 def test_hand_values():
     assert N.ratio("ABC", "ABD") == pytest.approx(200 * 2 / 6)
     assert N.partial_ratio("RED", "BIG RED BOX") == 100
@@ -77,14 +139,8 @@ def test_best_match(spark):
     assert R.best_match(names, "XYZ Company", 80).count() == 0
 
 
-def test_blocks_larger_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(R, "CHUNK", 4)
-    names = spark.range(20).select(F.concat(F.lit("SAME"), F.col("id")).alias("norm"))
-    assert R.candidate_pairs(names).count() == 190
-
-
 def test_pairs_without_a_common_beginning(spark, monkeypatch):
-    monkeypatch.setattr(R, "CHUNK", 3)
+    monkeypatch.setattr(similar, "CHUNK", 3)
     rng = random.Random(7)
     names = ["KENTUCKY", "CENTUCKY", "JACKSON", "YACKSON", "GENERALMOTORS", "JENERALMOTORS", "ACE TOY BOX", "TOY BOX ACE", "É", "X"]
     names += ["".join(rng.choices("ABCD ", k=rng.randrange(4, 14))) for _ in range(60)]
