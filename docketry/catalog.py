@@ -21,7 +21,7 @@ from docketry.operators import resolve as R
 from docketry.operators import risk, search, summaries
 from docketry.plans import company
 from docketry.plans.oracle import MEAN, STATS, TOTAL, VALID, C, impacts, norm, recursive, scored, sector_name, sector_words, sql, standard_text
-from docketry.sources import conform, fixtures, schemas, store
+from docketry.sources import conform, fixtures, schemas, store, swap
 from docketry.streaming import incremental as ST
 
 KEY = "company_name_normalized"
@@ -179,6 +179,16 @@ def _(s, d):
     return n_rows(s.read.parquet(path), "agency")
 
 
+@add("s14_emptied_slice", sql("SELECT agency, count(*) AS row_count FROM v WHERE agency <> 'FDA' AND (agency <> 'EPA' OR year >= 2000) GROUP BY agency"))
+def _(s, d):
+    path, df = store.scratch(s, "slices"), v(s, d)
+    store.save(df, path, "agency")
+    swap.reload_slice(df.filter("agency = 'MSHA' AND year < 0"), path, "agency", "MSHA", force=False)
+    swap.reload_slice(df.filter("agency = 'EPA' AND year >= 2000"), path, "agency", "EPA")
+    swap.reload_slice(df.filter("agency = 'FDA' AND year < 0"), path, "agency", "FDA")
+    return n_rows(s.read.parquet(path), "agency")
+
+
 @add("s15_load_selected", sql("SELECT 'violations' AS table_name, count(*) AS row_count, true AS has_rows FROM v UNION ALL SELECT 'accidents', count(*), true FROM a"))
 def _(s, d):
     path = store.scratch(s, "all")
@@ -236,6 +246,15 @@ def _(s, d):
     return store.upserted(old, new, ["activity_nr"], "version").select("activity_nr", "inspection_type", "year")
 
 
+@add("s25_upsert_touched", sql("SELECT activity_nr, CASE WHEN year >= 2000 THEN 'changed' ELSE inspection_type END AS inspection_type, year::INTEGER AS year FROM i"))
+def _(s, d):
+    path, old = store.scratch(s, "upserts"), i(s, d).withColumn("version", F.lit(1))
+    store.upsert_table(old, path, ["activity_nr"], "version", 16)
+    new = store.newer_than(old, "year", 1999).withColumn("inspection_type", F.lit("changed")).withColumn("version", F.lit(2))
+    store.upsert_table(new, path, ["activity_nr"], "version", 16)
+    return swap.merged_table(s, path).select("activity_nr", "inspection_type", "year")
+
+
 @add("s26_columnar_by_year", sql(f"SELECT count(*) AS row_count, {TOTAL} AS total_penalties FROM v WHERE year = 1998"))
 def _(s, d):
     path = store.scratch(s, "by-year")
@@ -505,6 +524,18 @@ def _(s, d):
     return ST.windowed_summary(stream, store.scratch(s, "windows"), store.scratch(s, "windows-state"), "ts", ["event_type"], "value")
 
 
+@add("st4_event_time", _SQL["st4_running_summary"])
+def _(s, d):
+    # one write after the other, as a stream takes files by their time and rows behind the watermark are late
+    path, e = store.scratch(s, "events"), s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4):
+        place = F.greatest(F.lit(0), F.least(F.lit(3), F.floor(4 * (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))))
+        e.filter(F.coalesce(place, F.lit(0)) == k).coalesce(2).write.mode("append").parquet(path)
+    stream = ST.files(s, path, e.schema, per_batch=1)
+    return ST.event_time_summary(stream, store.scratch(s, "event-time"), store.scratch(s, "event-time-state"), "ts", ["event_type"], "value")
+
+
 @add("st5_upsert_summary", "SELECT user_id, event_type, count(*) AS violation_count, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")
 def _(s, d):
     path, e = _event_files(s, d)
@@ -567,6 +598,13 @@ def _(s, d):
     return found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("input_rows"))
 
 
+@add("st7_rates", "SELECT count(*) AS input_rows, true AS every_batch_has_a_rate FROM events")
+def _(s, d):
+    path, e = _event_files(s, d)
+    found = ST.load_progress(ST.files(s, path, e.schema, per_batch=1), store.scratch(s, "rates"), store.scratch(s, "rates-state"))
+    return found.agg(F.sum("rows").alias("input_rows"), F.every(F.coalesce(F.col("rows_per_second") > 0, F.lit(False))).alias("every_batch_has_a_rate"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.scalars import free
+from docketry.sources import swap
 
 TABLES = ("inspections", "violations", "accidents")
 #: Temporary folders of sessions that run in one process.
@@ -102,3 +103,8 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str], version: str) -> Da
     w = Window.partitionBy(*key).orderBy(F.desc(version), F.desc(fresh))
     both = old.withColumn(fresh, F.lit(0)).unionByName(new.withColumn(fresh, F.lit(1)), allowMissingColumns=True)
     return both.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place, fresh)
+
+
+def upsert_table(new: DataFrame, path: str, key: list[str], version: str, buckets: int = swap.BUCKETS) -> list[int]:
+    """Brings the latest version of each key of ``new`` into a stored table; only the buckets of its keys are rewritten, whose numbers are given back."""
+    return swap.merge_touched(new, path, key, lambda old, fresh: upserted(fresh.limit(0) if old is None else old, fresh, key, version), buckets)

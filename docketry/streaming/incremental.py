@@ -7,13 +7,17 @@ rows it drops.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from docketry.functions import scalars as S
-from docketry.sources.store import has_rows, scratch
+from docketry.sources import swap
+from docketry.sources.store import has_rows, scratch, written
 
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_batch: int | None = None) -> DataFrame:
@@ -49,39 +53,68 @@ def enriched(stream: DataFrame, static: DataFrame, key: str) -> DataFrame:
 
 
 def running_summary(stream: DataFrame, time: str, keys: list[str], value: str, every: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Counts and sums by window; rows later than ``delay`` behind the newest are dropped.
+    """Counts and sums by window; rows later than ``delay`` behind the newest are dropped, as is the state of windows that end before.
 
-    In append mode the windows that end within ``delay`` of the newest row aren't given
-    out; ``windowed_summary`` gives all.
+    In append mode a window is given out once, when the watermark has passed it.  ``event_time_summary`` also gives those that are still open.
     """
     grouped = stream.withWatermark(time, delay).groupBy(F.window(time, every).alias("w"), *keys)
     out = grouped.agg(F.count(F.lit(1)).alias("violation_count"), F.sum(S.cents(value)).alias("cents"))
-    return out.select(F.col("w.start").alias("window_start"), *keys, "violation_count", (F.col("cents").cast("double") / 100).alias("total"))
+    return out.select(F.col("w.start").alias("window_start"), *keys, "violation_count", "cents")
 
 
-def upsert_summary(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str):
-    """Keeps counts and sums by ``keys``; each batch reads, merges and writes a new version.
+def open_windows(spark: SparkSession, checkpoint: str, keys: list[str]) -> DataFrame:
+    """The windows of a stopped ``running_summary`` that aren't given out yet, read from its state, which stays as it is."""
+    state = spark.read.format("statestore").load(checkpoint)
+    # the state's value holds the count and the sum, in the order of the aggregation
+    count, cents = (F.col(f"value.`{n}`") for n in state.schema["value"].dataType.names[:2])
+    names = [n for n in state.schema["key"].dataType.names]
+    window, rest = F.col(f"key.`{names[0]}`"), [F.col(f"key.`{n}`").alias(k) for n, k in zip(names[1:], keys, strict=True)]
+    return state.select(window["start"].alias("window_start"), *rest, count.alias("violation_count"), cents.alias("cents"))
 
-    A batch writes ``path/v=<batch + 1>`` from ``path/v=<batch>``, so running a batch again
-    gives the same version and readers never see a half-written one.  The newest version is given
-    back, also where a resumed stream finds nothing new; versions before it may be removed.
+
+def late_rows(query) -> int:
+    """Rows that the watermark dropped in the batches that Spark remembers."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def event_time_summary(stream: DataFrame, path: str, checkpoint: str, time: str, keys: list[str], value: str, every: str = "1 day", delay: str = "2 days") -> DataFrame:
+    """Counts and sums of every window so far: those that the watermark closed, from the sink, and the open ones, from the state.
+
+    Reading the state is the final flush; the stream can be resumed afterwards, as its windows stay open.  Rows later than
+    ``delay`` are dropped; rows without a time are in no window.
     """
     spark = stream.sparkSession
+    summed = running_summary(stream.filter(F.col(time).isNotNull()), time, keys, value, every, delay)
+    run_to_parquet(summed, path, checkpoint)
+    closed = spark.read.schema(summed.schema).parquet(path)
+    # both may hold a window that the last batch closed
+    still = open_windows(spark, checkpoint, keys).join(closed, ["window_start", *keys], "left_anti") if keys else open_windows(spark, checkpoint, keys).join(closed, "window_start", "left_anti")
+    return closed.union(still).select("window_start", *keys, "violation_count", (F.col("cents").cast("double") / 100).alias("total"))
+
+
+def upsert_summary(stream: DataFrame, path: str, checkpoint: str, keys: list[str], value: str, buckets: int = swap.BUCKETS):
+    """Keeps counts and sums by ``keys`` in a table bucketed by them; a batch rewrites the buckets of its keys only.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
+    New buckets are staged and change places with the old ones, and each remembers the last batch that it took, so a batch that is
+    run again, whole or in part, is counted once.  The table is given back with the query, also where a resumed
+    stream finds nothing new.
+    """
+    spark = stream.sparkSession
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        both = new if old is None else old.unionByName(new)
+        return both.groupBy(*keys).agg(F.sum("violation_count").alias("violation_count"), F.sum("cents").alias("cents"))
+
+    def put(batch: DataFrame, batch_id: int) -> None:
         now = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("violation_count"), F.sum(S.cents(value)).alias("cents"))
-        if batch_id > 0:
-            now = now.unionByName(s.read.parquet(f"{path}/v={batch_id}"))
-            now = now.groupBy(*keys).agg(F.sum("violation_count").alias("violation_count"), F.sum("cents").alias("cents"))
-        now.write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        now = written(now, "batch")
+        swap.merge_touched(now, path, keys, merge, buckets, batch_id)
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if not has_rows(spark, path):
         return spark.createDataFrame([], stream.select(*keys).schema.add("violation_count", "long").add("cents", "long")), query
-    newest = spark.read.parquet(path).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{path}/v={newest}"), query
+    return swap.merged_table(spark, path), query
 
 
 def windowed_summary(stream: DataFrame, path: str, checkpoint: str, time: str, keys: list[str], value: str, every: str = "1 day") -> DataFrame:
@@ -103,13 +136,57 @@ def progress(query) -> list[dict]:
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress]
 
 
-def load_progress(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Appends all that is there to Parquet; ``batch, rows`` of every batch that the folder holds, however many."""
+_LOGGED = "batch long, rows long, rows_per_second double, at string"
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    if not has_rows(stream.sparkSession, path):
-        return stream.sparkSession.createDataFrame([], "batch int, rows long")
-    return stream.sparkSession.read.parquet(path).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+class ProgressLog(StreamingQueryListener):
+    """Writes rows and rate of every batch of one query, known by its name, to a table; ``ended`` is set when the query has."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
+        self.run, self.ended, self.failed = None, threading.Event(), None
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name != self.name or not p.numInputRows:
+            return
+        try:
+            row = [(p.batchId, p.numInputRows, p.processedRowsPerSecond, p.timestamp)]
+            self.spark.createDataFrame(row, _LOGGED).coalesce(1).write.mode("append").parquet(self.path)
+        except Exception as e:  # a listener's errors are lost unless they are kept
+            self.failed = e
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self.ended.set()
+
+
+def load_progress(stream: DataFrame, path: str, checkpoint: str, log: str | None = None, patience: float = 120) -> DataFrame:
+    """Appends all that is there to Parquet; ``batch, rows, rows_per_second`` of every batch that ``log`` holds, however many.
+
+    A listener writes them as batches end, so the log goes on where a stream is resumed and doesn't depend on what Spark remembers; a batch that
+    was run again counts once, as last told.
+    """
+    spark, log = stream.sparkSession, log or f"{path}-progress"
+    listener = ProgressLog(spark, log, f"load-{uuid.uuid4().hex}")
+    spark.streams.addListener(listener)
+    try:
+        writer = stream.writeStream.queryName(listener.name).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        if not listener.ended.wait(patience):
+            raise TimeoutError("the listener wasn't told of the query's end")
+    finally:
+        spark.streams.removeListener(listener)
+    if listener.failed is not None:
+        raise listener.failed
+    if not has_rows(spark, log):
+        return spark.createDataFrame([], "batch long, rows long, rows_per_second double")
+    last = F.max_by(F.struct("rows", "rows_per_second"), "at").alias("p")
+    return spark.read.schema(_LOGGED).parquet(log).groupBy("batch").agg(last).select("batch", "p.*")
