@@ -7,8 +7,9 @@ lanes are counted with bit counts, corrected for chance collisions, and pairs
 whose estimate is ``MARGIN`` under the threshold at least are confirmed on the
 full sets.
 
-Equal sets are one class, represented by its least id, so copies cost nothing
-after that.  Links are looked for in two steps.
+Equal sets are one class, so copies cost nothing after that.  Classes have numbers of their own, which say nothing
+of ids: an id with several texts lies in several classes and links them.  The least id of all rows
+of a component's classes names it in the end.  Links between classes are looked for in two steps.
 
 1. In each band bucket every class is paired with two members: that with the fullest
    buckets, and one drawn by hash (another in each bucket); so pairs grow with the rows,
@@ -19,8 +20,8 @@ after that.  Links are looked for in two steps.
    members meet in cells of ``CHUNK`` by ``CHUNK``.  Cells first get signatures alone and
    name the classes whose estimate reaches the threshold less ``MARGIN``; only those
    classes' full sets are then sent to the cell, which returns the links that join
-   components.  The work is strays times members, which is linear in a group of copies
-   where the leaders join most of it.
+   components.  Cells of long texts hold fewer rows, so that a task's sets are bounded.  The work is strays times
+   members, which is linear in a group of copies where the leaders join most of it.
 
 Buckets that overlap are put together first, so that a pair which shares many of them is
 compared once; clusters of more than ``CLUSTER`` classes are taken bucket by bucket.
@@ -31,9 +32,10 @@ A pair at the threshold itself shares no bucket with probability (1 - 0.75^5)^40
 2e-5, and its estimate is more than ``MARGIN`` low (four standard deviations) about as
 seldom; more alike pairs are found more surely.
 
-Nulls and texts without words have empty sets, linked with nothing.  A row with a null id
+Nulls and texts without words have empty sets, linked with nothing but their ids' other texts.  A row with a null id
 takes its class's component, null if no row of the class has an id, and is never
-kept; it never names a component.  Repeated rows fall in one class.  An empty table gives an
+kept; it never names a component.  Repeated rows fall in one class; rows of one id with several texts are one
+document of a component, whichever texts are alike, and come with that component each.  An empty table gives an
 empty result.  Long texts are used whole.  Other columns are ignored, whatever their names.
 """
 
@@ -59,11 +61,14 @@ ENOUGH = THRESHOLD / 100 - MARGIN
 CLUSTER = 20_000
 #: Strays of a group that are compared in one task, with as many members.
 CHUNK = 512
+#: Shingles of the strays, or of the members, that are compared in one task, about; a longer set is alone.
+CHUNK_SHINGLES = 1 << 21
 #: Ids of classes and of groups are sent to every task up to this number, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 64 // BITS
 _BLOCK = 1 << 19
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: Column | str) -> Column:
@@ -79,12 +84,37 @@ def shingles(text: Column | str) -> Column:
     return let(words(F.translate(text, _UPPER, _LOWER)), of)
 
 
+def _prints(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set of hashes; the sets begin at ``at``, none is empty."""
+    mixed = [(h ^ (h >> c)) * (_MIX + np.uint64(2 * i)) for i, c in enumerate((np.uint64(29), np.uint64(31)))]
+    return [np.add.reduceat(x ^ (x >> np.uint64(32)), at) for x in mixed]
+
+
+def _same_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``rep, sh`` of the rows whose set is that of the class that they were joined with."""
+    for batch in batches:
+        col = batch.column("sh")
+        offsets = col.offsets.to_numpy().astype(np.int64)
+        flat, at = col.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]], offsets - offsets[0]
+        n = np.diff(at)
+        same = n == batch.column("n_shingles").to_numpy()
+        rows = np.flatnonzero(n > 0)
+        lo = 0
+        while lo < len(rows):
+            hi = max(lo + 1, int(np.searchsorted(at[rows + 1], at[rows[lo]] + _BLOCK, "right")))
+            part = rows[lo:hi]
+            for name, found in zip(("p1", "p2"), _prints(flat[at[part[0]] : at[part[-1] + 1]], at[part] - at[part[0]]), strict=True):
+                same[part] &= batch.column(name).to_numpy().view(np.uint64)[part] == found
+            lo = hi
+        yield batch.select(["rep", "sh"]).filter(pa.array(same & (n > 0)))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(11)
     k = BANDS * ROWS
     factor = rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 63, k, np.uint64)
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    mix = _MIX
     lanes = np.arange(_LANES, dtype=np.uint64) * np.uint64(BITS)
     for batch in batches:
         col = batch.column("sh")
@@ -101,9 +131,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = rows[lo:hi]
             h = flat[offsets[part[0]] : offsets[part[-1] + 1]]
             at = offsets[part] - offsets[part[0]]
-            for i, c in enumerate((np.uint64(29), np.uint64(31))):
-                x = (h ^ (h >> c)) * (mix + np.uint64(2 * i))
-                prints[i, part] = np.add.reduceat(x ^ (x >> np.uint64(32)), at)
+            prints[:, part] = _prints(h, at)
             for i in range(k):
                 minima[i, part] = np.minimum.reduceat((((h ^ shift[i]) * factor[i]) >> np.uint64(32)).astype(np.uint32), at)
             lo = hi
@@ -237,19 +265,20 @@ def _sent(few: DataFrame) -> DataFrame:
 def _stray_links(shared: DataFrame, first: DataFrame, signed: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
     """Links (a, b) between classes that share a bucket and lie in different components of ``found``."""
     cluster = components(first).withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster")
-    every = signed.select("rep").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    every = cut(every.select("rep", "cluster", F.coalesce("component", "rep").alias("comp")))
+    every = signed.select("rep", "n_shingles").join(cluster, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    every = cut(every.select("rep", "n_shingles", "cluster", F.coalesce("component", "rep").alias("comp")))
     mixed = every.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster", "n")
     every = every.join(_sent(cut(mixed)), "cluster")
-    small = every.filter(F.col("n") <= CLUSTER).select(F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "rep", "comp")
-    large = every.filter(F.col("n") > CLUSTER).select("rep", "comp").join(shared.select("rep", F.col("band").alias("key")), "rep")
-    rows = cut(small.union(large.select(F.lit(True).alias("by_band"), "key", "rep", "comp")))
+    small = every.filter(F.col("n") <= CLUSTER).select(F.lit(False).alias("by_band"), F.col("cluster").alias("key"), "rep", "comp", "n_shingles")
+    large = every.filter(F.col("n") > CLUSTER).select("rep", "comp", "n_shingles").join(shared.select("rep", F.col("band").alias("key")), "rep")
+    rows = cut(small.union(large.select(F.lit(True).alias("by_band"), "key", "rep", "comp", "n_shingles")))
     group = ["by_band", "key"]
-    each = rows.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("c"))
-    groups = each.groupBy(*group).agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("n > top")
+    each = rows.groupBy(*group, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("s"))
+    main = F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp"))
+    groups = each.groupBy(*group).agg(F.sum("c").alias("n"), F.sum("s").alias("size"), main.alias("m")).select(*group, "n", "size", F.col("m.c").alias("top"), F.col("m.s").alias("top_size"), F.col("m.comp").alias("main")).filter("n > top")
     rows = rows.join(_sent(cut(groups)), group)
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    strays, members = chunks(F.col("n") - F.col("top")), chunks(F.col("n"))
+    chunks = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
+    strays, members = chunks(F.col("n") - F.col("top"), F.col("size") - F.col("top_size")), chunks(F.col("n"), F.col("size"))
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     several = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.filter("comp <> main").select(*group, mine(strays).alias("i"), several(members).alias("j"), F.lit(True).alias("stray"), "rep", "comp")
@@ -268,16 +297,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(hashed, "sets")
     key = ["n_shingles", "p1", "p2"]
     # equal sets have equal signatures, so any row's will do
-    classes = sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    reps = classes.filter(F.col("rep").isNotNull()).select("rep", "sig", "bands")
+    classes = sets.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.filter(F.col("least").isNotNull())
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(banded.join(buckets, "band"))
     used = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    signed = cut(reps.join(used, "rep").select("rep", "weight", "sig", "bands"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sent(signed.select("rep")), "rep", "left_semi")
-    full = stored(texts.select("rep", shingles("text").alias("sh")).dropDuplicates(["rep"]), "full")
+    signed = cut(reps.join(used, "rep").select("rep", "weight", "sig", "bands", "least", *key))
+    # a class's least id may have other texts too; those are sorted out by their sums
+    texts = docs.select("doc_id", "text").join(_sent(signed.select("rep", "least", *key)), F.col("doc_id") == F.col("least"))
+    texts = texts.select("rep", *key, shingles("text").alias("sh")).mapInArrow(_same_sets, "rep long, sh array<long>")
+    full = stored(texts.dropDuplicates(["rep"]), "full")
     sig_a, sig_b = (signed.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
@@ -292,12 +323,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = tested.join(sig_a, "a").join(sig_b, "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= ENOUGH).select("a", "b")
     found = cut(components(_confirmed(likely, full)))
     more = cut(_stray_links(shared, first, signed, found, full))
-    if not more.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    classed = classes.select(*key, "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    # an id with several texts links their classes
+    rows = stored(sets.filter("n_shingles > 0").select("doc_id", *key).join(classes.select(*key, "rep", "least"), key), "rows")
+    several = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
+    same_id = cut(rows.join(several, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct())
+    if not (more.isEmpty() and same_id.isEmpty()):
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more).union(same_id))
+    linked = found.join(classes.select(F.col("rep").alias("id"), "least"), "id")
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(found.join(named, "component").select(F.col("id").alias("rep"), "component_id"))
+    some = rows.join(named, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
     # documents without words are many rows of no class
-    some = sets.filter("n_shingles > 0").select("doc_id", *key).join(classed, key).select("doc_id", "n_shingles", "component_id")
-    none = sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    none = sets.filter("n_shingles = 0").select("doc_id", "n_shingles")
+    again = some.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    none = none.join(again, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return some.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
