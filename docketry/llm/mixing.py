@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 RESULTS = ("size", "source_size", "target", "taken")
 #: Ranges of keys; a power of two.
 RANGES = 1 << 12
+#: Products of sizes and weights may pass a long.
+_WIDE = "decimal(38,0)"
 #: Bits of a key, from the front of an MD5, so that SQL engines agree on it.
 KEY_BITS = 60
 
@@ -44,11 +46,11 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_epochs: int) -> D
     every = Window.partitionBy()
     s = (
         sources.withColumn("weight", F.get(weight, ((F.row_number().over(order) - 1) % len(weights)).cast("int")))
-        .withColumn("cap", F.col("source_size") * max_epochs)
-        .withColumn("all_size", F.sum("source_size").over(every))
+        .withColumn("cap", F.col("source_size").cast(_WIDE) * max_epochs)
+        .withColumn("all_size", F.sum(F.col("source_size").cast(_WIDE)).over(every))
         .withColumn("all_weight", F.sum("weight").over(every))
     )
-    filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    filled = Window.orderBy(F.col("cap").cast("double") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({
         "rest": F.col("all_size") - F.coalesce(F.sum("cap").over(filled), F.lit(0)),
         "rest_weight": F.col("all_weight") - F.coalesce(F.sum("weight").over(filled), F.lit(0)),
@@ -123,10 +125,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     if found.filter(x["cut_rows"] > 1).isEmpty():
         return out
     # equal rows at a cut: numbered within their partitions, which follow each other
-    here, place, sum_, start = free([*own, key, of_, cut_, *RESULTS], "here", "place", "sum", "start")
+    here, place, sum_, start, its_of, its_here = free([*own, key, of_, cut_, *RESULTS], "here", "place", "sum", "start", "its_of", "its_here")
     ties = stored(joined.filter(shared).withColumn(here, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id()), "ties")
-    starts = ties.groupBy(of_, here).agg(F.sum("size").alias(sum_)).withColumn(start, before(sum_, of_, order=here)).select(F.col(of_).alias("_of"), F.col(here).alias("_here"), start)
-    ties = ties.withColumn(place, before("size", of_, here, order=place)).join(starts, F.col(of_).eqNullSafe(F.col("_of")) & (F.col(here) == F.col("_here")))
+    starts = ties.groupBy(of_, here).agg(F.sum("size").alias(sum_)).withColumn(start, before(sum_, of_, order=here)).select(F.col(of_).alias(its_of), F.col(here).alias(its_here), start)
+    ties = ties.withColumn(place, before("size", of_, here, order=place)).join(starts, F.col(of_).eqNullSafe(F.col(its_of)) & (F.col(here) == F.col(its_here)))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), x["cut_rest"] - F.col(start) - F.col(place)))
     return out.union(taken(ties, rest))
 
