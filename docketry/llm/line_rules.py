@@ -3,7 +3,7 @@
 Every line of a text is judged by itself.  A line fails
 
 * the punctuation rule: more than one of ``#*$%&|<>`` or one ``!!`` for every
-  two words, or at most four words and no closing mark at its end;
+  two words, or at most four words and no closing mark at its end (white space of the word rule aside);
 * the navigation rule: three or more separators (``|``, ``»``, ``›``, ``•``)
   and one of them for every five words at least;
 * the boilerplate rule: at most ``BOILERPLATE_WORDS`` words with a phrase of
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from docketry.llm.common import SPACE, free, let, words
 
 SYMBOLS = "#*$%&|<>"
-MARKS = r"[.!?:;,\"')\]»”…]$"
+MARKS = r"[.!?:;,\"')\]»”…]\z"
+#: White space at a line's end, which doesn't count as its last character.
+_END = " \t\x0b\f\r"
 SEPARATORS = r"[|»›•]"
 #: Phrases of site furniture.
 BOILERPLATE = (
@@ -57,7 +59,7 @@ def line_fails(line: Column) -> Column:
     def judge(x: Column) -> Column:
         n, low = x["n"], F.lower(x["line"])
         noisy = (_count(x["line"], SYMBOLS) * 2 > n) | (F.regexp_count(x["line"], F.lit("!!")) * 2 > n)
-        fragment = (n <= 4) & ~F.rtrim(x["line"]).rlike(MARKS)
+        fragment = (n <= 4) & ~F.rtrim(x["line"], F.lit(_END)).rlike(MARKS)
         bars = F.regexp_count(x["line"], F.lit(SEPARATORS))
         boiler = (n <= BOILERPLATE_WORDS) & low.rlike("|".join(BOILERPLATE))
         return noisy | fragment | ((bars >= 3) & (bars * 5 >= n)) | boiler
@@ -147,7 +149,7 @@ worded AS (SELECT k, line, len(regexp_extract_all(line, '{_LINE}')) AS n FROM li
 judged AS (
   SELECT k, line, length(regexp_replace(line, '{SPACE}', '', 'g')) AS chars,
     (len(regexp_extract_all(line, '[#*$%&|<>]')) * 2 > n OR len(regexp_extract_all(line, '!!')) * 2 > n)
-    OR (n <= 4 AND NOT regexp_matches(rtrim(line, ' '), '[.!?:;,"'')\]»”…]$'))
+    OR (n <= 4 AND NOT regexp_matches(rtrim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[.!?:;,"'')\]»”…]\z'))
     OR (len(regexp_extract_all(line, '{SEPARATORS}')) >= 3 AND len(regexp_extract_all(line, '{SEPARATORS}')) * 5 >= n)
     OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')) AS fails
   FROM worded),
