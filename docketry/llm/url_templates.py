@@ -12,9 +12,9 @@ are the labels from which the rest is judged:
   number, word) differs by at most ``SHAPE_APART`` in total variation.  Branches are compared along the order of
   their shares of blocked labels; labelled and unlabelled ones never merge;
 * a node's purity is its share of blocked labels, smoothed by ``ALPHA`` labels of the share above it: the node's parent, at the
-  top the host, for it the domain (last two labels of the name), for that all labels.  A url whose template has a purity of
-  ``REJECT`` or more is blocked.  So an unlabelled template takes after its host, and a host without labels is
-  blocked only where nearly all labels are.
+  top the host, for it the domain (last two labels of the name), for that all labels, but ``MOST_ABOVE`` at most.  A url whose template
+  has a purity of ``REJECT`` or more is blocked.  So an unlabelled template takes after its host, and a domain
+  without labels is never blocked.
 
 Urls are first added up by host and shape of the path; only those sums go through the tree.  A node has at most
 ``SHARE`` literal branches and the wildcard, which bounds the windows that merge them, and templates go back to the urls by
@@ -39,6 +39,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 RESULTS = ("host", "path", "rule", "verdict", "template", "purity", "template_verdict")
 MIN_ROWS, SHARE, DEPTH = 8, 32, 6
 ALPHA, REJECT = 4, 0.8
+#: All labels' share counts as this at most, so that a list of blocked urls alone blocks no host that it doesn't name.
+MOST_ABOVE = 0.5
 Z, APART, SHAPE_APART = 1.96, 0.05, 0.2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NEXT = ("ends", "slashes", "numbers", "words")
@@ -91,7 +93,7 @@ def _host_rates(paths: DataFrame) -> DataFrame:
     """``host, rate``: the host's share of blocked labels, smoothed by its domain's, that by all."""
     hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "hosts").withColumn("domain", F.substring_index("host", ".", -2))
     n, b = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    overall = F.lit((b + 1.0) / (n + 2.0))
+    overall = F.lit(min((b + 1.0) / (n + 2.0), MOST_ABOVE))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("b").alias("db")).filter("dn > 0")
     domains = domains.select("domain", _smoothed("dn", "db", overall).alias("above"))
     return hosts.join(domains, "domain", "left").select("host", _smoothed("n", "b", F.coalesce("above", overall)).alias("rate"))
@@ -132,8 +134,9 @@ def templates(paths: DataFrame) -> DataFrame:
         counted = [F.sum(c).alias(c) for c in ("rows", "n", "b")] + [F.sum(F.when(kind == k, F.col("rows")).otherwise(0)).alias(k) for k in _NEXT]
         sums = rows.groupBy("host", "tpl", "segment").agg(*counted, F.max("rate").alias("rate"))
         nodes = sums.groupBy("host", "tpl").agg(F.sum("rows").alias("all_rows"))
-        often = sums.filter((F.col("rows") >= MIN_ROWS) & (F.col("segment") != "*")).select("host", "tpl", "segment", "rows")
-        literal = often.join(nodes, ["host", "tpl"]).filter(F.col("rows") * SHARE >= F.col("all_rows")).select("host", "tpl", "segment", F.col("segment").alias("branch"))
+        tail = F.col("segment") == "**"
+        often = sums.filter((F.col("rows") >= MIN_ROWS) & (F.col("segment") != "*") | tail).select("host", "tpl", "segment", "rows")
+        literal = often.join(nodes, ["host", "tpl"]).filter((F.col("rows") * SHARE >= F.col("all_rows")) | tail).select("host", "tpl", "segment", F.col("segment").alias("branch"))
         placed = sums.join(literal, ["host", "tpl", "segment"], "left").withColumn("branch", F.coalesce("branch", F.lit("*")))
         branches = placed.groupBy("host", "tpl", "branch").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "b", *_NEXT)], F.max("rate").alias("rate"))
         merged = stored(_merged(branches), "merged")
@@ -178,7 +181,7 @@ def _level_sql(d: int) -> str:
     tv = " + ".join(f"abs({c} / rows - lag({c}) OVER o / lag(rows) OVER o)" for c in _NEXT)
     return f"""
 s{d} AS MATERIALIZED (SELECT host, tpl, segments[{d}] AS segment, sum(rows) AS rows, sum(n) AS n, sum(b) AS b, {counts}, max(rate) AS rate FROM t{d - 1} WHERE len(segments) >= {d} GROUP BY ALL),
-l{d} AS MATERIALIZED (SELECT host, tpl, segment, CASE WHEN rows >= {MIN_ROWS} AND rows * {SHARE} >= sum(rows) OVER (PARTITION BY host, tpl) THEN segment ELSE '*' END AS branch FROM s{d}),
+l{d} AS MATERIALIZED (SELECT host, tpl, segment, CASE WHEN segment = '**' OR rows >= {MIN_ROWS} AND rows * {SHARE} >= sum(rows) OVER (PARTITION BY host, tpl) THEN segment ELSE '*' END AS branch FROM s{d}),
 b{d} AS MATERIALIZED (SELECT host, tpl, branch, {added}, max(rate) AS rate FROM s{d} JOIN l{d} USING (host, tpl, segment) GROUP BY ALL),
 c{d} AS (
   SELECT *, ({tv}) / 2 AS tv, n AS n1, b AS b1, lag(n) OVER o AS n0, lag(b) OVER o AS b0 FROM b{d}
@@ -215,7 +218,7 @@ y AS MATERIALIZED (
   SELECT *, CASE WHEN len(string_split(plain, '/')) - 1 > {DEPTH} THEN array_to_string(string_split(plain, '/')[1:{DEPTH + 1}], '/') || '/**' ELSE plain END AS shape FROM x),
 p AS (SELECT host, shape, CASE WHEN shape = '' THEN [] ELSE string_split(substr(shape, 2), '/') END AS segments, count(*) AS rows, count(verdict) AS n, count(*) FILTER (verdict = 'block') AS b FROM y GROUP BY host, shape),
 hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, sum(n) AS n, sum(b) AS b FROM p GROUP BY host),
-overall AS (SELECT (sum(b) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE) AS rate FROM hosts),
+overall AS (SELECT least((sum(b) + 1.0::DOUBLE) / (sum(n) + 2.0::DOUBLE), {MOST_ABOVE}::DOUBLE) AS rate FROM hosts),
 domains AS (SELECT domain, (sum(b) + {ALPHA} * any_value(o.rate)) / (sum(n) + {ALPHA}) AS rate FROM hosts, overall o GROUP BY domain),
 rates AS (SELECT host, (n + 0 * n) AS n, (b + {ALPHA} * d.rate) / (n + {ALPHA}) AS rate FROM hosts JOIN domains d USING (domain)),
 t0 AS MATERIALIZED (SELECT p.host, shape, segments, rows, p.n, b, '' AS tpl, rate FROM p JOIN rates USING (host)),
