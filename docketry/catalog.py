@@ -94,6 +94,15 @@ def _(s, d):
     return conform.inspections(conform.combine([read(even), read(odd)])).select("activity_nr", "year", "inspection_type")
 
 
+@add("s04_parts_by_header", sql("SELECT activity_nr, estab_name, year, CASE WHEN year % 2 = 0 THEN inspection_type END AS inspection_type FROM i"))
+def _(s, d):
+    df, folder = i(s, d).withColumn("year", F.col("year").cast("string")), store.scratch(s, "parts")
+    parts = (df.filter("year % 2 = 0").select("inspection_type", "activity_nr", "estab_name", "year"), df.filter("year % 2 = 1").select(F.col("year").alias(" Year"), F.col("estab_name").alias("ESTAB_NAME"), F.lit("x").alias("other"), "activity_nr"))
+    for part in parts:
+        part.write.mode("append").option("header", True).csv(folder)
+    return conform.inspections(conform.read_csv(s, folder, schemas.RAW_INSPECTIONS)).select("activity_nr", "estab_name", "year", "inspection_type")
+
+
 @add("s05_conform_inspections", sql(f"SELECT {I_COLS.replace('estab_name', 'left(estab_name, 500) AS estab_name')} FROM i"))
 def _(s, d):
     df = i(s, d)
@@ -353,7 +362,7 @@ over_v("w03_before_after", I.neighbours, sql(f"SELECT {KEY}, violation_date, n,
 over_v("w08_first_per_key", lambda df: A.first_by_key(df.select(KEY, *ROWKEY, "violation_date"), KEY, ["violation_date", *ROWKEY]), sql(f"SELECT {KEY}, {ORDER}, violation_date FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date, l_orderkey, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST) AS r FROM v) WHERE r = 1"))
 over_v("t04_cross_agency_top", lambda df: A.cross_agency(df, ["OSHA", "EPA", "MSHA", "FDA"]).orderBy(F.desc("OSHA"), F.desc("EPA"), F.desc("MSHA"), F.desc("FDA"), KEY).limit(50), sql(f"SELECT * FROM (SELECT {KEY}, count(*) FILTER (agency = 'OSHA') AS \"OSHA\", count(*) FILTER (agency = 'EPA') AS \"EPA\", count(*) FILTER (agency = 'MSHA') AS \"MSHA\", count(*) FILTER (agency = 'FDA') AS \"FDA\" FROM v WHERE {KEY} <> '' GROUP BY 1) WHERE (OSHA > 0)::INT + (EPA > 0)::INT + (MSHA > 0)::INT + (FDA > 0)::INT > 1 ORDER BY OSHA DESC, EPA DESC, MSHA DESC, FDA DESC, {KEY} LIMIT 50"))
 over_v("t07_states_by_penalty", lambda df: A.by_state(df).orderBy(F.desc("total_penalties"), "state").limit(10), sql(f"SELECT site_state AS state, count(*) AS violation_count, coalesce({TOTAL}, 0) AS total_penalties FROM v GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10"))
-over_v("u01_union_agencies", lambda df: n_rows(conform.combine([df.filter("agency = 'OSHA'"), df.filter("agency = 'EPA'").drop("naics_code"), df.filter("agency = 'FDA'").drop("viol_type")]), "agency", "naics_code", "viol_type"), sql("SELECT agency, CASE WHEN agency <> 'EPA' THEN naics_code END AS naics_code, CASE WHEN agency <> 'FDA' THEN viol_type END AS viol_type, count(*) AS row_count FROM v WHERE agency <> 'MSHA' GROUP BY ALL"))
+over_v("u01_union_agencies", lambda df: n_rows(conform.combine([df.filter("agency = 'OSHA'"), df.filter("agency = 'MSHA'"), df.filter("agency = 'EPA'").drop("naics_code"), df.filter("agency = 'FDA'").drop("viol_type")]), "agency", "naics_code", "viol_type"), sql("SELECT agency, CASE WHEN agency <> 'EPA' THEN naics_code END AS naics_code, CASE WHEN agency <> 'FDA' THEN viol_type END AS viol_type, count(*) AS row_count FROM v GROUP BY ALL"))
 over_v("u03_distinct", lambda df: df.select("agency", "year").distinct(), sql("SELECT DISTINCT agency, year FROM v"))
 over_v("u04_unlisted_states", lambda df: V.states(df.withColumn("site_state", F.when(F.col("l_orderkey") % 7 == 0, "xx").otherwise(F.col("site_state")))), sql("SELECT 'XX' AS state, count(*) AS failing_rows FROM v WHERE l_orderkey % 7 = 0"))
 
@@ -370,6 +379,7 @@ SELECT f || rpad(substr(digits, 1, 3), 3, '0') AS code, count(*) AS names FROM (
     FROM (SELECT DISTINCT {KEY}, replace({KEY}, ' ', '') AS s FROM v)))
 GROUP BY 1
 """
+_BY_SOUND = _SOUNDEX.replace("SELECT f ||", "SELECT k, f ||").replace(", count(*) AS names FROM (", " FROM (").replace("SELECT f, array_to_string", "SELECT k, f, array_to_string").replace("SELECT substr(s, 1, 1) AS f", "SELECT k, substr(s, 1, 1) AS f").replace(f"SELECT DISTINCT {KEY}, replace", f"SELECT DISTINCT {KEY} AS k, replace").replace("GROUP BY 1\n", "")
 over_v("x16_soundex", lambda df: df.select(KEY).distinct().groupBy(F.soundex(F.regexp_replace(KEY, " ", "")).alias("code")).agg(F.count(F.lit(1)).alias("names")), sql(_SOUNDEX))
 
 # --- names -----------------------------------------------------------------
@@ -549,6 +559,25 @@ def _(s, d):
     return ST.ingest(s, path, e.schema, lambda st: ST.alerts(st, "value", 200)).select("event_id", "value")
 
 
+# --- further forms ---------------------------------------------------------------
+@add("a11_sketched_establishments", sql("SELECT y.year::INTEGER AS from_year, count(DISTINCT company_name) AS establishments, true AS sketch_agrees FROM (SELECT DISTINCT year FROM v WHERE year IS NOT NULL) y JOIN v ON v.year >= y.year WHERE company_name <> '' GROUP BY 1"))
+def _(s, d):
+    df = v(s, d).filter(S.filled("company_name"))
+    stored = s.read.parquet(summaries.refresh_sketches(df, store.scratch(s, "sketches")))
+    years = stored.select(F.col("year").alias("from_year")).filter("from_year is not null").distinct()
+    # a company counts from each year up to its last one
+    about = years.join(stored, F.col("year") >= F.col("from_year")).groupBy("from_year").agg(F.hll_sketch_estimate(F.hll_union_agg("companies")).alias("about"))
+    last = df.filter("year is not null").groupBy("company_name").agg(F.max("year").alias("last")).groupBy("last").agg(F.count(F.lit(1)).alias("c"))
+    exact = years.join(last, F.col("last") >= F.col("from_year")).groupBy("from_year").agg(F.sum("c").alias("establishments"))
+    agrees = F.abs(F.col("about") - F.col("establishments")) <= 4 * 0.013 * F.col("establishments") + 1
+    return exact.join(about, "from_year").select(F.col("from_year").cast("int").alias("from_year"), "establishments", agrees.alias("sketch_agrees"))
+
+
+over_v("a23_mean_similarity", lambda df: R.match_rows(df, "Red Plate Promo", 70).groupBy("company_name").agg(F.round(F.avg("similarity"), 4).alias("mean_similarity"), F.count(F.lit(1)).alias("row_count"), F.count_distinct("agency").alias("agencies")), sql("SELECT company_name, round(avg(similarity), 4) AS mean_similarity, count(*) AS row_count, count(DISTINCT agency) AS agencies FROM v JOIN hits ON company_name = name WHERE similarity >= 70 GROUP BY 1", **_like("Red Plate Promo")))
+over_v("f10_fuzzy_one_agency", lambda df: company.search_company(df, "Red Plaet Promo", ["OSHA"], threshold=70, limit=1000).select("agency", "company_name", "activity_nr", "similarity"), sql(f"SELECT agency, company_name, activity_nr, weighted AS similarity FROM v JOIN sm ON n = {KEY} WHERE weighted >= 70 AND agency = 'OSHA' ORDER BY weighted DESC, company_name, agency, activity_nr, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST LIMIT 1000", **_like("Red Plaet Promo")))
+over_v("x16_sound_groups", lambda df: R.sound_groups(R.distinct_names(df)), sql("SELECT code, n AS norm, t AS leader, weighted AS similarity FROM sm JOIN bs ON n = k", bs=_BY_SOUND, ld="SELECT code, min(k) AS leader FROM bs GROUP BY code", **scored("SELECT leader AS t, k AS n FROM bs JOIN ld USING (code)")))
+
+
 # --- single rows of the inventory that the queries above use inside -----------------
 add("j02_lookup_join", sql("SELECT v.agency, inspection_type, count(*) AS row_count, count(estab_name) AS found FROM v LEFT JOIN i USING (activity_nr) GROUP BY 1, 2"))(
     lambda s, d: A.joined_inspections(v(s, d), i(s, d)).groupBy("agency", "inspection_type").agg(F.count(F.lit(1)).alias("row_count"), F.count("estab_name").alias("found"))

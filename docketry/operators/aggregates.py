@@ -177,8 +177,8 @@ def shared_dates(df: DataFrame) -> DataFrame:
 
 def penalty_quantiles(df: DataFrame) -> DataFrame:
     """Exact median and upper quartile of each company's penalties, interpolated."""
-    rows = df.filter(S.filled("company_name_normalized") & F.col("current_penalty").isNotNull())
-    return rows.groupBy("company_name_normalized").agg(F.round(F.median("current_penalty"), 4).alias("median_penalty"), F.round(F.percentile("current_penalty", 0.75), 4).alias("q75_penalty"))
+    found = exact_quantiles(df.filter(S.filled("company_name_normalized")), ["company_name_normalized"], "current_penalty", {"median_penalty": 0.5, "q75_penalty": 0.75})
+    return found.select("company_name_normalized", *[F.round(c, 4).alias(c) for c in ("median_penalty", "q75_penalty")])
 
 
 def available_agencies(df: DataFrame) -> DataFrame:
@@ -254,3 +254,43 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     total = placed.agg(F.sum("n")).scalar()
     at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("value")))
     return placed.withColumn("lo", F.floor((total - 1) / 2)).withColumn("hi", F.floor(total / 2)).agg(((at(F.col("lo")) + at(F.col("hi"))) / 2).alias("median"))
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], column: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of the values of each group, interpolated between neighbours; a column for each of ``at``.
+
+    Equal values are counted first, and the counts put in order by ranges inside a group, so a group with many rows is
+    split over tasks and none holds its values.  Rows without a value, or without a whole key, are left out.
+    """
+    value, n, before, total, *their = S.free([*by, *at], "value", "n", "before", "total", *[f"{k}_{b}" for k, b in enumerate(by)])
+    rows = df.filter(F.col(column).isNotNull()).na.drop(subset=list(by))
+    counted = rows.groupBy(*by, F.col(column).cast("double").alias(value)).agg(F.count(F.lit(1)).alias(n))
+    placed = sums_before(counted, [*by, value], before, by, n)
+    totals = placed.groupBy(*[F.col(b).alias(t) for b, t in zip(by, their, strict=True)]).agg(F.sum(n).alias(total))
+    placed = placed.join(totals, reduce(lambda x, y: x & y, [F.col(b) == F.col(t) for b, t in zip(by, their, strict=True)]))
+
+    def quantile(q: float) -> Column:
+        place = q * (F.col(total) - 1)
+        holds = lambda k: (F.col(before) <= k) & (k < F.col(before) + F.col(n))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value)))
+        place = q * (F.max(total) - 1)
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return placed.groupBy(*by).agg(*[quantile(q).alias(name) for name, q in at.items()])
+
+
+def value_before(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Each row with the ``value`` of the row before it inside ``by``, by ``order``; null for a group's first row.
+
+    Rows are dealt out by ranges of the order; the last value of each range is carried on to the next one of
+    the group, so no task holds a whole group.
+    """
+    part, last, first, *their = S.free([*df.columns, name], "part", "last", "first", *[f"{k}_{b}" for k, b in enumerate([*by, "part"])])
+    ranged = written(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy(*by, part).orderBy(*order)
+    ends = ranged.groupBy(*by, part).agg(F.max_by(value, F.struct(*order)).alias(last))
+    ends = ends.withColumn(last, F.lag(last).over(Window.partitionBy(*by).orderBy(part)))
+    ends = ends.select(*[F.col(b).alias(t) for b, t in zip([*by, part], their, strict=True)], last)
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(t)) for b, t in zip([*by, part], their, strict=True)])
+    out = ranged.withColumn(first, F.row_number().over(inside) == 1).withColumn(name, F.lag(value).over(inside)).join(ends, same)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.when(F.col(first), F.col(last)).otherwise(F.col(name)).alias(name))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions import scalars as S
+from docketry.operators.aggregates import exact_quantiles, value_before
 from docketry.sources.store import written
 
 DAYS = 365
@@ -41,9 +42,8 @@ def anchors(df: DataFrame) -> DataFrame:
 
 def anchors_of(rows: DataFrame) -> DataFrame:
     """The anchors of dated rows; see ``anchors``."""
-    stats = rows.groupBy(KEY).agg(
-        F.median("current_penalty").alias("med"), F.percentile("current_penalty", 0.75).alias("q75"), F.min("violation_date").alias("first"), F.max("violation_date").alias("last"), F.count(F.lit(1)).alias("n")
-    )
+    ends = rows.groupBy(KEY).agg(F.min("violation_date").alias("first"), F.max("violation_date").alias("last"), F.count(F.lit(1)).alias("n"))
+    stats = written(ends.join(exact_quantiles(rows, [KEY], "current_penalty", {"med": 0.5, "q75": 0.75}), KEY, "left"), "stats")
     joined = rows.join(stats, KEY)
     d, p = F.col("violation_date"), F.col("current_penalty")
     third = F.date_add("first", F.floor(F.datediff("last", "first") / 3).cast("int"))
@@ -52,9 +52,12 @@ def anchors_of(rows: DataFrame) -> DataFrame:
         F.min(F.when((p >= F.col("med")) & (d >= F.date_add("first", DAYS)), d)).alias("late"), F.min(F.when(p >= F.col("med"), d)).alias("early"), F.min(F.when(p >= F.col("q75"), d)).alias("high"),
         nearest.alias("near"), F.first("med").alias("med"), F.datediff(F.max("last"), F.min("first")).alias("span"),
     )
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy("violation_date")) - 1
+    # dates are counted first: a company has no more of them than the calendar
     bare = stats.filter("med is null").select(KEY, "n")
-    middle = rows.join(bare, KEY).withColumn("i", place).filter(F.col("i") == F.floor(F.col("n") / 2)).select(KEY, F.col("violation_date").alias("middle"))
+    dates = rows.join(bare, KEY).groupBy(KEY, "n", "violation_date").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy(KEY).orderBy("violation_date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    half = F.floor(F.col("n") / 2)
+    middle = dates.withColumn("i", before).filter((F.col("i") <= half) & (half < F.col("i") + F.col("c"))).select(KEY, F.col("violation_date").alias("middle"))
     picked = picked.join(middle, KEY, "left")
     main = F.when(F.col("med").isNotNull(), F.coalesce("late", "early")).when(F.col("span") > 730, F.col("near")).otherwise(F.col("middle"))
     several = rows.groupBy(KEY, "violation_date").agg(F.count_distinct("agency").alias("a")).filter("a > 1").groupBy(KEY).agg(F.min("violation_date").alias("anchor"))
@@ -66,11 +69,6 @@ def anchors_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def _gaps(events: DataFrame, by: list[str], side: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("violation_date")
-    return events.select(*by, F.lit(side).alias("side"), F.datediff("violation_date", F.lag("violation_date").over(w)).alias("gap"))
-
-
 @lru_cache(maxsize=256)
 def _counts(m: int, n: int) -> tuple[int, ...]:
     """Arrangements of m and n untied values by their rank-sum statistic, 0 to m n.
@@ -118,21 +116,26 @@ def windows(df: DataFrame, anchor: DataFrame, days: int = DAYS) -> DataFrame:
 
 
 def rank_sums(df: DataFrame, anchor: DataFrame, days: int = DAYS) -> DataFrame:
-    """``u1, n1, n2, ties`` of the gaps between violations before and after each anchor."""
-    by = [KEY, "analysis_type", "anchor"]
-    rows = anchor.join(dated(df).select(KEY, "violation_date"), KEY)
-    d = F.col("violation_date")
-    before = rows.filter((d < F.col("anchor")) & (d >= F.date_sub("anchor", days)))
-    after = rows.filter((d > F.col("anchor")) & (d <= F.date_add("anchor", days)))
-    gaps = _gaps(before, by, "b").union(_gaps(after, by, "a"))
-    # a side with one event has the one gap 365
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by, "side"))
-    gaps = gaps.withColumn("n", n).filter("gap is not null or n = 1").withColumn("gap", F.coalesce("gap", F.lit(365)))
-    mine = Window.partitionBy(*by)
-    rank = F.rank().over(mine.orderBy("gap")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "gap")) - 1) / F.lit(2.0)
-    ranked = gaps.withColumn("r", rank).withColumn("t", F.count(F.lit(1)).over(Window.partitionBy(*by, "gap")))
-    first = F.col("side") == "b"
-    sums = ranked.groupBy(*by).agg(F.coalesce(F.sum(F.when(first, F.col("r"))), F.lit(0.0)).alias("r1"), F.count_if(first).alias("n1"), F.count_if(~first).alias("n2"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
+    """``u1, n1, n2, ties`` of the gaps between violations before and after each anchor.
+
+    Violations are counted by date and gaps by length before anything is put in order, so a window holds at most ``days`` rows.
+    """
+    by, d = [KEY, "analysis_type", "anchor"], F.col("violation_date")
+    dates = dated(df).groupBy(KEY, "violation_date").agg(F.count(F.lit(1)).alias("c"))
+    rows = anchor.join(dates, KEY)
+    first, second = (d < F.col("anchor")) & (d >= F.date_sub("anchor", days)), (d > F.col("anchor")) & (d <= F.date_add("anchor", days))
+    rows = rows.withColumn("side", F.when(first, "b").when(second, "a")).filter("side is not null")
+    side = Window.partitionBy(*by, "side")
+    rows = rows.withColumn("gap", F.datediff(d, F.lag(d).over(side.orderBy(d)))).withColumn("n", F.sum("c").over(side))
+    # violations of a date are 0 days apart; a side with one event has the one gap 365
+    each = F.array(F.struct(F.when(F.col("n") == 1, 365).otherwise(F.col("gap")).alias("gap"), F.lit(1).cast("long").alias("t")), F.struct(F.lit(0).alias("gap"), (F.col("c") - 1).alias("t")))
+    gaps = rows.select(*by, "side", F.explode(each).alias("g")).select(*by, "side", "g.*").filter("gap is not null and t > 0")
+    count = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("t"))), F.lit(0))
+    counted = gaps.groupBy(*by, "gap").agg(count("b").alias("b"), count("a").alias("a"), F.sum("t").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.withColumn("r", before + (F.col("t") + 1) / F.lit(2.0))
+    ties = F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double")
+    sums = counted.groupBy(*by).agg(F.sum(F.col("b") * F.col("r")).alias("r1"), F.sum("b").alias("n1"), F.sum("a").alias("n2"), ties.alias("ties"))
     return sums.select(*by, (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / F.lit(2.0)).alias("u1"), "n1", "n2", "ties")
 
 
@@ -183,9 +186,11 @@ def timeline(df: DataFrame, anchor: DataFrame) -> DataFrame:
 
 
 def gaps(df: DataFrame) -> DataFrame:
-    """Days since a company's previous violation."""
-    w = Window.partitionBy(KEY).orderBy("violation_date", *[k for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "current_penalty") if k in df.columns])
-    return dated(df).withColumn("gap_days", F.datediff("violation_date", F.lag("violation_date").over(w)))
+    """Days since a company's previous violation; a company's rows are split by dates, however many they are."""
+    order = ["violation_date", *[k for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "current_penalty") if k in df.columns]]
+    (last,) = S.free([*df.columns, "gap_days"], "last_date")
+    found = value_before(dated(df), [KEY], order, "violation_date", last)
+    return found.withColumn("gap_days", F.datediff("violation_date", last)).drop(last)
 
 
 def neighbours(df: DataFrame, days: int = DAYS) -> DataFrame:

@@ -113,6 +113,16 @@ def resolved(df: DataFrame, groups: DataFrame) -> DataFrame:
     return df.join(lead, KEY, "left").withColumn("representative", F.coalesce("leader", KEY)).drop("leader")
 
 
+def sound_groups(names: DataFrame) -> DataFrame:
+    """``code, norm, leader, similarity``: names that sound alike, with the first of them and how like it they are written.
+
+    The code is that of the name without spaces.  Each name meets its group's first one only.
+    """
+    coded = names.select("norm").distinct().withColumn("code", F.soundex(F.regexp_replace("norm", " ", "")))
+    leaders = coded.groupBy("code").agg(F.min("norm").alias("leader"))
+    return coded.join(leaders, "code").select("code", "norm", "leader", measure("weighted", "norm", "leader").alias("similarity"))
+
+
 def watch_list(names: DataFrame, queries: Sequence[str], threshold: float = 75) -> DataFrame:
     """``query, name, similarity`` for each name like one of ``queries``; every name is scored."""
     spark = names.sparkSession

@@ -4,31 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketry.functions.names import normalized
 from docketry.functions.scalars import cleaned, filled, number, parsed_date
 from docketry.operators.aggregates import first_by_key
 from docketry.sources import schemas
+from docketry.sources.csv_parts import by_name, read_parts
 
+#: Descriptions are cut to this many characters, names to 500, as the common model says.
 TEXT = 10_000
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """All part files of a folder or pattern as one table of strings, by the header's names.
-
-    Files whose headers differ are read by name; columns missing in all are null.
-    """
-    # a schema in another order than the header's would be taken by place, so names come from the header
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    return with_columns(raw, schema)
-
-
-def with_columns(df: DataFrame, schema: str) -> DataFrame:
-    """The columns of ``schema`` in order; missing ones null."""
-    have = {c.lower(): c for c in df.columns}
-    fields = T._parse_datatype_string(schema).fields
-    return df.select(*[F.col(f"`{have[f.name]}`").cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    """All part files of a folder or pattern as one table, by the names of each part's header; see ``csv_parts`` for what is skipped."""
+    return read_parts(spark, path, schema).rows
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:
@@ -74,7 +63,7 @@ def violations(raw: DataFrame, agency: str, fill_penalties: bool = False) -> Dat
         *[cleaned(_col(raw, k), n).alias(k) for k, n in text.items()], *[money(c).alias(c) for c in ("initial_penalty", "current_penalty", "fta_penalty")],
         F.upper(cleaned(_col(raw, "site_state"), 2)).alias("site_state"), day.alias("violation_date"), _year(raw, day).alias("year"),
     )
-    return with_columns(out, schemas.VIOLATIONS)
+    return by_name(out, schemas.VIOLATIONS)
 
 
 def agency_violations(raw: DataFrame, agency: str) -> DataFrame:
@@ -121,7 +110,7 @@ def accidents(raw: DataFrame) -> DataFrame:
             "accident_key": cleaned(_col(raw, "accident_key"), 50), "activity_nr": cleaned(_col(raw, "activity_nr"), 50), "estab_name": cleaned(_col(raw, "estab_name"), 500), "site_state": F.upper(cleaned(_col(raw, "site_state"), 2)),
             "naics_code": cleaned(_col(raw, "naics_code"), 10), "accident_date": day, "year": _year(raw, day), "description": cleaned(_col(raw, "description"), TEXT), "fatality": flag, "injury_type": cleaned(_col(raw, "injury_type"), 100),
         }
-    return with_columns(raw.select(*[e.alias(k) for k, e in found.items()]), schemas.ACCIDENTS).filter(F.col("accident_key").isNotNull())
+    return by_name(raw.select(*[e.alias(k) for k, e in found.items()]), schemas.ACCIDENTS).filter(F.col("accident_key").isNotNull())
 
 
 def backfill_year(df: DataFrame, date: str = "violation_date") -> DataFrame:
