@@ -88,10 +88,10 @@ def read_parts(spark: SparkSession, path: str | list[str], schema: str) -> Parts
     for (names, is_open), files in sorted(groups.items()):
         columns = [f"c{k}" for k in range(len(names))]
         strings = ", ".join(f"{c} string" for c in columns)
-        raw = spark.read.options(**_OPTIONS, header=True, multiLine=is_open, columnNameOfCorruptRecord="bad", columnPruning=False).schema(f"{strings}, bad string").csv(files)
-        more = F.from_csv("bad", f"{strings}, more string", _OPTIONS)["more"]
-        raw = raw.withColumn("long", F.coalesce(more != "", F.lit(False)))
+        # one field more than the header has, so that a long line shows; its whole text is that of the bad record
+        raw = spark.read.options(**_OPTIONS, header=True, multiLine=is_open, columnNameOfCorruptRecord="bad", columnPruning=False).schema(f"{strings}, more string, bad string").csv(files)
+        raw = raw.withColumn("long", F.coalesce(F.col("more") != "", F.lit(False)))
         good = raw.filter(~F.col("long")).select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
         rows = rows.unionByName(by_name(good, schema))
-        bad = bad.unionByName(raw.filter("long").select(F.col("_metadata.file_path").alias("file"), F.coalesce("bad", *columns).alias("line")))
+        bad = bad.unionByName(raw.filter("long").select(F.col("_metadata.file_path").alias("file"), F.coalesce("bad", "more").alias("line")))
     return Parts(rows, bad, sorted(skipped))
