@@ -14,6 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Temporary folders of sessions that run in one process.
 _own: dict[str, str] = {}
+#: Tables that each session has stored.
+_made: dict[str, list[str]] = {}
 
 
 def words(text: Column | str) -> Column:
@@ -78,10 +80,23 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables that ``stored`` has made in this session, once what reads them is stored or read; their number.
+
+    Checkpoints go by themselves where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 #: Rows and bytes of texts up to which a table is sent to every task.
 SENT_ROWS, SENT_BYTES = 500_000, 64 << 20
 

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import lexical, line_rules, minhash, mixing, periodic, url_templates
+from docketry.llm import common, lexical, line_rules, minhash, mixing, periodic, url_templates
 from tests.llm.helpers import words
 
 SF = "/root/testdata/sf0.001"
@@ -298,3 +298,11 @@ def test_line_ends_match_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     crlf = next(r for r in got if r["doc_id"] == texts.index(f"{good}\nab.\r"))
     assert crlf["lost_chars"] == 0
+
+
+def test_stored_tables_are_removed(spark):
+    kept = common.stored(spark.range(3), "kept")
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and common.clean(spark) >= 1 and common.clean(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
