@@ -594,8 +594,9 @@ over_v("w05_mean_ranks", lambda df: I.rank_sums(df, I.anchors(df), 180).agg(F.su
 _bare = lambda df: df.withColumn("current_penalty", F.lit(None).cast("double"))
 _NEAR = f"SELECT {KEY}, min(violation_date) AS f, max(violation_date) AS l, count(*) AS n FROM v WHERE {_DATED} GROUP BY 1"
 over_v("w06_nearest_date", lambda df: I.anchors(_bare(df)).filter("analysis_type = 'significant_violation'").select(KEY, "anchor"), sql(f"SELECT {KEY}, CASE WHEN any_value(l - f) > 730 THEN arg_min(violation_date, (abs(violation_date - (f + ((l - f) // 3)::INTEGER)) * 1000000 + (violation_date - f))) ELSE min(violation_date) FILTER (r = n // 2) END AS anchor FROM (SELECT {KEY}, violation_date, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date) - 1 AS r FROM v WHERE {_DATED}) JOIN nr USING ({KEY}) GROUP BY 1", nr=_NEAR))
-_early = lambda df: _bare(df).filter("year = 1998")
-over_v("w07_middle_row", lambda df: I.anchors(_early(df)).filter("analysis_type = 'significant_violation'").select(KEY, "anchor"), sql(f"SELECT {KEY}, min(violation_date) FILTER (r = n // 2) AS anchor FROM (SELECT {KEY}, violation_date, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date) - 1 AS r, count(*) OVER (PARTITION BY {KEY}) AS n FROM v WHERE {_DATED} AND year = 1998) GROUP BY 1"))
+# a company's years apart, as only timelines of 730 days at most take their middle row
+_yearly = lambda df: _bare(df).filter(F.col("year").isNotNull() & S.filled(KEY)).withColumn(KEY, F.concat_ws(" ", KEY, "year"))
+over_v("w07_middle_row", lambda df: I.anchors(_yearly(df)).filter("analysis_type = 'significant_violation'").select(KEY, "anchor"), sql(f"SELECT k AS {KEY}, min(violation_date) FILTER (r = n // 2) AS anchor FROM (SELECT k, violation_date, row_number() OVER (PARTITION BY k ORDER BY violation_date) - 1 AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT *, {KEY} || ' ' || year AS k FROM v WHERE {_DATED} AND year IS NOT NULL)) GROUP BY 1"))
 over_v("w09_row_numbers", lambda df: A.ranked(df, ROWKEY).filter("row_number <= 20").select("agency", "row_number", *ROWKEY[:4]), sql(f"SELECT agency, r::INTEGER AS row_number, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, current_penalty NULLS FIRST) AS r FROM v) WHERE r <= 20"))
 over_v("t01_order_by_aggregate", lambda df: A.top_violations(df, 5, 1999), sql(f"SELECT standard, count(*) AS citation_count, coalesce({MEAN}, 0) AS avg_penalty FROM v WHERE year = 1999 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"))
 over_v("t02_page", lambda df: _show(search.page(df, ROWKEY, 50, 1000)), sql(f"SELECT {SEARCHED} FROM v ORDER BY {ORDER} NULLS FIRST LIMIT 50 OFFSET 1000"))

@@ -15,6 +15,8 @@ from docketry.sources import swap
 TABLES = ("inspections", "violations", "accidents")
 #: Temporary folders of sessions that run in one process.
 _own: dict[str, str] = {}
+#: Intermediate tables of each session.
+_made: dict[str, list[str]] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,7 +30,17 @@ def scratch(spark: SparkSession, name: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="docketry-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this session has made so far, once the results that read them are stored or read; their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        swap.Folder(spark, path).remove("")
+    return len(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -148,3 +148,9 @@ def test_progress_has_rates_and_goes_on(spark, tmp_path):
     again = run()
     assert again.agg({"rows": "sum"}).first()[0] == 10 and again.count() == batches + 1
     assert spark.read.parquet(out).count() == 10
+
+
+def test_intermediate_tables_are_removed(spark):
+    kept = store.written(spark.range(3), "kept")
+    assert kept.count() == 3 and store.clean(spark) >= 1
+    assert store.clean(spark) == 0 and not store.has_rows(spark, kept.inputFiles()[0])
