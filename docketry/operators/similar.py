@@ -127,11 +127,13 @@ def _tiles(names: DataFrame, threshold: float) -> DataFrame:
     sizes = written(sized.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")), "sizes")
     part = F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int")
     chunks = written(sized.join(sizes, "n").groupBy("n", part.alias("part")).agg(F.array_sort(F.collect_list("norm")).alias("names")), "chunks")
-    # two lengths can meet if the shorter name's characters are enough; the share of U falls with the longer one
-    u, p = 200 * F.col("na") / (F.col("na") + F.col("n")), F.lit(100)
-    fits = (F.col("na") <= F.col("n")) & (0.5 * u + 0.2 * p + 30 >= threshold - _SLACK)
+    # 100 na / (na + n) + 50 must reach the threshold, which bounds the longer name's length n
+    longest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    share = (threshold - 50 - _SLACK) / 100
+    most = F.least(F.lit(longest), F.floor(F.col("na") * (1 / share - 1) + _SLACK)) if share > 0 else F.lit(longest)
     left = chunks.select(F.col("n").alias("na"), F.col("part").alias("pa"), F.col("names").alias("left"))
-    left = left.join(sizes, fits).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = left.withColumn("n", F.explode(F.sequence(F.col("na").cast("long"), most.cast("long")))).join(sizes, "n")
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return left.join(chunks.withColumnRenamed("names", "right"), ["n", "part"]).filter("na < n or pa <= part")
 
 
