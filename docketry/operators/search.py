@@ -69,15 +69,22 @@ def first_available(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next(iter(available(df, candidates)), None)
 
 
+def _asked(limit: int, offset: int) -> int:
+    """The limit, if page and place can be asked for."""
+    if not 1 <= limit <= MOST_ROWS or offset < 0:
+        raise ValueError(f"a page has 1 to {MOST_ROWS} rows and doesn't begin before the first")
+    return limit
+
+
 def page(df: DataFrame, order: Sequence[Column | str], limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` by a total order; ``limit`` is at most ``MOST_ROWS``."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, MOST_ROWS))
+    """Rows ``offset`` to ``offset + limit`` by a total order; a ``limit`` over ``MOST_ROWS`` is an error."""
+    return df.orderBy(*order).offset(offset).limit(_asked(limit, offset))
 
 
 def page_metadata(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """``total, page_limit, page_offset, has_next, has_previous``."""
     n = df.agg(F.count(F.lit(1)).alias("total"))
-    size = min(limit, MOST_ROWS)
+    size = _asked(limit, offset)
     return n.select(
         "total",
         F.lit(size).alias("page_limit"),

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from docketry.functions.names import partial_ratio, shared_in_order, similarity_of, token_set_ratio
 from docketry.sources.store import written
 
-CHUNK = 1024
+CHUNK = 4096
+#: Names of one chunk that are compared with all of the other at a time.
+ROWS = 256
 #: Classes of characters that are counted apart; more of them only let fewer pairs pass.
 CLASSES = 64
 #: Bits of a name's set of tokens; a bit in common may be a shared token.
@@ -88,37 +90,43 @@ def compared(left: list[str], right: list[str], threshold: float) -> tuple[list[
     most = np.minimum(x.max(axis=0), y.max(axis=0))
     if most.sum() < any_:
         return [], 0, 0
-    shared = _unary(x, most) @ _unary(y, most).T
-    i, j = np.nonzero(shared >= any_)
-    common = shared[i, j]
-    close = common >= no_token
-    bits_x, bits_y = _token_bits(left), _token_bits(right)
-    close |= (bits_x[i] & bits_y[j]).any(axis=1)
-    i, j, common = i[close], j[close], common[close]
-    p = 40 * common / (min(la, lb) + common)
-    u = 200 * common / (la + lb)
+    wide_x, wide_y = _unary(x, most), np.ascontiguousarray(_unary(y, most).T)
     ordered = [[" ".join(sorted(n.split(" "))) for n in names] for names in (left, right)]
-    out, scored, least, total = [], 0, threshold - _SLACK, la + lb
-    row, last, last_sorted = -1, None, None
-    for a, b, most_u, most_p in zip(i.tolist(), j.tolist(), u.tolist(), p.tolist(), strict=True):
-        if left[a] == right[b]:
-            continue
-        if a != row:
-            row, last, last_sorted = a, shared_in_order(left[a]), shared_in_order(ordered[0][a])
-        by_tokens = 200.0 * last_sorted(ordered[1][b]) / total
-        if 0.3 * by_tokens + 0.2 * most_u + most_p + 30 < least:
-            continue
-        simple = 200.0 * last(right[b]) / total
-        if 0.2 * simple + 0.3 * by_tokens + most_p + 30 < least:
-            continue
-        scored += 1
-        of_sets = token_set_ratio(left[a], right[b])
-        if 0.2 * simple + 0.3 * by_tokens + most_p + 0.3 * of_sets < least:
-            continue
-        score = round(similarity_of(simple, partial_ratio(left[a], right[b]), by_tokens, of_sets), 6)
-        if score >= threshold:
-            out.append((*sorted((left[a], right[b])), score))
-    return out, len(i), scored
+    out, passed, scored, least, total = [], 0, 0, threshold - _SLACK, la + lb
+    for lo in range(0, len(left), ROWS):
+        shared = wide_x[lo : lo + ROWS] @ wide_y
+        i, j = np.nonzero(shared >= any_)
+        common = shared[i, j]
+        i += lo
+        close = common >= no_token
+        if not close.all():
+            far = np.flatnonzero(~close)
+            rows, columns = (np.unique(k[far], return_inverse=True) for k in (i, j))
+            bits_x, bits_y = _token_bits([left[k] for k in rows[0]]), _token_bits([right[k] for k in columns[0]])
+            close[far] = (bits_x[rows[1].ravel()] & bits_y[columns[1].ravel()]).any(axis=1)
+        i, j, common = i[close], j[close], common[close]
+        passed += len(i)
+        most_p, most_u = 40 * common / (min(la, lb) + common), 200 * common / total
+        row, last, last_sorted = -1, None, None
+        for a, b, u, p in zip(i.tolist(), j.tolist(), most_u.tolist(), most_p.tolist(), strict=True):
+            if left[a] == right[b]:
+                continue
+            if a != row:
+                row, last, last_sorted = a, shared_in_order(left[a]), shared_in_order(ordered[0][a])
+            by_tokens = 200.0 * last_sorted(ordered[1][b]) / total
+            if 0.3 * by_tokens + 0.2 * u + p + 30 < least:
+                continue
+            simple = 200.0 * last(right[b]) / total
+            if 0.2 * simple + 0.3 * by_tokens + p + 30 < least:
+                continue
+            scored += 1
+            of_sets = token_set_ratio(left[a], right[b])
+            if 0.2 * simple + 0.3 * by_tokens + p + 0.3 * of_sets < least:
+                continue
+            score = round(similarity_of(simple, partial_ratio(left[a], right[b]), by_tokens, of_sets), 6)
+            if score >= threshold:
+                out.append((*sorted((left[a], right[b])), score))
+    return out, passed, scored
 
 
 def _tiles(names: DataFrame, threshold: float) -> DataFrame:

@@ -29,6 +29,14 @@ def test_filters(sample):
     assert got.count() == 1
 
 
+def test_pages_that_cannot_be_asked_for(sample):
+    for limit, offset in ((0, 0), (search.MOST_ROWS + 1, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            search.page(sample, ["activity_nr"], limit, offset)
+        with pytest.raises(ValueError):
+            search.page_metadata(sample, limit, offset)
+
+
 def test_empty_tables(sample):
     none = sample.filter("false")
     assert A.top_violations(none).count() == 0
