@@ -451,15 +451,16 @@ _IMP = {
     "st": f"SELECT {KEY}, quantile_cont(current_penalty, 0.5) AS med, quantile_cont(current_penalty, 0.75) AS q75, min(violation_date) AS f FROM v WHERE {_DATED} GROUP BY 1",
     "pk": f"SELECT {KEY}, coalesce(min(violation_date) FILTER (current_penalty >= med AND violation_date >= f + 365), min(violation_date) FILTER (current_penalty >= med)) AS m, min(violation_date) FILTER (current_penalty >= q75) AS h FROM v JOIN st USING ({KEY}) GROUP BY 1",
     "ma": f"SELECT {KEY}, min(violation_date) AS x FROM (SELECT {KEY}, violation_date FROM v WHERE {_DATED} GROUP BY 1, 2 HAVING count(DISTINCT agency) > 1) GROUP BY 1",
-    "an": f"SELECT {KEY}, 'significant_violation' AS analysis_type, m AS anchor FROM pk WHERE m IS NOT NULL UNION ALL SELECT {KEY}, 'first_high_penalty', h FROM pk WHERE h IS NOT NULL UNION ALL SELECT {KEY}, 'first_multi_agency', x FROM ma",
+    "bn": f"SELECT {KEY}, min(violation_date) AS f, max(violation_date) AS l, count(*) AS n FROM v WHERE {_DATED} GROUP BY 1 HAVING count(current_penalty) = 0",
+    "bm": f"SELECT {KEY}, CASE WHEN any_value(l - f) > 730 THEN arg_min(violation_date, (abs(violation_date - (f + ((l - f) // 3)::INTEGER)) * 1000000 + (violation_date - f))) ELSE min(violation_date) FILTER (r = n // 2) END AS m FROM (SELECT {KEY}, violation_date, row_number() OVER (PARTITION BY {KEY} ORDER BY violation_date) - 1 AS r FROM v WHERE {_DATED}) JOIN bn USING ({KEY}) GROUP BY 1",
+    "an": f"SELECT {KEY}, 'significant_violation' AS analysis_type, m AS anchor FROM pk WHERE m IS NOT NULL UNION ALL SELECT {KEY}, 'significant_violation', m FROM bm UNION ALL SELECT {KEY}, 'first_high_penalty', h FROM pk WHERE h IS NOT NULL UNION ALL SELECT {KEY}, 'first_multi_agency', x FROM ma",
     "wn": f"SELECT {KEY}, analysis_type, anchor, count(*) AS n_dated, count(*) FILTER (violation_date < anchor AND violation_date >= anchor - 365) AS before_count, count(*) FILTER (violation_date > anchor AND violation_date <= anchor + 365) AS after_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} GROUP BY 1, 2, 3",
 }
-# the SQL leaves out companies without any penalty (the tables have none), which the queries take by another rule; unit tests cover them
-over_v("i01_anchors", I.anchors, sql("SELECT * FROM an WHERE company_name_normalized IN (SELECT company_name_normalized FROM st WHERE med IS NOT NULL)", **_IMP))
-over_v("i02_windows", lambda df: I.windows(df, I.anchors(df)), sql(f"SELECT {KEY}, analysis_type, anchor, n_dated, before_count, after_count, before_count::DOUBLE AS before_rate, after_count::DOUBLE AS after_rate, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn WHERE {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL)", **_IMP))
+over_v("i01_anchors", I.anchors, sql("SELECT * FROM an", **_IMP))
+over_v("i02_windows", lambda df: I.windows(df, I.anchors(df)), sql(f"SELECT {KEY}, analysis_type, anchor, n_dated, before_count, after_count, before_count::DOUBLE AS before_rate, after_count::DOUBLE AS after_rate, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn", **_IMP))
 _GAP = {
     **_IMP,
-    "ev": f"SELECT {KEY}, analysis_type, anchor, violation_date, CASE WHEN violation_date < anchor THEN 'b' ELSE 'a' END AS side FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND violation_date <> anchor AND violation_date >= anchor - 365 AND violation_date <= anchor + 365 AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL)",
+    "ev": f"SELECT {KEY}, analysis_type, anchor, violation_date, CASE WHEN violation_date < anchor THEN 'b' ELSE 'a' END AS side FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND violation_date <> anchor AND violation_date >= anchor - 365 AND violation_date <= anchor + 365",
     "gp": f"SELECT *, (violation_date - lag(violation_date) OVER (PARTITION BY {KEY}, analysis_type, anchor, side ORDER BY violation_date)) AS g, count(*) OVER (PARTITION BY {KEY}, analysis_type, anchor, side) AS n FROM ev",
     "gg": f"SELECT {KEY}, analysis_type, anchor, side, coalesce(g, 365) AS g FROM gp WHERE g IS NOT NULL OR n = 1",
     "rk": f"SELECT *, rank() OVER (PARTITION BY {KEY}, analysis_type, anchor ORDER BY g) + (count(*) OVER (PARTITION BY {KEY}, analysis_type, anchor, g) - 1) / 2::DOUBLE AS r, count(*) OVER (PARTITION BY {KEY}, analysis_type, anchor, g) AS t FROM gg",
@@ -471,7 +472,7 @@ _RED = {"vv": f"SELECT * REPLACE ('{NAME}' AS {KEY}) FROM v WHERE {_named}"} | {
 over_v("i06_impact", I.analyses, recursive(sql("SELECT * FROM res", **_RES)))
 over_v("i07_impact_summary", lambda df: I.summary(I.analyses(df)), recursive(sql(_SUM, **_RES)))
 over_v("i08_company_impact", lambda df: company.company_impact(df, NAME).withColumnRenamed(KEY, "company"), recursive(sql(f"SELECT {KEY} AS company, * EXCLUDE ({KEY}) FROM res", **_RED)))
-over_v("i09_timeline", lambda df: n_rows(I.timeline(df, I.anchors(df)), KEY, "analysis_type", "period"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN violation_date < anchor THEN 'Before' WHEN violation_date = anchor THEN 'Impact' ELSE 'After' END AS period, count(*) AS row_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL) GROUP BY ALL", **_IMP))
+over_v("i09_timeline", lambda df: n_rows(I.timeline(df, I.anchors(df)), KEY, "analysis_type", "period"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN violation_date < anchor THEN 'Before' WHEN violation_date = anchor THEN 'Impact' ELSE 'After' END AS period, count(*) AS row_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} GROUP BY ALL", **_IMP))
 
 # --- data quality --------------------------------------------------------------
 _spoilt = lambda df: df.withColumn("year", F.when(F.col("l_orderkey") % 11 == 0, 2500).when(F.col("l_orderkey") % 13 != 0, F.col("year"))).withColumn("current_penalty", F.when(F.col("l_orderkey") % 17 == 0, -F.col("current_penalty")).otherwise(F.col("current_penalty"))).withColumn("company_name", F.when(F.col("l_orderkey") % 19 != 0, F.col("company_name"))).withColumn("site_state", F.when(F.col("l_orderkey") % 7 == 0, "xx").otherwise(F.col("site_state"))).withColumn("viol_type", F.when(F.col("l_orderkey") % 3 == 0, F.col("viol_type")))
@@ -583,7 +584,7 @@ add("j02_lookup_join", sql("SELECT v.agency, inspection_type, count(*) AS row_co
     lambda s, d: A.joined_inspections(v(s, d), i(s, d)).groupBy("agency", "inspection_type").agg(F.count(F.lit(1)).alias("row_count"), F.count("estab_name").alias("found"))
 )
 over_v("j07_name_pairs", lambda df: R.similar_pairs(R.distinct_names(df), 90), recursive(sql("SELECT * FROM pr", **_alike(90)), "dn", "pr"))
-over_v("j08_interval_membership", lambda df: I.windows(df, I.anchors(df), 180).select(KEY, "analysis_type", "anchor", "before_count", "after_count"), sql(f"SELECT {KEY}, analysis_type, anchor, count(*) FILTER (violation_date < anchor AND violation_date >= anchor - 180) AS before_count, count(*) FILTER (violation_date > anchor AND violation_date <= anchor + 180) AS after_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} AND {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL) GROUP BY 1, 2, 3", **_IMP))
+over_v("j08_interval_membership", lambda df: I.windows(df, I.anchors(df), 180).select(KEY, "analysis_type", "anchor", "before_count", "after_count"), sql(f"SELECT {KEY}, analysis_type, anchor, count(*) FILTER (violation_date < anchor AND violation_date >= anchor - 180) AS before_count, count(*) FILTER (violation_date > anchor AND violation_date <= anchor + 180) AS after_count FROM an JOIN v USING ({KEY}) WHERE {_DATED} GROUP BY 1, 2, 3", **_IMP))
 over_v("j09_industry_and_nation", lambda df: A.industry_benchmark(df, "62").select("industry_violations", "national_violations"), sql("SELECT count(*) FILTER (substr(naics_code, 1, 2) = '62') AS industry_violations, count(*) AS national_violations FROM v"))
 _PEERS = f"SELECT {KEY}, substr(code, 1, 2) AS naics_sector, composite_score, rank() OVER (PARTITION BY substr(code, 1, 2) ORDER BY composite_score) - 1 AS below, count(*) OVER (PARTITION BY substr(code, 1, 2)) AS n FROM r WHERE code IS NOT NULL"
 over_v("j10_company_and_peers", lambda df: risk.against_peers(risk.risk_scores(df)).select(KEY, "naics_sector", "peer_count"), sql(f"SELECT {KEY}, naics_sector, n AS peer_count FROM ({_PEERS})", **_RISK))
@@ -617,7 +618,7 @@ over_v("x14_json_rows", lambda df: n_rows(df, "agency", "year").select(F.to_json
 over_v("x15_maps", lambda df: A.type_histogram(df).select(KEY, "agency", F.try_element_at("violation_types", F.lit("R")).alias("returned")), sql(f"SELECT {KEY}, agency, nullif(count(*) FILTER (viol_type = 'R'), 0) AS returned FROM v WHERE {KEY} <> '' AND viol_type IS NOT NULL GROUP BY 1, 2"))
 for _id, _label, _col in (("r01", "violation", "vs"), ("r02", "penalty", "ps"), ("r03", "recency", "rs"), ("r04", "severity", "ss"), ("r05", "agency", "as_")):
     over_v(f"{_id}_{_label}_score", lambda df, x=_label: risk.risk_scores(df).select(KEY, f"{x}_score"), sql(f"SELECT {KEY}, {_col} AS {_label}_score FROM q", **_RISK))
-over_v("i03_rate_change", lambda df: I.windows(df, I.anchors(df)).select(KEY, "analysis_type", "rate_change_pct"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn WHERE {KEY} IN (SELECT {KEY} FROM st WHERE med IS NOT NULL)", **_IMP))
+over_v("i03_rate_change", lambda df: I.windows(df, I.anchors(df)).select(KEY, "analysis_type", "rate_change_pct"), sql(f"SELECT {KEY}, analysis_type, CASE WHEN before_count > 0 THEN round((after_count - before_count) / before_count::DOUBLE * 100, 2) WHEN after_count > 0 THEN 100 ELSE 0 END::DOUBLE AS rate_change_pct FROM wn", **_IMP))
 over_v("i05_impact_labels", lambda df: n_rows(I.analyses(df), "analysis_type", "impact", "impact_strength"), recursive(sql("SELECT analysis_type, impact, impact_strength, count(*) AS row_count FROM res GROUP BY ALL", **_RES)))
 
 

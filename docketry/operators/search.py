@@ -78,7 +78,8 @@ def _asked(limit: int, offset: int) -> int:
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int = 100, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` by a total order; a ``limit`` over ``MOST_ROWS`` is an error."""
-    return df.orderBy(*order).offset(offset).limit(_asked(limit, offset))
+    size = _asked(limit, offset)
+    return df.orderBy(*order).offset(offset).limit(size)
 
 
 def page_metadata(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -153,6 +153,24 @@ def test_impact_queries_take_companies_without_penalties(spark, monkeypatch, nam
         assert {(r["company_name_normalized"], r["analysis_type"]) for r in got} == {("A", "significant_violation")}
 
 
+@pytest.mark.parametrize("name", ["i01_anchors", "i02_windows", "i04_rank_sums", "j08_interval_membership"])
+def test_impact_sql_takes_companies_without_penalties(spark, monkeypatch, name):
+    import duckdb
+
+    named = lambda name, rows: [(*r[:2], name, *r[3:]) for r in rows]
+    rows = named("A", days((0, None), (200, 1.0), (300, None), (350, None), (420, None), (900, 5.0))) + named("B", days((0, None), (40, None), (40, None), (300, None)))
+    df = spark.createDataFrame(rows + named("C", days((0, None), (40, None), (100, None), (900, None))), COLS)
+    monkeypatch.setattr(catalog, "v", lambda s, d: df)
+    got = catalog.queries()[name](spark, "")
+    # the rows stand in for the view of violations that the text begins with
+    text = catalog.oracle_sql()[name]
+    text = "WITH v AS (SELECT * FROM given" + text[text.index("), st AS (") :]
+    con = duckdb.connect()
+    con.register("given", df.toArrow())
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({text})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and {"B", "C"} <= {r[0] for r in want}
+
+
 def test_sums_before_in_ranges(spark):
     from docketry.operators import aggregates
 
