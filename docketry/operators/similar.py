@@ -14,7 +14,7 @@ characters of ``CHUNK`` by ``CHUNK`` names.  Only pairs that pass are scored, ch
 with what the measures left could still add.
 
 An index of rare characters or of character pairs with a prefix filter would not spare more: at t = 85 the shares that are
-certain to be common are so small that prefixes hold a third of a name's characters or over half of its pairs, and
+certain to be common are so small that prefixes hold about half of a name's characters or pairs, and
 most names share one of those.
 """
 
