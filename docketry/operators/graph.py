@@ -12,10 +12,11 @@ MAX_ROUNDS = 64
 
 
 def _jumped(to: DataFrame) -> DataFrame:
-    """``id, to`` with every pointer moved to its end: each step doubles what a pointer spans."""
+    """``id, to`` with every pointer moved to its end: each step makes what a pointer spans four times as long."""
     for _ in range(MAX_ROUNDS):
-        further = to.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        step = written(to.join(further, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "jumps")
+        once = to.join(to.select(F.col("id").alias("to"), F.col("to").alias("next")), "to")
+        twice = once.join(once.select(F.col("id").alias("next"), F.col("next").alias("last")), "next")
+        step = written(twice.select("id", F.col("last").alias("to"), (F.col("last") != F.col("to")).alias("moved")), "jumps")
         to = step.select("id", "to")
         if step.filter("moved").isEmpty():
             return to

@@ -131,7 +131,7 @@ def compared(left: list[str], right: list[str], threshold: float) -> tuple[list[
 
 def _tiles(names: DataFrame, threshold: float) -> DataFrame:
     """``na, pa, n, part, left, right``: chunks of names of one length that meet, each two once."""
-    sized = names.select("norm").distinct().withColumn("n", F.length("norm"))
+    sized = written(names.select("norm").distinct().withColumn("n", F.length("norm")), "sized")
     sizes = written(sized.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")), "sizes")
     part = F.pmod(F.xxhash64("norm"), F.col("parts")).cast("int")
     chunks = written(sized.join(sizes, "n").groupBy("n", part.alias("part")).agg(F.array_sort(F.collect_list("norm")).alias("names")), "chunks")
