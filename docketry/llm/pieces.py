@@ -6,15 +6,16 @@ merging renews the pairs on both sides.  Symbols left without a piece fall back
 to bytes.
 
 No piece of such a vocabulary holds the word mark after another character
-(checked when a model is loaded), so no merge crosses into a next word and each
-word (its mark and what follows) is encoded by itself.  In a run of texts (about
-``RUN_CHARS`` characters, or one text) the words not yet known are encoded together,
-the agenda of each word being a row of pair scores; words over ``LONG`` symbols take
-a heap of their own.  Each new word's ids are checked against the sentencepiece
-library before use, or with ``check="texts"`` each whole text's; a difference fails
-the task.  At most ``KNOWN`` words (or those of one run) are remembered, and none
-beyond the task, so a reused worker keeps the model alone.  Decoding is the library's
-decode(ids).
+(checked when a model is loaded), and many characters stand in no piece beside one
+another, such as letters and line ends.  No merge crosses such a place, so each part
+between them (its marks and what follows) is encoded by itself; without byte fallback
+the parts are whole words.  In a run of texts (about ``RUN_CHARS`` characters, or one
+text) the parts not yet known are encoded together, the agenda of each part being a row
+of pair scores; parts over ``LONG`` symbols take a heap of their own.  Each new part's
+ids are checked against the sentencepiece library before use, or with ``check="texts"``
+each whole text's; a difference fails the task.  When more than ``KNOWN`` parts are
+known, the next run starts anew, and none is remembered beyond the task, so a reused
+worker keeps the model alone.  Decoding is the library's decode(ids).
 
 Null texts are empty; an empty text has the end id alone.  Very long texts are
 encoded whole, in a run of their own.  Repeated rows get equal results; an empty table
@@ -28,7 +29,7 @@ import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -41,11 +42,12 @@ from docketry.llm.common import free, table
 
 MARK = "▁"
 LONG = 48
-KNOWN = 100_000
+KNOWN = 250_000
 RUN_CHARS = 500_000
 _GONE = -1
 _NEVER = np.int32(1 << 30)
-_WORD = re.compile(f"[ {MARK}]+[^ {MARK}]*")
+_WALL = "\n"
+_WORD = f"[ {MARK}]+[^ {MARK}]*"
 
 
 def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -54,6 +56,37 @@ def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)
 
 
+def _parts(pieces: Iterable[str]) -> str:
+    """Pattern of parts: marks, then characters that pieces chain to one another, or one character of no chain."""
+    heads: dict[str, str] = {}
+
+    def head(c: str) -> str:
+        while heads.setdefault(c, c) != c:
+            c = heads[c]
+        return c
+
+    for p in pieces:
+        for a, b in zip(p.lstrip(MARK), p.lstrip(MARK)[1:], strict=False):
+            heads[head(a)] = head(b)
+    chains: dict[str, list[str]] = {}
+    for c in heads:
+        chains.setdefault(head(c), []).append(re.escape(c))
+    runs = "".join(f"[{''.join(cs)}]+|" for cs in sorted(chains.values(), key=len, reverse=True))
+    return f"[ {MARK}]*(?:{runs}[^ {MARK}])|[ {MARK}]+"
+
+
+class _Known(dict[str, int]):
+    """Number of each part; a new one takes the next number and is noted."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        self[part] = at = len(self)
+        return at
+
+
 class Encoder:
     """Ids of texts under one model; one instance a worker process."""
 
@@ -69,6 +102,8 @@ class Encoder:
         self.eos, self.unk = lib.eos_id(), lib.unk_id()
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fallback = all(lib.is_byte(i) for i in self.bytes)
+        # without bytes, an unknown id stands for a run of characters in a word, which then stays whole
+        self.find = re.compile(_parts(ids) if self.fallback else _WORD, re.DOTALL).findall
         self.char = {p: i for p, i in ids.items() if len(p) == 1}
         # 0 for the best score; equal scores share a rank
         self.rank = np.unique([-lib.get_score(i) for i in range(n)], return_inverse=True)[1].astype(np.int32)
@@ -82,8 +117,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """No word is known any more."""
-        self.known: dict[str, int] = {}
+        """No part is known any more."""
+        self.known = _Known()
         self.ids = np.empty(0, np.int32)
         self.start = self.size = np.empty(0, np.int64)
 
@@ -154,7 +189,7 @@ class Encoder:
         return out
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each a mark and what follows, by agenda alone: all ids, and how many each word has."""
+        """Ids of words or their parts, by agenda alone: all ids, and how many each has."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         start = np.cumsum(size) - size
@@ -196,37 +231,47 @@ class Encoder:
         keep[1:] = (ids[1:] != self.unk) | (ids[:-1] != self.unk) | (word[1:] != word[:-1])
         return ids[keep], np.bincount(word[keep], minlength=len(n))
 
-    def _learn(self, words: list[str], check: bool) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+    def _same(self, texts: list[str], ids: np.ndarray, n: np.ndarray, **options) -> bool:
+        """Whether these are the library's ids of the texts, ``n`` each."""
+        theirs = self.lib.encode(texts, num_threads=1, return_type="numpy", **options)
+        return np.array_equal(np.fromiter(map(len, theirs), np.int64, len(theirs)), n) and np.array_equal(np.concatenate([ids[:0], *theirs]), ids)
+
+    def _same_parts(self, parts: list[str], ids: np.ndarray, n: np.ndarray) -> bool:
+        """Whether these are the library's ids of the parts, in texts of many, each behind a character that merges with none."""
+        many = 64 if self.fallback else 1
+        first = np.arange(0, len(parts), many)
+        begin = np.cumsum(n) - n
+        mark, wall = self.words([MARK + _WALL])[0].tolist()  # the library puts a mark in front of a text
+        want = np.insert(ids, np.concatenate([begin[first], begin]), np.repeat(np.array([mark, wall], np.int32), [len(first), len(parts)]))
+        return self._same(["".join(_WALL + p for p in parts[k : k + many]) for k in first], want, np.add.reduceat(n + 1, first) + 1)
+
+    def _learn(self, check: bool) -> None:
+        for k in range(0, len(self.known.new), 20_000):
+            part = self.known.new[k : k + 20_000]
             ids, n = self.words([w.replace(" ", MARK) for w in part])
-            if check:
-                theirs = self.lib.encode([w[1:] for w in part], num_threads=1)
-                text = np.fromiter(map(len, part), np.int64, len(part)) > 1  # a mark alone is no text of its own
-                same = np.fromiter(map(len, theirs), np.int64, len(part)) == n
-                if not same[text].all() or not np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int32), ids[np.repeat(text, n)]):
-                    raise ValueError("ids of words differ from the library's")
-            self.known.update(zip(part, range(len(self.start), len(self.start) + len(part)), strict=True))
+            if check and not self._same_parts(part, ids, n):
+                raise ValueError("ids of parts differ from the library's")
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
             self.size = np.concatenate([self.size, n])
             self.ids = np.concatenate([self.ids, ids])
+        self.known.new = []
 
     def encode_flat(self, texts: list[str], check: str = "words") -> tuple[np.ndarray, np.ndarray]:
         """All ids of whole texts, each text's end id last, and where each text ends."""
-        split = [_WORD.findall(f" {t}") if t else [] for t in texts]
-        words = [*chain.from_iterable(split)]
-        missing = [*set(words).difference(self.known)]
-        if len(self.known) + len(missing) > KNOWN:
+        if len(self.known) > KNOWN:
             self.forget()
-            missing = [*set(words)]
-        self._learn(missing, check == "words")
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
+        split = [self.find(f" {t}") if t else [] for t in texts]
         each = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, each.sum())
+        self._learn(check == "words")
+        size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(each)]
         body = self.ids[_places(self.start[at], size)]
         out = np.insert(body, ends, np.int32(self.eos))
-        return out, ends + np.arange(1, len(texts) + 1)
+        ends = ends + np.arange(1, len(texts) + 1)
+        if check == "texts" and not self._same(texts, out, np.diff(ends, prepend=0), add_eos=True):
+            raise ValueError("ids differ from the library's")
+        return out, ends
 
     def encode(self, texts: list[str], check: str = "words") -> list[list[int]]:
         """Ids of whole texts, the end id last."""
@@ -260,9 +305,7 @@ def _results(enc: Encoder, texts: list[str], results: tuple[str, ...], check: st
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     flat, ends = enc.encode_flat(texts, check)
     begins = np.concatenate([[0], ends])
-    lists = [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] if set(results) - {"ids", "n_tokens"} or check == "texts" else []
-    if check == "texts" and lists != enc.lib.encode(texts, add_eos=True, num_threads=1):
-        raise ValueError("ids differ from the library's")
+    lists = [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] if set(results) - {"ids", "n_tokens"} else []
     decoded = enc.decode(lists) if {"decoded", "decoded_sha256"} & set(results) else []
     made = {
         "ids": lambda: pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(flat.astype(np.int32))),
@@ -278,7 +321,7 @@ def encode_texts(docs: DataFrame, model_path: str, results: tuple[str, ...] = ("
     """The columns ``keep`` of ``docs`` (all by default) with any of ``ids, n_tokens, ids_sha256, decoded, decoded_sha256``.
 
     Input columns of these names are replaced.  A task holds an Arrow batch of rows, and
-    the words, ids and decoded texts of one run.
+    the parts, ids and decoded texts of one run.
     """
     kept = [c for c in docs.columns if c not in results and (keep is None or c in keep)]
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, _SCHEMA[c]) for c in results)])

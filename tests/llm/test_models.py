@@ -210,6 +210,36 @@ def test_pieces_match_library():
     assert [enc._heap(r) for r in rows] == [enc.lib.encode(t) for t in ("hello", "internationalisation", "aaaaaaa")]
 
 
+def test_pieces_share_parts():
+    """Words that differ by punctuation and line ends only are encoded once."""
+    enc = pieces.Encoder(MODEL)
+    ends = ["", ".", ",", ";", "!", ".\n", "\n", ")", "***", "$$$", ".\nAnd", ",and", "7", "²."]
+    texts = [" ".join(f"{a}{b}{c}{e}" for a in "klmnprst" for b in "aeiou" for c in "dgkn") for e in ends]
+    assert enc.encode(texts) == enc.lib.encode(texts, add_eos=True)
+    assert len(enc.known) < 400 < len({w for t in texts for w in t.split(" ")})
+    marks = ["a\n", "a \n", " \n b", "\n▁", "▁\n▁▁", ". ", "a▁.", "é²\n中 中", "x" * 60 + "\n" + "y" * 60]
+    for check in ("words", "texts"):
+        enc.forget()
+        assert enc.encode(marks, check) == enc.lib.encode(marks, add_eos=True)
+
+
+@pytest.mark.parametrize("part", [" ", "\n", " the", "The"])
+@pytest.mark.parametrize("check", ["words", "texts"])
+def test_pieces_see_wrong_ids(monkeypatch, part, check):
+    enc = pieces.Encoder(MODEL)
+    made = enc.words
+
+    def wrong(words):
+        ids, n = made(words)
+        at = [k for k, w in enumerate(words) if w == part.replace(" ", pieces.MARK)]
+        ids[[n[:k].sum() for k in at]] += 1
+        return ids, n
+
+    monkeypatch.setattr(enc, "words", wrong)
+    with pytest.raises(ValueError, match="library"):
+        enc.encode(["in the\nThe "], check)
+
+
 def test_pieces_forget(monkeypatch):
     monkeypatch.setattr(pieces, "KNOWN", 3)
     enc = pieces.Encoder(MODEL)
