@@ -11,7 +11,9 @@ are written as Parquet and read again.
 * mixing drops documents that the mix doesn't take, repeats those that it takes
   more than once, and cuts the last one of a source to the words it takes (their
   white space becomes single spaces);
-* SentencePiece turns texts to ids.
+* SentencePiece turns texts to ids, checks each batch's against the library's of the
+  whole texts, and decodes them again; the digest of the decoded text tells what the
+  ids stand for.
 
 Null and empty texts have no language and go in the first stage; a null lang isn't learned
 from but its text may stay; a null source is a source.  Very long texts are treated whole,
@@ -67,7 +69,8 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), path, ("ids", "n_tokens", "ids_sha256"), keep=("doc_id", "lang", "source"))
+    docs = docs.select("doc_id", "lang", "source", "text")
+    return pieces.encode_texts(docs, path, ("ids", "n_tokens", "ids_sha256", "decoded_sha256"), check="texts", keep=("doc_id", "lang", "source"))
 
 
 STAGES = [

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -59,6 +60,17 @@ def test_tokens_stage(steps):
     assert all(t in have for t in texts)
 
 
+def test_tokens_are_decoded(steps):
+    import public_tokenizers
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    _, before, after = steps[4]
+    assert all(r["decoded_sha256"] == sha(lib.decode(r["ids"])) for r in after)
+    assert sorted(r["decoded_sha256"] for r in after) == sorted(sha(r["text"].replace("▁", " ")) for r in before)
+
+
 def test_language_stage(steps):
     """By plain sums over the documents that may be learned from."""
     _, before, after = steps[0]
